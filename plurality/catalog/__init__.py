@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring",)
+MODULES = ("scoring", "ingest", "splitting", "errors")
 
 
 def load() -> tuple[dict, dict]:

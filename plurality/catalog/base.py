@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from plurality.functions.rounding import r6
 from plurality.operators.evaluate import evaluate
 from plurality.sources import tables
 
 
-def r6(column: Column | str) -> Column:
-    """Six decimals; the tiny shift settles exact ties and negative zero the same way in every engine."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.round(c + 1e-9, 6)
-
-
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: r6(n) for n in names})
 

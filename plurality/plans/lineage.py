@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -20,3 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="plurality-checkpoint-"))
     return df.checkpoint()
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder path under the shared checkpoint folder (a temporary one only in local mode)."""
+    shared = spark.conf.get(CHECKPOINT_CONF, None)
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    return f"{tempfile.mkdtemp(prefix='plurality-')}/{name}"

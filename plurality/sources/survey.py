@@ -63,7 +63,7 @@ def _literal_map(texts: pd.Series) -> pd.Series:
             return None
         if not isinstance(value, dict):
             return None
-        return [(str(k), None if v is None else str(v)) for k, v in value.items()]
+        return {str(k): None if v is None else str(v) for k, v in value.items()}
 
     return texts.map(one)
 

@@ -143,3 +143,45 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(s).alias("v")) for s in SYSTEMS])).alias("s"),
     )
     return long.select("record_id", "s.system", dist.as_map(F.col("options"), F.col("s.v")).alias("pred"))
+
+
+# -- personas ----------------------------------------------------------------------
+
+STATES = (
+    "AK AL AR AZ CA CO CT DC DE FL GA HI IA ID IL IN KS KY LA MA MD ME MI MN MO MS MT NC ND NE NH NJ NM NV NY OH OK OR PA PR RI "
+    "SC SD TN TX UT VA VT WA WI WV WY"
+).split()
+MARITAL = ("married_present", "never_married", "divorced", "widowed", "separated")
+EDUCATION = (
+    "less_than_9th",
+    "9th_12th_no_diploma",
+    "high_school",
+    "some_college",
+    "associates",
+    "bachelors",
+    "graduate",
+)
+OCCUPATIONS = ("not_in_workforce", "school_teacher", "retired", "sales_manager")
+
+
+def _cycle(values, index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+
+
+def personas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One synthetic person per customer; attributes follow from the customer key."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("P"), k).alias("uuid"),
+        F.when(k % 2 == 0, "Female").otherwise("Male").alias("sex"),
+        (15 + (k * 7) % 70).cast("int").alias("age"),
+        _cycle(MARITAL, k).alias("marital_status"),
+        _cycle(EDUCATION, k).alias("education_level"),
+        _cycle(STATES, k).alias("state"),
+        F.initcap(F.lower("c_mktsegment")).alias("city"),
+        _cycle(OCCUPATIONS, k).alias("occupation"),
+        F.concat(F.col("c_name"), F.lit(" keeps a balance of "), F.floor("c_acctbal"), F.lit(".")).alias("persona"),
+        F.when(k % 3 == 0, F.concat(F.lit("Works with nation "), F.col("c_nationkey"))).alias("professional_persona"),
+        F.lit(None).cast("string").alias("cultural_background"),
+        F.when(k % 5 == 0, F.lit("Collects stamps")).alias("hobbies_and_interests"),
+    )
