@@ -15,21 +15,28 @@ from plurality.sources.survey import normalize_distribution
 QUESTION = ["dataset", "question"]
 
 
-def cells_from_responses(responses: DataFrame, dims: Sequence[str], subsets: Sequence[str] = ()) -> DataFrame:
-    """Histograms for every subset of ``dims``.
+def count_answers(responses: DataFrame, dims: Sequence[str], subsets: Sequence[str] = ()) -> DataFrame:
+    """Raw answers to counts at the finest grain, in one pass with map-side aggregation.
 
     ``responses`` has one row per answer: dataset, question, option, the ``dims`` and the
-    boolean ``subsets`` columns; each subset adds a map with the distribution of its rows.
-    Rows are counted at the finest grain first, so only counts are expanded into the
-    grouping sets, and options absent from a cell are filled with zero.
+    boolean ``subsets`` columns; each subset adds a count of its rows.
     """
-    dims = list(dims)
     counts = [F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(s)).alias(f"_n_{s}") for s in subsets]]
-    finest = (
+    return (
         responses.withColumns({d: F.coalesce(F.col(d).cast("string"), F.lit("NA")) for d in dims})
         .groupBy(*QUESTION, "option", *dims)
         .agg(*counts)
     )
+
+
+def cells_from_counts(finest: DataFrame, dims: Sequence[str], subsets: Sequence[str] = ()) -> DataFrame:
+    """Histograms for every subset of ``dims``.
+
+    Only counts are expanded into the grouping sets, never answers, and options absent
+    from a cell are filled with zero.  ``finest`` is read twice (cells, option lists), so
+    write it as a table first when the answers behind it are many.
+    """
+    dims = list(dims)
     sums = [F.sum(c).alias(c) for c in ("_n", *[f"_n_{s}" for s in subsets])]
     sets = [list(c) for r in range(len(dims) + 1) for c in combinations(dims, r)]
     base = [F.col(c) for c in (*QUESTION, "option")]

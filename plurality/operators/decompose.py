@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import dist
 from plurality.functions.keys import hash_order
-from plurality.plans.ranking import ranked_by_hash
+from plurality.functions.rounding import r6
+from plurality.plans.ranking import cumulative_counts, ranked_by_hash
 from plurality.plans.skew import attach
 
 FACETS = ("tvd", "conc", "loc", "pred_entropy", "truth_entropy", "entropy_gap", "mode_match", "mode_mass_err")
@@ -77,55 +78,25 @@ def gain_attribution(summary: DataFrame, base: str) -> DataFrame:
     )
 
 
-def best_typical_worst(decomposed: DataFrame, bins: int = 4096) -> DataFrame:
+def best_typical_worst(decomposed: DataFrame) -> DataFrame:
     """Best, middle and worst fitting grouped record of each system by TVD (ties by record hash).
 
-    The middle rank is found from counts per TVD bin, and only the rows of that bin are ranked.
+    The middle row is located on counts per distinct TVD; only rows with exactly that TVD are ranked.
     """
     rows = decomposed.filter(F.col("split") == "grouped").select(
-        "system", "record_id", "tvd", "conc", "loc", hash_order(0, F.col("record_id")).alias("_h")
+        "system", "record_id", "conc", "loc", r6("tvd").alias("tvd"), hash_order(0, F.col("record_id")).alias("_h")
     )
-    rows = rows.withColumn("_t", F.round(F.col("tvd") + 1e-9, 6))
     pick = F.struct("record_id", "tvd", "conc", "loc")
-    order = F.struct("_t", "_h")
-    ends = rows.groupBy("system").agg(F.min_by(pick, order).alias("best"), F.max_by(pick, order).alias("worst"))
-    ends = ends.select(
-        "system",
-        F.explode(
-            F.array(
-                F.struct(F.lit("best").alias("fit"), F.col("best").alias("r")),
-                F.struct(F.lit("worst").alias("fit"), F.col("worst").alias("r")),
-            )
-        ).alias("e"),
-    ).select("system", "e.fit", "e.r.*")
-    binned = rows.withColumn("_bin", F.least(F.lit(bins - 1), F.floor(F.col("_t") * bins)))
-    w = Window.partitionBy("system")
-    before = w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    target = (
-        binned.groupBy("system", "_bin")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            "system",
-            "_bin",
-            "_n",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-            F.floor(F.sum("_n").over(w) / 2).alias("_want"),
-        )
-        .filter((F.col("_before") <= F.col("_want")) & (F.col("_want") < F.col("_before") + F.col("_n")))
-        .select("system", "_bin", (F.col("_want") - F.col("_before")).alias("_nth"))
-    )
-    inside = attach(binned, target, ["system", "_bin"], ["record_id"], "inner")
-    # one TVD value may fill the whole bin: count per value, keep the one holding the rank, then rank its rows by hash
-    per_value = inside.groupBy("system", "_t", "_nth").agg(F.count(F.lit(1)).alias("_n"))
-    value = (
-        per_value.withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .filter((F.col("_before") <= F.col("_nth")) & (F.col("_nth") < F.col("_before") + F.col("_n")))
-        .select("system", "_t", (F.col("_nth") - F.col("_before")).alias("_k"))
+    order = F.struct("tvd", "_h")
+    ends = rows.groupBy("system").agg(
+        F.min_by(pick, order).alias("best"), F.max_by(pick, order).alias("worst")
     )
-    tied = attach(inside.drop("_nth"), value, ["system", "_t"], ["record_id"], "inner")
-    middle = (
-        ranked_by_hash(tied, ["system"], "_h", "_r")
-        .filter(F.col("_r") == F.col("_k") + 1)
-        .select("system", F.lit("typical").alias("fit"), "record_id", "tvd", "conc", "loc")
+    ends = ends.select("system", F.expr("stack(2, 'best', best, 'worst', worst) as (fit, r)")).select("system", "fit", "r.*")
+    counts = cumulative_counts(rows, ["system"], "tvd")
+    want = F.floor(F.col("total") / 2)
+    middle = counts.filter((F.col("start") <= want) & (want < F.col("end"))).select(
+        "system", "tvd", (want - F.col("start") + 1).alias("_k")
     )
-    return ends.unionByName(middle)
+    tied = attach(rows, middle, ["system", "tvd"], ["record_id"], "inner")
+    typical = ranked_by_hash(tied, ["system"], "_h", "_r").filter(F.col("_r") == F.col("_k"))
+    return ends.unionByName(typical.select("system", F.lit("typical").alias("fit"), "record_id", "tvd", "conc", "loc"))

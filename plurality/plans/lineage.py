@@ -31,3 +31,10 @@ def scratch(spark, name: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     return f"{tempfile.mkdtemp(prefix='plurality-')}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back: no recomputation, and scans of it prune and push down."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

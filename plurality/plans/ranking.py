@@ -11,19 +11,25 @@ from plurality.plans.skew import salts
 
 
 def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, spread: Sequence[str]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    k: int | Column,
+    spread: Sequence[str],
+    rank: str | None = None,
 ) -> DataFrame:
     """First ``k`` rows of each group: first inside salted slices, then among the slice winners."""
     slices = Window.partitionBy(*keys, "_slice").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
-    return (
+    kept = (
         df.withColumn("_slice", F.pmod(F.xxhash64(*spread), F.lit(salts(df))))
         .withColumn("_rank", F.row_number().over(slices))
         .filter(F.col("_rank") <= k)
         .withColumn("_rank", F.row_number().over(final))
         .filter(F.col("_rank") <= k)
-        .drop("_slice", "_rank")
+        .drop("_slice")
     )
+    return kept.withColumnRenamed("_rank", rank) if rank else kept.drop("_rank")
 
 
 def ranked_by_hash(
@@ -54,10 +60,14 @@ def ranked_by_hash(
     return out.withColumnRenamed("_all", total) if total else out.drop("_all")
 
 
-def _cumulative(
-    df: DataFrame, keys: list[str], value: str, lo: float, hi: float, bins: int
+def cumulative_counts(
+    df: DataFrame, keys: list[str], value: str, lo: float = 0.0, hi: float = 1.0, bins: int = 4096
 ) -> DataFrame:
-    """(keys, value, count, rows before, group total) with equal values collapsed first."""
+    """(keys, value, start, end, total): ranks [start, end) of every distinct value in its group.
+
+    Equal values collapse in the partial aggregation; running sums are taken over bin
+    totals and inside bins, so no task sees a whole group.
+    """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     slot = F.floor((F.col(value) - lo) / (hi - lo) * bins)
     counts = counts.withColumn("_bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), slot)))
@@ -76,8 +86,8 @@ def _cumulative(
     inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
         counts.join(offsets, [*keys, "_bin"])
-        .withColumn("_end", F.col("_offset") + F.sum("_c").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("_c"))
+        .withColumn("end", F.col("_offset") + F.sum("_c").over(inside))
+        .select(*keys, value, (F.col("end") - F.col("_c")).alias("start"), "end", F.col("_all").alias("total"))
     )
 
 
@@ -96,14 +106,14 @@ def quantiles(
     fall into the edge bins and the result stays exact.
     """
     keys = list(keys)
-    cum = _cumulative(df, keys, value, lo, hi, bins)
+    cum = cumulative_counts(df, keys, value, lo, hi, bins)
     picks = []
     for i, prob in enumerate(probs.values()):
-        pos = F.lit(float(prob)) * (F.col("_all") - 1)
+        pos = F.lit(float(prob)) * (F.col("total") - 1)
         for side, index in (("l", F.floor(pos)), ("h", F.ceil(pos))):
-            hit = (F.col("_start") <= index) & (index < F.col("_end"))
+            hit = (F.col("start") <= index) & (index < F.col("end"))
             picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}{i}"))
-    found = cum.groupBy(*keys).agg(F.max("_all").alias("_all"), *picks)
+    found = cum.groupBy(*keys).agg(F.max("total").alias("_all"), *picks)
     out = []
     for i, (name, prob) in enumerate(probs.items()):
         pos = F.lit(float(prob)) * (F.col("_all") - 1)

@@ -7,15 +7,17 @@ quality and language, and conversation roles.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.functions import dist, keys
-from plurality.operators.cells import QUESTION, cells_from_responses
+from plurality.operators.cells import QUESTION, cells_from_counts, count_answers
+from plurality.plans.lineage import stored
 from plurality.plans.skew import attach
 
 SYSTEMS = ("uniform", "marginal", "half", "blend", "peaked")
+DIMS = ("g1", "g2")
+SUBSETS = ("half",)
 _CELLS: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -104,21 +106,20 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the survey view, kept in storage because one query reads them several times.
+    """Cells of the survey view, written once per session and source folder.
 
-    A lost executor only costs the recomputation of its blocks from the source tables.
+    Every operator reads cells several times; as a table they are computed once and scans
+    of them prune columns and push filters down.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CELLS:
-        built = cells_from_responses(responses(spark, sf_dir), ["g1", "g2"], ["half"])
-        _CELLS[key] = built.persist(StorageLevel.MEMORY_AND_DISK)
+        counts = stored(count_answers(responses(spark, sf_dir), DIMS, SUBSETS), "counts")
+        _CELLS[key] = stored(cells_from_counts(counts, DIMS, SUBSETS), "cells")
     return _CELLS[key]
 
 
-def forget(spark: SparkSession) -> None:
-    """Drop the kept cells, so that the next query starts from the source tables again."""
-    for df in _CELLS.values():
-        df.unpersist()
+def forget() -> None:
+    """Forget the written cells, so that the next query starts from the source tables again."""
     _CELLS.clear()
 
 
