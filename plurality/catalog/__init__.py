@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "ingest", "splitting", "errors")
+MODULES = ("scoring", "ingest", "splitting", "errors", "calibration")
 
 
 def load() -> tuple[dict, dict]:

@@ -199,10 +199,9 @@ def temper_to_entropy(v: pd.Series, target: pd.Series) -> pd.Series:
     log_k = np.log(np.maximum(size, 2))
 
     def at(temp: np.ndarray) -> np.ndarray:
-        scaled = logp / temp[:, None]
+        scaled = np.where(mask, logp / temp[:, None], -np.inf)
         # subtracting the row maximum keeps the largest term at one, so sharp tempering cannot underflow to 0/0
-        scaled = scaled - np.where(mask, scaled, -np.inf).max(axis=1, initial=-1e300)[:, None]
-        q = np.where(mask, np.exp(scaled), 0.0)
+        q = np.exp(scaled - scaled.max(axis=1, initial=-1e300)[:, None])
         return q / np.maximum(q.sum(axis=1), 1e-300)[:, None]
 
     lo, hi = np.full(len(goal), 1e-3), np.full(len(goal), 1e3)
