@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "ingest", "splitting", "errors", "calibration")
+MODULES = ("scoring", "ingest", "splitting", "errors", "calibration", "segmenting", "answering")
 
 
 def load() -> tuple[dict, dict]:

@@ -296,7 +296,7 @@ SQL = {
       ct AS (SELECT *, c / sum(c) OVER (PARTITION BY record_id, gi) AS cp FROM cx),
       src AS (SELECT record_id, gi AS system, list(ln(cp) ORDER BY pos) AS lp, any_value(k) AS k, any_value(target) AS target FROM ct GROUP BY record_id, gi),
       {bisect('src')},
-      warm AS (SELECT ct.*, pow(cp / max(cp) OVER (PARTITION BY record_id, gi), 1 / temp) AS r FROM ct JOIN solved ON solved.record_id = ct.record_id AND solved.system = ct.gi),
+      warm AS (SELECT ct.*, pow(cp / max(cp) OVER (PARTITION BY ct.record_id, gi), 1 / temp) AS r FROM ct JOIN solved ON solved.record_id = ct.record_id AND solved.system = ct.gi),
       done AS (SELECT *, CASE WHEN param = 0 OR abs(target - pe) < 1e-6 THEN q ELSE r / sum(r) OVER (PARTITION BY record_id, gi) END AS t FROM warm),
       sc AS (SELECT gi, param, CASE WHEN any_value(tvd_u) <= 0 THEN 0 ELSE 100 * (1 - sum(abs(p - t)) / 2 / any_value(tvd_u)) END AS s FROM done GROUP BY record_id, gi, param),
       g AS (SELECT gi, param, avg(s) AS score FROM sc GROUP BY ALL)

@@ -91,6 +91,10 @@ def coverage(parsed: DataFrame, groups: Sequence[str], usable: Column) -> DataFr
     )
 
 
+def _times(weight: float):
+    return lambda x: x * F.lit(weight)
+
+
 def blend(preds: DataFrame, cells: DataFrame, weights: Mapping[str, float], name: str = "ensemble") -> DataFrame:
     """Fixed-weight mix of systems, each scaled to sum one first; systems without mass are skipped."""
     total = float(sum(weights.values()))
@@ -109,7 +113,8 @@ def blend(preds: DataFrame, cells: DataFrame, weights: Mapping[str, float], name
         v = dist.clip0(dist.align(F.col(f"_{i}"), F.col("options")))
         wide = wide.withColumn(f"_v{i}", F.when(F.col(f"_{i}").isNotNull(), v).otherwise(zero))
         part = F.when(dist.vsum(F.col(f"_v{i}")) > 0, dist.renorm(F.col(f"_v{i}"))).otherwise(zero)
-        acc = F.zip_with(acc, part, lambda a, b, w=weights[s] / total: a + F.lit(w) * b)
+        scaled = F.transform(part, _times(weights[s] / total))
+        acc = F.zip_with(acc, scaled, lambda a, b: a + b)
     mixed = wide.withColumn("_mix", dist.renorm(acc))
     return mixed.select("record_id", F.lit(name).alias("system"), dist.as_map(F.col("options"), F.col("_mix")).alias("pred"))
 
@@ -173,3 +178,20 @@ def size_curve(
     scored = vectors.join(truths, "record_id").withColumn("s", dist.skill(dist.tvd(F.col("p"), F.col("q")), F.col("z")))
     per_record = scored.groupBy("record_id", "size").agg(F.avg("s").alias("s"))
     return per_record.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("score"))
+
+
+def blend_sweep(scored: DataFrame, first: str, second: str, weights: Sequence[float]) -> DataFrame:
+    """Mean score and mean predicted entropy of every two-system mix; ``weight`` is the first system's."""
+    pick = lambda s: F.first(F.when(F.col("system") == s, F.col("q")), ignorenulls=True)
+    wide = (
+        scored.filter(F.col("system").isin(first, second))
+        .groupBy("record_id")
+        .agg(F.first("p").alias("p"), F.first("z").alias("z"), F.first("tvd_u").alias("tvd_u"), pick(first).alias("a"), pick(second).alias("b"))
+    )
+    tried = wide.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    mix = F.zip_with("a", "b", lambda a, b: F.col("weight") * a + (1.0 - F.col("weight")) * b)
+    tried = tried.withColumn("v", dist.renorm(mix))
+    score = dist.skill(dist.tvd(F.col("p"), F.col("v")), F.coalesce("z", "tvd_u"))
+    return tried.groupBy("weight").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(score).alias("score"), F.avg(dist.entropy(F.col("v"))).alias("pred_h")
+    )

@@ -146,6 +146,57 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("record_id", "s.system", dist.as_map(F.col("options"), F.col("s.v")).alias("pred"))
 
 
+# -- responses of the systems as text ----------------------------------------------
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response text per record and system; every seventh (by hash) is unreadable."""
+    preds = predictions(spark, sf_dir)
+    broken = keys.hash32(F.col("record_id"), F.col("system")) % 7 == 0
+    fenced = F.concat(F.lit("Estimate: ```json "), F.to_json("pred"), F.lit(" ```"))
+    return preds.select(
+        "record_id", "system", F.when(broken, F.lit("I would rather not say.")).otherwise(fenced).alias("text")
+    )
+
+
+def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five draws per record, numbered in system order, stated with twice their mass; some unreadable."""
+    preds = predictions(spark, sf_dir)
+    draw = F.array_position(F.array(*[F.lit(s) for s in SYSTEMS]), F.col("system")).cast("int") - 1
+    rows = preds.select("record_id", draw.alias("draw"), F.transform_values("pred", lambda _, v: v * 2).alias("m"))
+    broken = keys.hash32(F.col("record_id"), F.col("draw").cast("string")) % 7 == 0
+    stated = F.concat(F.lit("My view: "), F.to_json("m"), F.lit(" as asked."))
+    return rows.select("record_id", "draw", F.when(broken, F.lit("{no idea}")).otherwise(stated).alias("text"))
+
+
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer as one vote text of its finest cell: JSON, a sentence, or an unknown label."""
+    rows = responses(spark, sf_dir)
+    record = F.concat(
+        "dataset", F.lit("|"), "question", F.lit("|g1="), F.coalesce("g1", F.lit("NA")), F.lit("|g2="), F.coalesce("g2", F.lit("NA"))
+    )
+    odd = keys.hash32(record, F.col("option")) % 5 == 0
+    as_json = F.concat(F.lit('{"choice": "'), "option", F.lit('"}'))
+    unknown = F.concat(F.lit('{"choice": "'), "option", F.lit('?"}'))
+    sentence = F.concat(F.lit("I would pick "), "option", F.lit("."))
+    return rows.select(
+        record.alias("record_id"), F.when(F.col("half"), as_json).when(odd, unknown).otherwise(sentence).alias("text")
+    )
+
+
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One usage row per event: model, token counts, native cost for some, cached flag."""
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("r"), e).alias("key"),
+        F.concat(F.lit("model_"), F.col("event_type")).alias("model"),
+        (100 + F.col("user_id") * 3).alias("prompt_tokens"),
+        (20 + e % 50).alias("completion_tokens"),
+        F.when(e % 3 == 0, F.col("value") / 1000).alias("cost"),
+        (e % 4 == 0).alias("cached"),
+    )
+
+
 # -- personas ----------------------------------------------------------------------
 
 STATES = (
