@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "ingest", "splitting", "errors", "calibration", "segmenting", "answering")
+MODULES = ("scoring", "ingest", "splitting", "errors", "calibration", "segmenting", "answering", "comparing", "wording", "people", "logs")
 
 
 def load() -> tuple[dict, dict]:

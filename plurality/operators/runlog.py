@@ -17,21 +17,19 @@ STRETCH = 4096  # nodes of a run handled together by the running totals
 
 
 def with_paths(log: DataFrame) -> DataFrame:
-    """Add ``path`` (root to node), ``sort_path`` (seq along it) and ``depth``.
+    """Add ``path`` (root to node), ``lever_path``, ``sort_path`` (seq along it) and ``depth``.
 
     Every round joins each open pointer to the ancestor it names and takes over that
     ancestor's pointer, so the covered depth doubles: a tree of depth d needs log2(d) rounds.
     """
-    state = log.select(
-        "run_id", "node_id", F.col("parent_id").alias("up"), F.array("node_id").alias("path"), F.array("seq").alias("sort_path")
-    )
+    tracks = {"path": "node_id", "lever_path": "lever_id", "sort_path": "seq"}
+    state = log.select("run_id", "node_id", F.col("parent_id").alias("up"), *[F.array(c).alias(t) for t, c in tracks.items()])
     while not state.filter(F.col("up").isNotNull()).isEmpty():
         above = state.select(
             "run_id",
             F.col("node_id").alias("up"),
             F.col("up").alias("_next"),
-            F.col("path").alias("_path"),
-            F.col("sort_path").alias("_sort"),
+            *[F.col(t).alias(f"_{t}") for t in tracks],
         )
         joined = state.join(above, ["run_id", "up"], "left")
         state = cut(
@@ -39,8 +37,7 @@ def with_paths(log: DataFrame) -> DataFrame:
                 "run_id",
                 "node_id",
                 F.col("_next").alias("up"),
-                F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
-                F.when(F.col("_sort").isNull(), F.col("sort_path")).otherwise(F.concat("_sort", "sort_path")).alias("sort_path"),
+                *[F.when(F.col(f"_{t}").isNull(), F.col(t)).otherwise(F.concat(f"_{t}", t)).alias(t) for t in tracks],
             )
         )
     out = log.join(state.drop("up"), ["run_id", "node_id"])

@@ -7,10 +7,11 @@ quality and language, and conversation roles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plurality.functions import dist, keys
+from plurality.functions.rounding import r6
 from plurality.operators.cells import QUESTION, cells_from_counts, count_answers
 from plurality.plans.lineage import stored
 from plurality.plans.skew import attach
@@ -237,3 +238,100 @@ def personas(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("cultural_background"),
         F.when(k % 5 == 0, F.lit("Collects stamps")).alias("hobbies_and_interests"),
     )
+
+
+AGES = ("18-29", "30-49", "50-64", "65+", "17-")
+SEXES = ("female", "male", "other")
+REGIONS = ("Northeast", "Midwest", "South", "West")
+MARITAL_ANSWERS = ("married", "never been married", "divorced", "widowed", "living with a partner")
+
+
+def persona_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct demographic segments named by the orders, some of which no persona can be matched to."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    axes = {
+        "AGE": F.when(o % 2 == 0, _cycle(AGES, c)),
+        "SEX": F.when(o % 3 == 0, _cycle(SEXES, c)),
+        "CREGION": F.when(o % 5 == 0, _cycle(REGIONS, c)),
+        "MARITAL": F.when(o % 7 == 0, _cycle(MARITAL_ANSWERS, c)),
+        "RACE": F.when(o % 11 == 0, F.lit("any")),
+    }
+    segment = F.map_filter(F.create_map(*[x for n, v in axes.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
+    rows = table(spark, sf_dir, "orders").select(segment.alias("segment"))
+    return rows.withColumn("segment_key", keys.segment_key(F.col("segment"))).dropDuplicates(["segment_key"])
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per order priority and one node per month with orders; parents by halving the position."""
+    months = (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_orderpriority").alias("run_id"), F.trunc("o_orderdate", "month").alias("month"))
+        .agg(F.count(F.lit(1)).alias("n"), (F.avg("o_totalprice") / 1000).alias("price"))
+    )
+    # a run has one row per calendar month, so this window is small
+    seq = F.row_number().over(Window.partitionBy("run_id").orderBy("month")) - 1
+    rows = months.withColumn("seq", seq.cast("bigint"))
+    s = F.col("seq")
+    node = lambda i: F.concat(F.lit("n"), F.lpad(i.cast("string"), 4, "0"))
+    return rows.select(
+        "run_id",
+        "seq",
+        node(s).alias("node_id"),
+        F.concat(F.lit("c"), s % 29).alias("config_hash"),
+        F.when(s % 13 != 0, node(F.floor((s - 1) / 2))).alias("parent_id"),
+        F.concat(F.lit("lever_"), s % 4).alias("lever_id"),
+        F.concat(F.lit("month "), F.col("month").cast("string")).alias("rationale"),
+        r6("price").alias("dev_score"),
+        F.when(s % 3 != 2, r6(F.col("price") + s / 2)).alias("val_score"),
+        F.when(s % 5 == 0, F.lit(0.0)).otherwise(F.col("n") / 100).alias("cost_usd"),
+        (s % 2 == 0).alias("accepted"),
+        F.create_map(F.lit("n"), F.col("n").cast("string")).alias("params"),
+    )
+
+
+# -- documents as survey items ------------------------------------------------------
+
+OPENINGS = (
+    "",
+    "In a lottery: ",
+    "Win $5 at 20% odds: ",
+    "A moral dilemma: ",
+    "Indicate your level of agreement: ",
+    "The number game: ",
+    "  ",
+    "\n",
+    "Say: ",
+)
+PROMPTS = (
+    "You answer a European Social Survey item. The year is 2012.",
+    "You are from Kenya. the year is 1999.",
+    "",
+    "A wisdom of crowds item.",
+    "openpsychometrics",
+)
+
+
+def text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one survey item, whole text, with varied openings, prompts, options and segments."""
+    d = F.col("doc_id")
+    options = F.when(d % 4 == 0, F.array(F.lit("Agree"), F.lit("Disagree"))).otherwise(F.array(F.lit("A"), F.lit("B")))
+    pairs = {
+        "cntry": F.when(d % 4 == 1, F.lit("Finland")),
+        "age_group": F.when(d % 4 == 1, F.lit("30-49")),
+        "rlgdgr": F.when(d % 4 == 2, F.lit("7.0")),
+        "shoe_size": F.when(d % 4 == 2, F.lit("big")),
+        "SEX": F.when(d % 4 == 3, F.lit("female")),
+        "domicil": F.when(d % 4 == 3, F.col("lang")),
+    }
+    segment = F.map_filter(F.create_map(*[x for n, v in pairs.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc"), d).alias("record_id"),
+        F.col("source").alias("dataset"),
+        F.lit("grouped").alias("split"),
+        F.concat(
+            _cycle(OPENINGS, d), "text", F.when(d % 3 == 0, F.lit("\nOptions:\n(A): yes\n(B): no")).otherwise(F.lit(""))
+        ).alias("question"),
+        _cycle(PROMPTS, d).alias("group_prompt"),
+        options.alias("options"),
+        segment.alias("segment"),
+    )
