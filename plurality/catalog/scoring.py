@@ -58,7 +58,8 @@ def sweep_pivot(spark, sf):
 
 def bootstrap_overall(spark, sf):
     one = scored(spark, sf).filter(F.col("system") == "blend")
-    return rounded(bootstrap.bootstrap_ci(one, [], "score", n_boot=B, seed=7), "mean", "ci_low", "ci_high")
+    out = bootstrap.bootstrap_ci(one, [], "score", n_boot=B, seed=7).drop("below_zero")
+    return rounded(out, "mean", "ci_low", "ci_high")
 
 
 def bootstrap_eta(spark, sf):

@@ -2,8 +2,8 @@
 
 Every record draws a Poisson(1) weight per replicate from a hash of its id, so the
 resample does not depend on how rows are partitioned and a re-run gives the same digits.
-Batches emit one (group, replicate, sum of weights, weighted sum) row each; the n x B
-weights exist only inside an Arrow batch.  numpy-style index resampling is matched in
+Tasks emit one row of sums per group, with a slot per replicate; the n x B weights exist
+only in small blocks inside a task.  numpy-style index resampling is matched in
 distribution, not digit by digit.
 """
 
@@ -41,54 +41,102 @@ def _weights(hashes: np.ndarray, replicates: np.ndarray, lookup: np.ndarray) ->
     x ^= x >> np.uint32(13)
     x *= np.uint32(MIX_B)
     x ^= x >> np.uint32(16)
-    return lookup[x & np.uint32(0xFFFF)]
+    return lookup[x & np.uint32(0xFFFF)]  # unsigned arithmetic wraps, which is what the mixing wants
+
+
+def _partial_sums(n_boot: int, rows_at_once: int = 64, groups_at_once: int = 500):
+    """Per task and group: weight sums and weighted sums of all replicates; slot 0 has weight one for every row."""
+    schema = pa.schema(
+        [
+            ("_group", pa.string()),
+            ("w", pa.list_(pa.float64())),
+            ("wx", pa.list_(pa.float64())),
+            ("below", pa.float64()),
+            ("also", pa.list_(pa.float64())),
+        ]
+    )
 
+    def emit(sums: dict) -> pa.RecordBatch:
+        columns = [list(sums), *[[entry[k] for entry in sums.values()] for k in range(4)]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
+        )
 
-def _partial_sums(n_boot: int, rows_at_once: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = np.searchsorted(np.array(poisson_cuts()), np.arange(65536), side="right").astype(np.float64)
+        lookup = np.searchsorted(np.array(poisson_cuts()), np.arange(65536), side="right").astype(np.float32)
         replicates = np.arange(n_boot, dtype=np.uint32)
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                group = pa.array(batch.column("_group")).dictionary_encode()
-                codes = group.indices.to_numpy(zero_copy_only=False)
-                hashes = batch.column("_hash").to_numpy(zero_copy_only=False).astype(np.uint32)
-                values = batch.column("_value").to_numpy(zero_copy_only=False)
-                for code, name in enumerate(group.dictionary.to_pylist()):
-                    mine = np.flatnonzero(codes == code)
-                    w = np.zeros(n_boot)
-                    wx = np.zeros(n_boot)
-                    for start in range(0, len(mine), rows_at_once):
-                        part = mine[start : start + rows_at_once]
-                        block = _weights(hashes[part], replicates, lookup)
-                        w += block.sum(axis=0)
-                        wx += values[part] @ block
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * n_boot), pa.array(np.arange(n_boot, dtype=np.int32)), pa.array(w), pa.array(wx)],
-                        names=["_group", "replicate", "w", "wx"],
-                    )
+        sums: dict = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            group = pa.array(batch.column("_group")).dictionary_encode()
+            codes = group.indices.to_numpy(zero_copy_only=False)
+            hashes = batch.column("_hash").to_numpy(zero_copy_only=False).astype(np.uint32)
+            values = batch.column("_value").to_numpy(zero_copy_only=False)
+            also = batch.column("_also").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            order = np.argsort(codes, kind="stable")
+            starts = np.searchsorted(codes[order], np.arange(len(group.dictionary) + 1))
+            for code, name in enumerate(group.dictionary.to_pylist()):
+                mine = order[starts[code] : starts[code + 1]]
+                entry = sums.setdefault(name, [np.zeros(n_boot + 1), np.zeros(n_boot + 1), 0.0, np.zeros(also.shape[1])])
+                entry[0][0] += len(mine)
+                entry[1][0] += values[mine].sum()
+                entry[2] += float((values[mine] < 0).sum())
+                entry[3] += also[mine].sum(axis=0)
+                for at in range(0, len(mine) if n_boot else 0, rows_at_once):
+                    part = mine[at : at + rows_at_once]
+                    block = _weights(hashes[part], replicates, lookup).astype(np.float64)
+                    entry[0][1:] += block.sum(axis=0)
+                    entry[1][1:] += values[part] @ block
+            if len(sums) >= groups_at_once:
+                yield emit(sums)
+                sums = {}
+        if sums:
+            yield emit(sums)
 
     return run
 
 
-def replicate_means(
-    df: DataFrame, groups: Sequence[str], value: str, n_boot: int = 2000, seed: int = 0, id_column: str = "record_id"
+def _replicates(
+    df: DataFrame, groups: Sequence[str], value: str, n_boot: int, seed: int, id_column: str, also: Sequence[str] = ()
 ) -> DataFrame:
-    """(groups, replicate, mean) of the resampled means."""
+    """(_group, slot, w, wx, below, also): slot 0 is the sample itself, the others are replicates."""
     named = F.to_json(F.struct(*groups)) if groups else F.lit("{}")
     rows = df.filter(F.col(value).isNotNull()).select(
         named.alias("_group"),
         keys.hash32(F.lit(str(seed)), F.col(id_column)).alias("_hash"),
         F.col(value).cast("double").alias("_value"),
+        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in also]).cast("array<double>").alias("_also"),
     )
-    sums = rows.mapInArrow(_partial_sums(n_boot), "_group string, replicate int, w double, wx double")
-    means = sums.groupBy("_group", "replicate").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
+    out = "_group string, w array<double>, wx array<double>, below double, also array<double>"
+    sums = rows.mapInArrow(_partial_sums(n_boot), out)
+    slots = sums.select("_group", "below", "also", F.posexplode(F.arrays_zip("w", "wx")).alias("slot", "s"))
+    first = lambda c: F.sum(F.when(F.col("slot") == 0, c))
+    return slots.groupBy("_group", "slot").agg(
+        F.sum("s.w").alias("w"),
+        F.sum("s.wx").alias("wx"),
+        first(F.col("below")).alias("below"),
+        *[first(F.get("also", F.lit(i))).alias(f"_also_{c}") for i, c in enumerate(also)],
+    )
+
+
+def _named(df: DataFrame, source: DataFrame, groups: Sequence[str], *columns) -> DataFrame:
     if not groups:
-        return means.select("replicate", "mean")
-    back = F.from_json("_group", df.select(*groups).schema)
-    return means.select(*[back[g].alias(g) for g in groups], "replicate", "mean")
+        return df.select(*columns)
+    back = F.from_json("_group", source.select(*groups).schema)
+    return df.select(*[back[g].alias(g) for g in groups], *columns)
+
+
+def _mean():
+    return F.col("wx") / F.nullif(F.col("w"), F.lit(0.0))
+
+
+def replicate_means(
+    df: DataFrame, groups: Sequence[str], value: str, n_boot: int = 2000, seed: int = 0, id_column: str = "record_id"
+) -> DataFrame:
+    """(groups, replicate, mean) of the resampled means."""
+    sums = _replicates(df, groups, value, n_boot, seed, id_column).filter(F.col("slot") > 0)
+    return _named(sums, df, groups, (F.col("slot") - 1).alias("replicate"), _mean().alias("mean"))
 
 
 def bootstrap_ci(
@@ -99,19 +147,26 @@ def bootstrap_ci(
     alpha: float = 0.05,
     seed: int = 0,
     id_column: str = "record_id",
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """n, mean and percentile interval of the mean per group."""
+    """n, mean, percentile interval and share below zero per group, in one pass over the rows.
+
+    ``also`` names further columns whose plain means are wanted for the same groups.
+    """
     groups = list(groups)
-    point = df.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    means = replicate_means(df, groups, value, n_boot, seed, id_column)
-    band = means.groupBy(*groups).agg(
-        F.percentile("mean", F.lit(alpha / 2)).alias("ci_low"),
-        F.percentile("mean", F.lit(1 - alpha / 2)).alias("ci_high"),
+    sums = _replicates(df, groups, value, n_boot, seed, id_column, also)
+    own = F.col("slot") == 0
+    point = lambda c: F.max(F.when(own, F.col(c)))
+    mean = F.when(~own, _mean())
+    out = sums.groupBy("_group").agg(
+        point("w").cast("bigint").alias("n"),
+        F.max(F.when(own, _mean())).alias("mean"),
+        F.percentile(mean, F.lit(alpha / 2)).alias("ci_low"),
+        F.percentile(mean, F.lit(1 - alpha / 2)).alias("ci_high"),
+        (point("below") / point("w")).alias("below_zero"),
+        *[(point(f"_also_{c}") / point("w")).alias(c) for c in also],
     )
-    if not groups:  # two one-row tables
-        one = F.lit(1).alias("_one")
-        return point.select(one, "*").join(band.select(one, "*"), "_one").drop("_one")
-    return point.join(band, groups)
+    return _named(out, df, groups, "n", "mean", "ci_low", "ci_high", "below_zero", *also)
 
 
 def noise_scale(

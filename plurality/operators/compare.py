@@ -15,9 +15,10 @@ from plurality.plans.skew import attach
 def blocks(paired: DataFrame, n_boot: int = 2000) -> DataFrame:
     """Mean of both systems and of their difference, overall and per split, with an interval on the difference."""
     rows = paired.withColumn("block", F.explode(F.array(F.lit("overall"), F.col("split"))))
-    means = rows.groupBy("block").agg(F.avg("score").alias("first"), F.avg("score_b").alias("second"))
-    ci = bootstrap_ci(rows, ["block"], "delta", n_boot=n_boot)
-    return means.join(ci, "block").withColumnsRenamed({"mean": "delta", "ci_low": "d_lo", "ci_high": "d_hi"})
+    out = bootstrap_ci(rows, ["block"], "delta", n_boot=n_boot, also=["score", "score_b"])
+    return out.drop("below_zero").withColumnsRenamed(
+        {"mean": "delta", "ci_low": "d_lo", "ci_high": "d_hi", "score": "first", "score_b": "second"}
+    )
 
 
 def confirmation(block_table: DataFrame) -> DataFrame:
@@ -126,12 +127,10 @@ def two_fold_select(wide: DataFrame, first: str, second: str, n_boot: int = 2000
     decisions = fit.select("dataset", (1 - F.col("fold")).cast("int").alias("fold"), "use_second")
     picked = attach(rows, decisions, ["dataset", "fold"], ["record_id"])
     chosen = F.when(F.coalesce("use_second", F.lit(False)), F.col(second)).otherwise(F.col(first))
-    scored = picked.withColumn("chosen", chosen).withColumn("gain", F.col("chosen") - F.col(first)).withColumn("_k", F.lit(1))
-    means = scored.groupBy("_k").agg(
-        F.avg(first).alias("first"), F.avg(second).alias("second"), F.avg("chosen").alias("selected")
-    )
-    ci = bootstrap_ci(scored, ["_k"], "gain", n_boot=n_boot)
-    return means.join(ci, "_k").drop("_k").withColumnsRenamed({"mean": "gain", "ci_low": "g_lo", "ci_high": "g_hi"})
+    scored = picked.withColumn("selected", chosen).withColumn("gain", F.col("selected") - F.col(first))
+    scored = scored.withColumns({"_a": F.col(first), "_b": F.col(second)})
+    out = bootstrap_ci(scored, [], "gain", n_boot=n_boot, also=["_a", "_b", "selected"]).drop("below_zero")
+    return out.withColumnsRenamed({"mean": "gain", "ci_low": "g_lo", "ci_high": "g_hi", "_a": "first", "_b": "second"})
 
 
 def fold_choices(wide: DataFrame, first: str, second: str) -> DataFrame:

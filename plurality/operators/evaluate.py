@@ -67,27 +67,29 @@ def wide_scores(scored: DataFrame, systems: Sequence[str], value: str = "score")
 
 def headline(scored: DataFrame, groups: Sequence[str] = ("system",), n_boot: int = 2000, seed: int = 0) -> DataFrame:
     """n, mean score with interval, and share of records below uniform level."""
-    below = scored.groupBy(*groups).agg(F.avg((F.col("score") < 0).cast("double")).alias("frac_below_uniform"))
-    return bootstrap_ci(scored, groups, "score", n_boot=n_boot, seed=seed).join(below, list(groups))
+    out = bootstrap_ci(scored, groups, "score", n_boot=n_boot, seed=seed)
+    return out.withColumnRenamed("below_zero", "frac_below_uniform")
 
 
 def score_by(scored: DataFrame, columns: Sequence[str], n_boot: int = 2000, seed: int = 0) -> DataFrame:
     """Mean score, interval and n for each value of ``columns``, best first."""
-    return bootstrap_ci(scored, columns, "score", n_boot=n_boot, seed=seed).orderBy(F.desc("mean"), *columns)
+    out = bootstrap_ci(scored, columns, "score", n_boot=n_boot, seed=seed).drop("below_zero")
+    return out.orderBy(F.desc("mean"), *columns)
 
 
 def split_stats(scored: DataFrame, groups: Sequence[str] = ("system",), n_boot: int = 2000) -> DataFrame:
     """Grouped mean with interval and half-width, population mean, pooled mean and split average."""
-    on = lambda s: F.avg(F.when(F.col("split") == s, F.col("score")))
-    means = scored.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        on("grouped").alias("grouped"),
-        on("pop").alias("pop"),
-        F.avg("score").alias("pooled"),
+    parts = bootstrap_ci(scored, [*groups, "split"], "score", n_boot=n_boot)
+    on = lambda s, c: F.max(F.when(F.col("split") == s, F.col(c)))
+    out = parts.groupBy(*groups).agg(
+        F.sum("n").alias("n"),
+        on("grouped", "mean").alias("grouped"),
+        on("pop", "mean").alias("pop"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("pooled"),
+        on("grouped", "ci_low").alias("g_lo"),
+        on("grouped", "ci_high").alias("g_hi"),
     )
-    ci = bootstrap_ci(scored.filter(F.col("split") == "grouped"), groups, "score", n_boot=n_boot)
-    ci = ci.select(*groups, F.col("ci_low").alias("g_lo"), F.col("ci_high").alias("g_hi"))
-    return means.join(ci, list(groups), "left").withColumns(
+    return out.withColumns(
         {
             "g_hw": (F.col("g_hi") - F.col("g_lo")) / 2,
             "split_avg": (F.col("grouped") + F.col("pop")) / 2,

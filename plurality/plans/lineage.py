@@ -33,8 +33,14 @@ def scratch(spark, name: str) -> str:
     return f"{tempfile.mkdtemp(prefix='plurality-')}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: no recomputation, and scans of it prune and push down."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, spread: str | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: no recomputation, and scans of it prune and push down.
+
+    ``spread`` writes at least one file per core, hashed by that column, so that heavy
+    per-row expressions on a table of few megabytes still use every core.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    out = df if spread is None else df.repartition(spark.sparkContext.defaultParallelism, spread)
+    out.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

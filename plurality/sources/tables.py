@@ -22,25 +22,48 @@ SUBSETS = ("half",)
 _CELLS: dict[tuple[str, str], DataFrame] = {}
 
 
+# Column types of the source tables; stating them saves a pass over the file footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _answers(df: DataFrame, dataset: Column, question: Column, option: Column, g1: Column, g2: Column, half: Column):
-    return df.select(
-        dataset.alias("dataset"),
-        question.alias("question"),
-        option.cast("string").alias("option"),
-        g1.cast("string").alias("g1"),
-        g2.cast("string").alias("g2"),
-        (half == 0).alias("half"),
-    )
+def _answer(dataset, question, option, g1, g2, asked: Column | None = None) -> Column:
+    """One answer of a source row; NULL where the row was not asked this question."""
+    col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    fields = {"dataset": dataset, "question": question, "option": option, "g1": g1, "g2": g2}
+    answer = F.struct(*[col(v).cast("string").alias(n) for n, v in fields.items()])
+    return answer if asked is None else F.when(asked, answer)
+
+
+def _answers(rows: DataFrame, half: Column, *answers: Column) -> DataFrame:
+    """All answers of a source in one pass over it."""
+    if len(answers) == 1:
+        return rows.select(answers[0].alias("a"), (half == 0).alias("half")).select("a.*", "half")
+    out = rows.select(F.explode(F.array(*answers)).alias("a"), (half == 0).alias("half"))
+    return out.filter(F.col("a").isNotNull()).select("a.*", "half")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per answer: dataset, question, option, two demographic variables, first-half flag."""
     t = lambda name: table(spark, sf_dir, name)
-    c, lit = F.col, F.lit
+    c = F.col
     people = (
         t("customer")
         .join(t("nation"), c("c_nationkey") == c("n_nationkey"))
@@ -48,56 +71,46 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("c_custkey", "c_mktsegment", "n_name", "r_name")
     )
     orders = t("orders").join(people, c("o_custkey") == c("c_custkey"))
-    asked = orders.withColumn(
-        "qa",
-        F.explode(
-            F.array(
-                F.struct(lit("status").alias("q"), c("o_orderstatus").alias("a")),
-                F.struct(lit("priority").alias("q"), c("o_orderpriority").alias("a")),
-            )
-        ),
-    )
-    lines = t("lineitem").select("l_orderkey", "l_returnflag")
-    returned = lines.join(
-        orders.select("o_orderkey", "n_name", "r_name", "c_mktsegment"), c("l_orderkey") == c("o_orderkey")
+    person = (c("n_name"), c("c_mktsegment"))
+    lines = t("lineitem").join(
+        orders.select("o_orderkey", "n_name", "r_name", "c_mktsegment"), c("l_orderkey") == c("o_orderkey"), "left"
     )
-    docs = t("documents").select("doc_id", "lang", "source", "n_chars")
+    docs = t("documents").join(t("labels"), "doc_id", "left")
     size = F.when(c("n_chars") < 500, "short").when(c("n_chars") < 3000, "medium").otherwise("long")
     parts = [
-        _answers(asked, c("r_name"), c("qa.q"), c("qa.a"), c("n_name"), c("c_mktsegment"), c("o_orderkey") % 2),
         _answers(
-            returned, c("r_name"), lit("returnflag"), c("l_returnflag"), c("n_name"), c("c_mktsegment"), c("o_orderkey") % 2
+            orders,
+            c("o_orderkey") % 2,
+            _answer(c("r_name"), "status", c("o_orderstatus"), *person),
+            _answer(c("r_name"), "priority", c("o_orderpriority"), *person),
         ),
         _answers(
-            t("lineitem"),
-            lit("suppliers"),
-            F.concat(lit("returned to supplier "), c("l_suppkey")),
-            c("l_returnflag"),
-            c("l_linestatus"),
-            c("l_linenumber") % 2,
+            lines,
             c("l_orderkey") % 2,
+            _answer(c("r_name"), "returnflag", c("l_returnflag"), *person, asked=c("o_orderkey").isNotNull()),
+            _answer(
+                "suppliers",
+                F.concat(F.lit("returned to supplier "), c("l_suppkey")),
+                c("l_returnflag"),
+                c("l_linestatus"),
+                c("l_linenumber") % 2,
+            ),
         ),
         _answers(
-            docs.join(t("labels"), "doc_id"), c("lang"), lit("quality"), c("quality"), c("source"), c("toxic"), c("doc_id") % 2
+            docs,
+            c("doc_id") % 2,
+            _answer(c("lang"), "quality", c("quality"), c("source"), c("toxic"), asked=c("quality").isNotNull()),
+            _answer("documents", "lang", c("lang"), size, c("doc_id") % 4),
         ),
-        _answers(docs, lit("documents"), lit("lang"), c("lang"), size, c("doc_id") % 4, c("doc_id") % 2),
         _answers(
             t("events"),
-            lit("events"),
-            lit("event_type"),
-            c("event_type"),
-            c("user_id") % 5,
-            F.floor(F.hour("ts") / 6),
             c("event_id") % 2,
+            _answer("events", "event_type", c("event_type"), c("user_id") % 5, F.floor(F.hour("ts") / 6)),
         ),
         _answers(
             t("conversations"),
-            lit("conversations"),
-            lit("role"),
-            c("role"),
-            F.least(c("turn"), lit(4)),
-            c("conv_id") % 5,
             c("conv_id") % 2,
+            _answer("conversations", "role", c("role"), F.least(c("turn"), F.lit(4)), c("conv_id") % 5),
         ),
     ]
     out = parts[0]
@@ -115,7 +128,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CELLS:
         counts = stored(count_answers(responses(spark, sf_dir), DIMS, SUBSETS), "counts")
-        _CELLS[key] = stored(cells_from_counts(counts, DIMS, SUBSETS), "cells")
+        _CELLS[key] = stored(cells_from_counts(counts, DIMS, SUBSETS), "cells", "record_id")
     return _CELLS[key]
 
 
