@@ -8,6 +8,8 @@ from plurality.catalog.base import R, VIEWS, r6, rounded
 from plurality.catalog.ingest import BUCKETS
 from plurality.functions import dist
 from plurality.operators import calibrate, splits
+from plurality.operators.evaluate import normalizers
+from plurality.plans.skew import attach, one_row
 from plurality.sources import tables
 
 MODELS = ("marginal", "half", "blend", "peaked")  # systems with something to fit; uniform cannot be moved
@@ -61,9 +63,7 @@ def grid_scores(spark, sf):
 def abstain(spark, sf):
     """Flagged datasets per system, by each of the three rules."""
     rows = labelled(spark, sf, *MODELS)
-    z = rows.select("split", "dataset", "record_id", "tvd_u").dropDuplicates(["record_id"])
-    z = z.groupBy("split", "dataset").agg(F.avg("tvd_u").alias("z"))
-    rows = rows.join(z, ["split", "dataset"])
+    rows = attach(rows, normalizers(tables.cells(spark, sf)), ["split", "dataset"], ["record_id"])
     rows = rows.withColumns(
         {
             "score": dist.skill(dist.tvd(F.col("p"), dist.renorm(F.col("v"))), F.col("z")),
@@ -154,9 +154,7 @@ def entropy_target_fit(spark, sf):
     fit = calibrate.EntropyTarget().fit(rows)
     after = fit.transform(rows).agg(F.avg(calibrate.row_score(F.col("v"))).alias("after"))
     before = rows.agg(F.avg(calibrate.row_score(F.col("v"))).alias("before"))
-    one = F.lit(fit.gain).alias("gain")
-    out = after.select(one, "after").join(before.select(one, "before"), "gain")
-    return rounded(out, "after", "before")
+    return rounded(one_row(after, before).select(F.lit(fit.gain).alias("gain"), "*"), "after", "before")
 
 
 def feature_target(spark, sf):

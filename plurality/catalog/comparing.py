@@ -11,6 +11,7 @@ from plurality.catalog.ingest import BUCKETS, KINDS
 from plurality.operators import compare, evaluate, explore, export, specs, splits
 from plurality.operators.decompose import decompose
 from plurality.operators.export import kind_of
+from plurality.plans.lineage import stored
 from plurality.sources import tables
 
 B = 2000
@@ -22,7 +23,7 @@ def _paired(spark, sf, a="marginal", b="half"):
 
 
 def _wide(spark, sf):
-    return evaluate.wide_scores(scored(spark, sf), tables.SYSTEMS)
+    return stored(evaluate.wide_scores(scored(spark, sf), tables.SYSTEMS), "wide")
 
 
 def paired_delta(spark, sf):
@@ -99,19 +100,13 @@ def explorer_filter(spark, sf):
         "search": {"search": " Returned "},
         "both": {"kind": "opinion_survey", "bucket": "dev", "search": "supplier 1"},
     }
-    tagged = None
-    for name, setting in views.items():
-        part = explore.filter_export(rows, **setting).withColumn("view", F.lit(name))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    means = tagged.groupBy("view").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("our_score").alias("ours"), F.avg("base_score").alias("base")
-    )
-    return rounded(means.withColumn("lift", F.col("ours") - F.col("base")), "ours", "base", "lift")
+    return rounded(explore.summaries(rows, views), "ours", "base", "lift")
 
 
 def explorer_page(spark, sf):
     """First page of one filter in each of the six orders."""
     rows = explore.filter_export(_export(spark, sf), kind="opinion_survey")
+    rows = stored(rows.select("question_id", "our_score", "lift", "truth_entropy"), "page")
     out = None
     for order in explore.ORDERS:
         page = explore.ordered(rows, order).limit(20).select(F.lit(order).alias("page"), "question_id")

@@ -8,6 +8,7 @@ from plurality.catalog.base import R, VIEWS, r6, rounded, scored
 from plurality.catalog.ingest import KINDS
 from plurality.operators import decompose, diagnostics, splits
 from plurality.operators.export import kind_of
+from plurality.plans.lineage import stored
 from plurality.sources import tables
 
 
@@ -43,7 +44,8 @@ def gain_attribution(spark, sf):
 
 
 def best_typical_worst(spark, sf):
-    return rounded(decompose.best_typical_worst(decomposed(spark, sf)), "tvd", "conc", "loc")
+    rows = decomposed(spark, sf).select("system", "split", "record_id", "tvd", "conc", "loc")
+    return rounded(decompose.best_typical_worst(stored(rows, "facets")), "tvd", "conc", "loc")
 
 
 def entropy_thirds(spark, sf):
@@ -101,6 +103,10 @@ def entropy_profile(spark, sf):
     return rounded(diagnostics.entropy_profile(tables.cells(spark, sf)), "mean", "std", "contested")
 
 
+def entropy_histogram(spark, sf):
+    return diagnostics.entropy_histogram(tables.cells(spark, sf))
+
+
 def family_entropy(spark, sf):
     out = diagnostics.family_entropy(tables.cells(spark, sf))
     return rounded(out, "pop_entropy", "mean_group_entropy", "std_group_entropy", "entropy_range")
@@ -140,6 +146,7 @@ QUERIES = {
     "dataset_split_counts": dataset_split_counts,
     "option_counts": option_counts,
     "entropy_profile": entropy_profile,
+    "entropy_histogram": entropy_histogram,
     "family_entropy": family_entropy,
     "family_entropy_by_dataset": family_entropy_by_dataset,
     "top_entropy_range": top_entropy_range,
@@ -203,6 +210,7 @@ SQL = {
     "option_counts": f"{VIEWS} SELECT k AS n_options, count(*) AS records FROM truth GROUP BY k",
     "entropy_profile": f"""{VIEWS}, e AS (SELECT quantile_cont(te, 2.0/3) AS u FROM truth WHERE split = 'pop')
       SELECT split, count(*) AS n, {R('avg(te)')} AS mean, {R('stddev_samp(te)')} AS std, {R('avg((te + 1e-9 >= u)::INT)')} AS contested FROM truth, e GROUP BY split""",
+    "entropy_histogram": f"{VIEWS} SELECT split, CAST(least(40, floor((te + 1e-9) * 40) + 1) AS INT) AS bin, count(*) AS n FROM truth GROUP BY ALL",
     "family_entropy": f"""{_FAMILY} SELECT dataset, question, {R('pop_entropy')} AS pop_entropy, {R('mean_group_entropy')} AS mean_group_entropy,
       {R('std_group_entropy')} AS std_group_entropy, {R('entropy_range')} AS entropy_range, n_groups FROM fe""",
     "family_entropy_by_dataset": f"""{_FAMILY} SELECT dataset, {R('avg(n_groups)')} AS mean_groups, max(n_groups) AS max_groups, {R('avg(entropy_range)')} AS mean_range,

@@ -58,9 +58,10 @@ def usage_cost(spark, sf):
 
 def k_band(spark, sf):
     """Each run's band around the mean score of one system, widened by the configurations the run tried."""
-    mean = scored(spark, sf).filter(F.col("system") == "blend").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
-    runs = runlog.log_summary(tables.run_log(spark, sf)).select("run_id", "global_k").withColumn("_k", F.lit(1))
-    rows = runs.join(mean.withColumn("_k", F.lit(1)), "_k")
+    one = scored(spark, sf).filter(F.col("system") == "blend")
+    mean, n = one.agg(F.avg("score"), F.count(F.lit(1))).first()
+    runs = runlog.log_summary(tables.run_log(spark, sf)).select("run_id", "global_k")
+    rows = runs.withColumns({"mean": F.lit(mean), "n": F.lit(n)})
     low, high = runlog.search_band(F.col("mean"), F.col("n"), F.col("global_k"))
     return rows.select("run_id", "n", "global_k", r6("mean").alias("mean"), r6(low).alias("low"), r6(high).alias("high"))
 

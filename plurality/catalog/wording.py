@@ -77,7 +77,7 @@ def draw_dispositions(spark, sf):
 
 
 BRIEFS = {"src1": "a long questionnaire", "src7": "a quiz"}
-GROUP_STYLES = tuple(s for s in requests.STYLES if s not in ("individual", "voter", "persona_voter", "persona_dist"))
+GROUP_STYLES = tuple(s for s in requests.STYLES if s not in ("individual", "voter"))
 
 
 def _contents(rows, *keep):

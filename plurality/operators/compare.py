@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurality.operators.bootstrap import bootstrap_ci
@@ -34,10 +34,10 @@ def confirmation(block_table: DataFrame) -> DataFrame:
 
 def noise_floor(stats: DataFrame, incumbent: str) -> DataFrame:
     """Grouped gap of every system to the incumbent against the larger half-width of the two."""
-    base = stats.filter(F.col("system") == incumbent).select(
-        F.lit(1).alias("_k"), F.col("grouped").alias("_g"), F.col("g_hw").alias("_hw")
-    )
-    rows = stats.filter(F.col("system") != incumbent).withColumn("_k", F.lit(1)).join(base, "_k")
+    everything = Window.partitionBy(F.lit(0))  # one summary row per system
+    own = F.col("system") == incumbent
+    of_base = lambda c: F.max(F.when(own, F.col(c))).over(everything)
+    rows = stats.select("*", of_base("grouped").alias("_g"), of_base("g_hw").alias("_hw")).filter(~own)
     gap = F.col("grouped") - F.col("_g")
     floor = F.greatest(F.coalesce("g_hw", F.lit(0.0)), F.coalesce("_hw", F.lit(0.0)))
     verdict = F.when(gap > floor, "beats").when(gap > -floor, "ties").otherwise("loses")

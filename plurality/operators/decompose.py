@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurality.functions import dist
@@ -65,10 +65,13 @@ def system_summary(decomposed: DataFrame, groups: Sequence[str] = ("system",)) -
 
 def gain_attribution(summary: DataFrame, base: str) -> DataFrame:
     """Change of each system against ``base`` on the score scale, and the facet that caused most of it."""
-    cols = ("score_loss", "conc_loss", "loc_loss")
-    start = summary.filter(F.col("system") == base).select(F.lit(1).alias("_k"), *[F.col(c).alias(f"_{c}") for c in cols])
-    rows = summary.filter(F.col("system") != base).withColumn("_k", F.lit(1)).join(start, "_k")
-    d = {c: F.col(f"_{c}") - F.col(c) for c in cols}
+    everything = Window.partitionBy(F.lit(0))  # one summary row per system
+    own = F.col("system") == base
+    d = {
+        c: F.max(F.when(own, F.col(c))).over(everything) - F.col(c) for c in ("score_loss", "conc_loss", "loc_loss")
+    }
+    rows = summary.select("system", *[d[c].alias(f"_{c}") for c in d]).filter(~own)
+    d = {c: F.col(f"_{c}") for c in d}
     return rows.select(
         "system",
         d["score_loss"].alias("d_score"),

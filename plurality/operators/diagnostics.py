@@ -135,6 +135,12 @@ def entropy_profile(cells: DataFrame) -> DataFrame:
     )
 
 
+def entropy_histogram(cells: DataFrame, bins: int = 40) -> DataFrame:
+    """Cells per split and equal entropy bin; an entropy of one counts in the last bin."""
+    slot = F.least(F.lit(bins), bin_of(dist.map_entropy(F.col("truth")), bins))
+    return cells.groupBy("split", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def family_entropy(cells: DataFrame) -> DataFrame:
     """Population entropy against the entropies of the question's groups, for families that have both."""
     h = cells.select("dataset", "question", "split", dist.map_entropy(F.col("truth")).alias("h"))

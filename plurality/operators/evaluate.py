@@ -105,6 +105,12 @@ def topline(scored: DataFrame, alignment: DataFrame | None = None, n_boot: int =
     return rows.orderBy(F.desc("mean"), "system")
 
 
+def in_order(rows: DataFrame, systems: Sequence[str]) -> DataFrame:
+    """Rows in a fixed order of systems; others follow by name."""
+    place = F.array_position(F.array(*[F.lit(s) for s in systems]), F.col("system"))
+    return rows.orderBy(F.when(place > 0, place).otherwise(F.lit(len(systems) + 1)), "system")
+
+
 def sweep(scored: DataFrame, model: Column, models: Sequence[str]) -> DataFrame:
     """Mean score, systems down and models across."""
     return scored.withColumn("_model", model).groupBy("system").pivot("_model", list(models)).agg(F.avg("score"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plurality.functions import keys
 from plurality.plans.ranking import top_per_group
+from plurality.plans.skew import attach
 
 MIN_AGE = 18
 
@@ -129,7 +130,7 @@ def matches(segments: DataFrame, personas: DataFrame) -> DataFrame:
     )
     axis_sets = [r["axes"] for r in wanted.select("axes").distinct().collect()]
     people = persona_keys(adults(personas), axis_sets)
-    return people.join(wanted.select("segment_key").distinct(), "segment_key")
+    return attach(people, wanted.select("segment_key").distinct(), ["segment_key"], ["uuid"], "inner")
 
 
 def pool_sizes(segments: DataFrame, personas: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plurality.plans.ranking import quantiles
+from plurality.plans.skew import one_row
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -23,5 +24,4 @@ def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     lo, hi = (ends["min"] or 0.0), (ends["max"] or 1.0)
     median = quantiles(values, [], "v", {"median": 0.5}, lo, hi if hi > lo else lo + 1.0)
     stats = values.agg(F.min("v").alias("min"), F.max("v").alias("max"), F.count_distinct("v").alias("distinct"))
-    one = F.lit(column).alias("column")
-    return stats.select(one, "*").join(median.select(one, "*"), "column")
+    return one_row(stats, median).select(F.lit(column).alias("column"), "*")

@@ -266,5 +266,5 @@ def classify_stems(cells: DataFrame, labels: DataFrame, vocabulary: Sequence[str
     stems = cells.select("record_id", describe.strip(F.col("question")).alias("stem"), "question", "group_prompt", "options")
     per_stem = labels.dropDuplicates(["stem"])
     rule = describe.task_kind(F.col("question"), F.col("group_prompt"), F.col("options"))
-    joined = stems.join(per_stem, "stem", "left")
+    joined = attach(stems, per_stem, ["stem"], ["record_id"])
     return joined.select("record_id", describe.snap(F.coalesce("text", F.lit("")), vocabulary, rule).alias("kind"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurality.plans.lineage import cut
+from plurality.plans.skew import attach
 
 STRETCH = 4096  # nodes of a run handled together by the running totals
 
@@ -31,7 +32,7 @@ def with_paths(log: DataFrame) -> DataFrame:
             F.col("up").alias("_next"),
             *[F.col(t).alias(f"_{t}") for t in tracks],
         )
-        joined = state.join(above, ["run_id", "up"], "left")
+        joined = attach(state, above, ["run_id", "up"], ["node_id"])
         state = cut(
             joined.select(
                 "run_id",
@@ -135,6 +136,11 @@ def tree_lines(log: DataFrame) -> DataFrame:
     return rows.select("run_id", "node_id", "sort_path", line.alias("line"))
 
 
+def node_report(log: DataFrame, run_id: str, node_id: str) -> DataFrame:
+    """One node with the levers that led to it."""
+    return with_paths(log.filter(F.col("run_id") == run_id)).filter(F.col("node_id") == node_id)
+
+
 def replay(log: DataFrame) -> DataFrame:
     """Recorded steps in order."""
     return log.select("run_id", "seq", "lever_id", "params", "rationale").orderBy("run_id", "seq")

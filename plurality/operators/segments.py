@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plurality.functions import dist, keys
 from plurality.plans.ranking import quantiles
-from plurality.plans.skew import attach, with_share, with_totals
+from plurality.plans.skew import attach, one_row, with_share, with_totals
 
 PARENT = ["dataset", "question", "parent_key"]
 
@@ -126,9 +126,9 @@ def recombination_errors(cells: DataFrame, over: str | None = None) -> DataFrame
 
 
 def recombination_summary(cells: DataFrame, over: str | None = None) -> DataFrame:
-    errors = recombination_errors(cells, over).select("tvd", F.lit(1).alias("one"))
-    stats = errors.groupBy("one").agg(F.count(F.lit(1)).alias("n"), F.avg("tvd").alias("mean"), F.max("tvd").alias("max"))
-    return stats.join(quantiles(errors, ["one"], "tvd", {"median": 0.5}), "one").drop("one")
+    errors = recombination_errors(cells, over).select("tvd")
+    stats = errors.agg(F.count(F.lit(1)).alias("n"), F.avg("tvd").alias("mean"), F.max("tvd").alias("max"))
+    return one_row(stats, quantiles(errors, [], "tvd", {"median": 0.5}))
 
 
 def segment_marginal(

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ROWS_PER_FILE = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,14 +34,15 @@ def scratch(spark, name: str) -> str:
     return f"{tempfile.mkdtemp(prefix='plurality-')}/{name}"
 
 
-def stored(df: DataFrame, name: str, spread: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, spread: str | None = None, rows: int = 0) -> DataFrame:
     """Write once to the shared folder and read back: no recomputation, and scans of it prune and push down.
 
-    ``spread`` writes at least one file per core, hashed by that column, so that heavy
-    per-row expressions on a table of few megabytes still use every core.
+    ``spread`` hashes the rows by that column over at least one file per core (more when about
+    ``rows`` rows are expected), so that heavy per-row expressions on a small table use every core.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    out = df if spread is None else df.repartition(spark.sparkContext.defaultParallelism, spread)
+    files = max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE)
+    out = df if spread is None else df.repartition(files, spread)
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

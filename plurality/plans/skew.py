@@ -2,8 +2,10 @@
 
 A key may own a third of all rows.  The per-key side is small, so it is copied once per
 salt and the many-rows side spreads each key over the salts by a deterministic hash
-(a retried task sends its rows to the same place).  No broadcast hint is given: adaptive
-execution turns the join into a broadcast join when the measured size allows it.
+(a retried task sends its rows to the same place).  Because the salted side is shuffled for
+the join itself, adaptive execution can also split a slice that is still too large.  No
+broadcast hint is given: the join becomes a broadcast join only when the measured size
+of the per-key side allows it.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS_CONF = "spark.plurality.join.salts"
-DEFAULT_SALTS = 8
 
 
 def salts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
+    """Slices a hot key is cut into: set by configuration, else grown with the cluster from 8 to 64."""
+    spark = df.sparkSession
+    chosen = spark.conf.get(SALTS_CONF, None)
+    return int(chosen) if chosen else max(8, min(64, spark.sparkContext.defaultParallelism // 16))
 
 
 def attach(
@@ -41,6 +45,14 @@ def with_totals(
     return attach(df, df.groupBy(*keys).agg(*totals), keys, spread, "inner")
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """One-row tables side by side, by union and aggregation instead of a join without a key."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def with_share(
     df: DataFrame, keys: Sequence[str], weight: Column, name: str, spread: Sequence[str]
 ) -> DataFrame:

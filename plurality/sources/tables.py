@@ -128,7 +128,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CELLS:
         counts = stored(count_answers(responses(spark, sf_dir), DIMS, SUBSETS), "counts")
-        _CELLS[key] = stored(cells_from_counts(counts, DIMS, SUBSETS), "cells", "record_id")
+        rows = counts.count() * 2 ** len(DIMS)  # upper bound on cells, from the file footers
+        _CELLS[key] = stored(cells_from_counts(counts, DIMS, SUBSETS), "cells", "record_id", rows)
     return _CELLS[key]
 
 
