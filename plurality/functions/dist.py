@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VECTOR = "array<double>"
+TINY = 1e-12
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -78,8 +78,11 @@ def tvd_to_uniform(p: Column) -> Column:
 
 
 def skill(distance: Column, z: Column) -> Column:
-    """Skill score: 100 is perfect, 0 is uniform level, negative is worse; 0 when ``z`` is not positive."""
-    return F.when(z <= 0, F.lit(0.0)).otherwise(100.0 * (1.0 - distance / z))
+    """Skill score: 100 is perfect, 0 is uniform level, negative is worse; 0 when ``z`` is not positive.
+
+    A ``z`` of rounding-noise size is a truth that is exactly uniform, and counts as zero.
+    """
+    return F.when(z <= TINY, F.lit(0.0)).otherwise(100.0 * (1.0 - distance / z))
 
 
 def entropy(v: Column, normalized: bool = True, support_only: bool = False) -> Column:

@@ -39,7 +39,7 @@ def decompose(scored: DataFrame) -> DataFrame:
             "mode_mass_err": F.get("q", F.col("_mode") - 1) - F.get("p", F.col("_mode") - 1),
         }
     )
-    loss = lambda c: F.when(F.col("z") > 0, 100.0 * F.col(c) / F.when(F.col("z") > 0, F.col("z")))
+    loss = lambda c: F.when(F.col("z") > dist.TINY, 100.0 * F.col(c) / F.col("z"))
     return rows.withColumns(
         {"score_loss": loss("tvd"), "conc_loss": loss("conc"), "loc_loss": loss("loc")}
     ).drop("_mode", "_pred_mode")
