@@ -162,7 +162,7 @@ SQL = {
     "route_counts": f"{VIEWS}, {_KINDED} SELECT kind, routed_to, count(DISTINCT record_id) AS n FROM kd GROUP BY ALL",
     "inter_tvd": f"{_SPREAD} SELECT record_id, n_draws, {R('inter_tvd')} AS inter_tvd FROM sp JOIN nd USING (record_id)",
     "panel_diversity": f"""{_SPREAD}, md AS (SELECT record_id, draw, list(q ORDER BY pos) AS ql FROM dx WHERE ok GROUP BY ALL),
-      mm AS (SELECT record_id, list_position(ql, list_max(ql)) AS m, count(*) AS n FROM md GROUP BY ALL),
+      mm AS (SELECT record_id, list_position([v >= list_max(ql) - 1e-12 FOR v IN ql], true) AS m, count(*) AS n FROM md GROUP BY ALL),
       ma AS (SELECT record_id, max(n) / sum(n) AS mode_agreement FROM mm GROUP BY record_id)
       SELECT record_id, n_draws, {R('inter_tvd')} AS inter_tvd, {R('mode_agreement')} AS mode_agreement FROM sp JOIN nd USING (record_id) JOIN ma USING (record_id) WHERE n_draws >= 3""",
     "k_curve": f"""{VIEWS}, {_DRAWS}, dd AS (SELECT DISTINCT record_id, draw FROM dx WHERE ok),

@@ -155,7 +155,7 @@ QUERIES = {
 
 DEC = f"""{VIEWS}, vec AS (SELECT record_id, system, list(p ORDER BY pos) AS pl, list(q ORDER BY pos) AS ql FROM x GROUP BY record_id, system),
 shape AS (SELECT record_id, system, list_sum([abs(list_reverse_sort(pl)[i] - list_reverse_sort(ql)[i]) FOR i IN range(1, len(pl) + 1)]) / 2 AS conc,
-  list_position(pl, list_max(pl)) AS pm, list_position(ql, list_max(ql)) AS qm, pl, ql FROM vec),
+  list_position([v >= list_max(pl) - 1e-12 FOR v IN pl], true) AS pm, list_position([v >= list_max(ql) - 1e-12 FOR v IN ql], true) AS qm, pl, ql FROM vec),
 dec AS (SELECT s.*, h.conc, greatest(0, s.tvd - h.conc) AS loc, s.pe - s.te AS gap, h.pm = h.qm AS mm, h.ql[h.pm] - h.pl[h.pm] AS mme,
   CASE WHEN s.z > 0 THEN 100 * s.tvd / s.z END AS score_loss, CASE WHEN s.z > 0 THEN 100 * h.conc / s.z END AS conc_loss,
   CASE WHEN s.z > 0 THEN 100 * greatest(0, s.tvd - h.conc) / s.z END AS loc_loss

@@ -123,8 +123,13 @@ def l2(v: Column) -> Column:
 
 
 def argmax(v: Column) -> Column:
-    """1-based position of the largest entry, first one on ties."""
-    return F.array_position(v, F.array_max(v)).cast("int")
+    """1-based position of the largest entry, first one on ties; values equal up to rounding noise tie."""
+
+    def body(u: Column) -> Column:
+        top = F.array_max(u) - TINY
+        return F.array_position(F.transform(u, lambda x: x >= top), F.lit(True)).cast("int")
+
+    return let(v, body)
 
 
 def descending(v: Column) -> Column:
