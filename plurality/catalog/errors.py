@@ -107,6 +107,10 @@ def entropy_histogram(spark, sf):
     return diagnostics.entropy_histogram(tables.cells(spark, sf))
 
 
+def entropy_extremes(spark, sf):
+    return diagnostics.entropy_extremes(tables.cells(spark, sf))
+
+
 def family_entropy(spark, sf):
     out = diagnostics.family_entropy(tables.cells(spark, sf))
     return rounded(out, "pop_entropy", "mean_group_entropy", "std_group_entropy", "entropy_range")
@@ -147,6 +151,7 @@ QUERIES = {
     "option_counts": option_counts,
     "entropy_profile": entropy_profile,
     "entropy_histogram": entropy_histogram,
+    "entropy_extremes": entropy_extremes,
     "family_entropy": family_entropy,
     "family_entropy_by_dataset": family_entropy_by_dataset,
     "top_entropy_range": top_entropy_range,
@@ -212,6 +217,9 @@ SQL = {
     "entropy_profile": f"""{VIEWS}, e AS (SELECT quantile_cont(te, 2.0/3) AS u FROM truth WHERE split = 'pop')
       SELECT split, count(*) AS n, {R('avg(te)')} AS mean, {R('stddev_samp(te)')} AS std, {R('avg((te + 1e-9 >= u)::INT)')} AS contested FROM truth, e GROUP BY split""",
     "entropy_histogram": f"{VIEWS} SELECT split, CAST(least(40, floor((te + 1e-9) * 40) + 1) AS INT) AS bin, count(*) AS n FROM truth GROUP BY ALL",
+    "entropy_extremes": f"""{VIEWS}, h AS (SELECT record_id, {R('te')} AS h FROM truth WHERE split = 'pop')
+      SELECT * FROM (SELECT record_id, h, 'consensus' AS "end" FROM h ORDER BY h, record_id LIMIT 3)
+      UNION ALL SELECT * FROM (SELECT record_id, h, 'contested' FROM h ORDER BY h DESC, record_id LIMIT 3)""",
     "family_entropy": f"""{_FAMILY} SELECT dataset, question, {R('pop_entropy')} AS pop_entropy, {R('mean_group_entropy')} AS mean_group_entropy,
       {R('std_group_entropy')} AS std_group_entropy, {R('entropy_range')} AS entropy_range, n_groups FROM fe""",
     "family_entropy_by_dataset": f"""{_FAMILY} SELECT dataset, {R('avg(n_groups)')} AS mean_groups, max(n_groups) AS max_groups, {R('avg(entropy_range)')} AS mean_range,

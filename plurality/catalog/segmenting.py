@@ -49,6 +49,14 @@ def post_strat_over(spark, sf):
     return _long(cells, segments.post_stratify(cells, half, over="g2", min_children=3))
 
 
+def post_strat_weights(spark, sf):
+    """Recombination under a supplied weight table: the square roots of the respondent shares."""
+    cells = tables.cells(spark, sf)
+    weights = segments.child_weights(cells).withColumn("weight", F.sqrt("weight"))
+    out = segments.recombine_weighted(weights, cells, tables.predictions(spark, sf))
+    return out.select("record_id", "system", F.explode("pred").alias("opt", "q")).withColumn("q", r6("q"))
+
+
 def post_strat_coverage(spark, sf):
     cells = tables.cells(spark, sf)
     out = segments.post_stratify(cells, tables.predictions(spark, sf))
@@ -100,6 +108,7 @@ QUERIES = {
     "decompositions": decompositions,
     "post_strat": post_strat,
     "post_strat_over": post_strat_over,
+    "post_strat_weights": post_strat_weights,
     "post_strat_coverage": post_strat_coverage,
     "recombine_check": recombine_check,
     "counterfactual": counterfactual_rows,
@@ -146,6 +155,11 @@ SQL = {
     "post_strat": f"{VIEWS}, {_post('x', _BEST, 2)} SELECT record_id, system, decomposed, opt, {R('q')} AS q FROM post",
     "post_strat_over": f"""{VIEWS}, hx AS (SELECT * FROM x WHERE system = 'half'), {_post('hx', "SELECT parent_id, var FROM cover WHERE var = 'g2'", 3)}
       SELECT record_id, system, decomposed, opt, {R('q')} AS q FROM post""",
+    "post_strat_weights": f"""{VIEWS}, {KIDS}, w AS (SELECT parent_id, var, child_id, sqrt(size / sum(size) OVER (PARTITION BY parent_id, var)) AS weight FROM kid),
+      v AS (SELECT parent_id, var, sum(weight) AS c FROM w GROUP BY ALL HAVING count(*) >= 2),
+      b AS (SELECT parent_id, var FROM v QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY c DESC, var) = 1),
+      m AS (SELECT w.parent_id AS record_id, x.system, x.opt, sum(weight * q) AS s FROM w JOIN b USING (parent_id, var) JOIN x ON x.record_id = w.child_id GROUP BY ALL)
+      SELECT record_id, system, opt, {R('s / sum(s) OVER (PARTITION BY record_id, system)')} AS q FROM m""",
     "post_strat_coverage": f"""{VIEWS}, {_post('x', _BEST, 2)}, d AS (SELECT record_id, system, bool_or(decomposed) AS d FROM post GROUP BY ALL)
       SELECT system, count(*) FILTER (WHERE d) AS n_decomposed, count(*) FILTER (WHERE NOT d) AS n_fallback FROM d GROUP BY system""",
     "recombine_check": f"""{VIEWS}, tx AS (SELECT record_id, 'truth' AS system, opt, p, p AS q FROM cl), {_post('tx', _BEST, 2)},

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import dist
+from plurality.functions.rounding import r6
 from plurality.plans.ranking import quantiles
 from plurality.plans.skew import with_totals
 
@@ -141,6 +142,14 @@ def entropy_histogram(cells: DataFrame, bins: int = 40) -> DataFrame:
     return cells.groupBy("split", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def entropy_extremes(cells: DataFrame, split: str = "pop", n: int = 3) -> DataFrame:
+    """The ``n`` most agreed and the ``n`` most contested cells of a split, by rounded entropy then id."""
+    rows = cells.filter(F.col("split") == split).select("record_id", r6(dist.map_entropy(F.col("truth"))).alias("h"))
+    low = rows.orderBy("h", "record_id").limit(n).withColumn("end", F.lit("consensus"))
+    high = rows.orderBy(F.desc("h"), "record_id").limit(n).withColumn("end", F.lit("contested"))
+    return low.unionByName(high)
+
+
 def family_entropy(cells: DataFrame) -> DataFrame:
     """Population entropy against the entropies of the question's groups, for families that have both."""
     h = cells.select("dataset", "question", "split", dist.map_entropy(F.col("truth")).alias("h"))

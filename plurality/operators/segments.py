@@ -116,6 +116,31 @@ def post_stratify(cells: DataFrame, preds: DataFrame, over: str | None = None, m
     )
 
 
+def recombine_weighted(weights: DataFrame, cells: DataFrame, preds: DataFrame, min_children: int = 2) -> DataFrame:
+    """Predictions of parents under any table of weights (parent_id, var, child_id, weight).
+
+    The weights need not sum to one.  Per parent the variable with the largest total weight is
+    used (ties: variable name); parents with fewer than ``min_children`` cells are left out.
+    """
+    children = preds.join(cells.select("record_id", "options"), "record_id").withColumnRenamed("record_id", "child_id")
+    cellwise = weights.join(children, "child_id").select(
+        "parent_id",
+        "system",
+        "var",
+        "weight",
+        F.explode(F.arrays_zip(F.col("options").alias("o"), dist.align(F.col("pred"), F.col("options")).alias("q"))).alias("z"),
+    )
+    sums = cellwise.groupBy("parent_id", "system", "var", F.col("z.o").alias("option")).agg(
+        F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") * F.col("z.q")).alias("v")
+    )
+    chosen = sums.filter(F.col("n") >= min_children).groupBy("parent_id", "system", "option").agg(
+        F.min_by("v", F.struct((-F.col("w")).alias("c"), "var")).alias("v")
+    )
+    packed = chosen.groupBy("parent_id", "system").agg(F.array_sort(F.collect_list(F.struct("option", "v"))).alias("e"))
+    labels, vector = F.transform("e", lambda x: x["option"]), dist.renorm(F.transform("e", lambda x: x["v"]))
+    return packed.select(F.col("parent_id").alias("record_id"), "system", dist.as_map(labels, vector).alias("pred"))
+
+
 def recombination_errors(cells: DataFrame, over: str | None = None) -> DataFrame:
     """Distance between each parent's truth and the share-weighted truths of its cells."""
     truths = cells.select("record_id", F.lit("truth").alias("system"), F.col("truth").alias("pred"))
