@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import describe, dist, keys
-from plurality.plans.ranking import top_per_group
+from plurality.plans.ranking import first_distinct
 from plurality.plans.skew import attach
 
 ASK_SHARES = "Reply only with a JSON object that gives each of [{labels}] its probability; they must add up to 1."
@@ -140,11 +140,11 @@ def siblings(cells: DataFrame, k: int = 6) -> DataFrame:
 
     Only the first k + 1 items of a dataset can ever be needed, so only those are attached.
     """
-    first = top_per_group(item_corpus(cells), ["dataset"], [F.col("item")], k + 1, ["item"])
+    items = cells.select("record_id", "dataset", describe.strip(F.col("question")).alias("item"))
+    first = first_distinct(items, ["dataset"], "item", k + 1, ["record_id"])
     packed = first.groupBy("dataset").agg(F.sort_array(F.collect_list("item")).alias("_items"))
     rows = attach(cells, packed, ["dataset"], ["record_id"])
-    own = describe.strip(F.col("question"))
-    others = F.slice(F.filter("_items", lambda s: s != own), 1, k)
+    others = F.slice(F.array_remove("_items", describe.strip(F.col("question"))), 1, k)
     return rows.withColumn("siblings", F.transform(others, lambda s: describe.question_stem(s))).drop("_items")
 
 

@@ -32,6 +32,24 @@ def top_per_group(
     return kept.withColumnRenamed("_rank", rank) if rank else kept.drop("_rank")
 
 
+def first_distinct(df: DataFrame, keys: Sequence[str], value: str, k: int, spread: Sequence[str]) -> DataFrame:
+    """First ``k`` distinct values of each group in order.
+
+    Map tasks drop everything past their own first ``k`` values before anything is shuffled,
+    so long texts that cannot be among the first are never moved.
+    """
+    slices = Window.partitionBy(*keys, "_slice").orderBy(value)
+    near = (
+        df.withColumn("_slice", F.pmod(F.xxhash64(*spread), F.lit(salts(df))))
+        .select(*keys, value, "_slice")
+        .withColumn("_rank", F.dense_rank().over(slices))
+        .filter(F.col("_rank") <= k)
+        .select(*keys, value)
+        .distinct()
+    )
+    return top_per_group(near, keys, [F.col(value)], k, [value])
+
+
 def ranked_by_hash(
     df: DataFrame, keys: Sequence[str], hash_hex: str, rank: str = "rank", total: str | None = None, digits: int = 3
 ) -> DataFrame:
