@@ -138,14 +138,20 @@ def item_corpus(cells: DataFrame) -> DataFrame:
 def siblings(cells: DataFrame, k: int = 6) -> DataFrame:
     """First ``k`` other items of the dataset by text, as stems, for every cell.
 
-    Only the first k + 1 items of a dataset can ever be needed, so only those are attached.
+    Only the first k + 1 items of a dataset can ever be needed.  They are shortened to stems once,
+    and travel to the cells as (hash of the whole item, stem).
     """
     items = cells.select("record_id", "dataset", describe.strip(F.col("question")).alias("item"))
     first = first_distinct(items, ["dataset"], "item", k + 1, ["record_id"])
-    packed = first.groupBy("dataset").agg(F.sort_array(F.collect_list("item")).alias("_items"))
+    entry = F.struct("item", F.sha2("item", 256).alias("h"), describe.question_stem(F.col("item")).alias("stem"))
+    in_order = F.array_sort(F.collect_list(entry))
+    packed = first.groupBy("dataset").agg(
+        F.transform(in_order, lambda e: F.struct(e["h"].alias("h"), e["stem"].alias("stem"))).alias("_items")
+    )
     rows = attach(cells, packed, ["dataset"], ["record_id"])
-    others = F.slice(F.array_remove("_items", describe.strip(F.col("question"))), 1, k)
-    return rows.withColumn("siblings", F.transform(others, lambda s: describe.question_stem(s))).drop("_items")
+    own = F.sha2(describe.strip(F.col("question")), 256)
+    others = dist.let(own, lambda o: F.slice(F.filter(F.col("_items"), lambda e: e["h"] != o), 1, k))
+    return rows.withColumn("siblings", F.transform(others, lambda e: e["stem"])).drop("_items")
 
 
 def _pick(pool: Sequence[str], u: Column) -> Column:
@@ -261,10 +267,12 @@ def ask_cells(questions: DataFrame) -> DataFrame:
 def classify_stems(cells: DataFrame, labels: DataFrame, vocabulary: Sequence[str] = describe.KINDS) -> DataFrame:
     """Kinds from noisy label texts, one per distinct stem; off-vocabulary labels fall back to the rules.
 
-    ``labels`` has (stem, text).
+    ``labels`` has (stem, text).  Stems meet by their hash and the rules are applied first, so no
+    question text is moved.
     """
-    stems = cells.select("record_id", describe.strip(F.col("question")).alias("stem"), "question", "group_prompt", "options")
-    per_stem = labels.dropDuplicates(["stem"])
+    stem_hash = F.sha2(describe.strip(F.col("question")), 256)
     rule = describe.task_kind(F.col("question"), F.col("group_prompt"), F.col("options"))
-    joined = attach(stems, per_stem, ["stem"], ["record_id"])
-    return joined.select("record_id", describe.snap(F.coalesce("text", F.lit("")), vocabulary, rule).alias("kind"))
+    stems = cells.select("record_id", stem_hash.alias("_h"), rule.alias("_rule"))
+    per_stem = labels.select(F.sha2("stem", 256).alias("_h"), "text").dropDuplicates(["_h"])
+    joined = attach(stems, per_stem, ["_h"], ["record_id"])
+    return joined.select("record_id", describe.snap(F.coalesce("text", F.lit("")), vocabulary, F.col("_rule")).alias("kind"))
