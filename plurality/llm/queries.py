@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plurality.llm import lines, mixing, sharding
+from plurality.llm import lines, mixing, packing, sharding, simhash
 
 SHARDS = 24
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.copies(docs.select("doc_id", "source", mixing.word_count().alias("size")))
@@ -28,6 +32,16 @@ def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.digests(docs, lines.keep_bitmaps(docs))
@@ -52,8 +66,10 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_simhash_multi_index": op1_simhash_multi_index,
     "op3_pivotal_mix": op3_pivotal_mix,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
+    "op7_pattern_packing": op7_pattern_packing,
     "op9_line_dedup": op9_line_dedup,
 }
 SQL = {"op9_line_dedup": OP9_SQL}
