@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plurality.llm import lines, mixing, packing, sharding, simhash
+from plurality.llm import gridjoin, lines, mixing, packing, sharding, simhash, topk
 
 SHARDS = 24
 
@@ -18,6 +18,25 @@ def op1_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE clean AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM clean a JOIN clean b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.vec_id
+), roots AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.vec_id, coalesce(n, 0) AS n_links, component_id, r.vec_id = component_id AS kept
+FROM roots r LEFT JOIN counts ON a = r.vec_id
+"""
+
+
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.copies(docs.select("doc_id", "source", mixing.word_count().alias("size")))
@@ -25,6 +44,23 @@ def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
+def op4_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.filter("vec_id % 50 = 0"))
+
+
+OP4_SQL = """
+WITH clean AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM clean q JOIN clean c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.stored_sizes(table(spark, sf_dir, "documents"))
     return sharding.shuffle_shards(rows, SHARDS).select(
@@ -67,9 +103,11 @@ FROM marked GROUP BY doc_id
 
 QUERIES = {
     "op1_simhash_multi_index": op1_simhash_multi_index,
+    "op2_epsilon_grid": op2_epsilon_grid,
     "op3_pivotal_mix": op3_pivotal_mix,
+    "op4_impact_top_k": op4_impact_top_k,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
     "op7_pattern_packing": op7_pattern_packing,
     "op9_line_dedup": op9_line_dedup,
 }
-SQL = {"op9_line_dedup": OP9_SQL}
+SQL = {"op2_epsilon_grid": OP2_SQL, "op4_impact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL}
