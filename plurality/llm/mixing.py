@@ -172,3 +172,22 @@ def copies(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, volume: float =
 def _with_u(rows: DataFrame, seed: int, level: int) -> DataFrame:
     u = _uniform(F.lit(seed), F.lit(level), F.col("doc.doc_id"), F.col("doc.size"))
     return rows.withColumn("doc", F.col("doc").withField("u", u))
+
+
+def repeated(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """``docs`` with every row as often as ``copies`` takes it, all columns kept.
+
+    Rows with the same doc_id, source and size share a list of copies and take them in turn, so repeated rows and ids
+    get what was drawn for them, each once.
+    """
+    key = ["doc_id", "source", "_size"]
+    drawn = copies(docs.select("doc_id", "source", word_count().alias("size")), seed=seed)
+    lists = drawn.groupBy("doc_id", "source", F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    lists = lists.select(*[F.col(c).alias(f"_of_{c}") for c in key], "_copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_of_doc_id")) & F.col("source").eqNullSafe(F.col("_of_source")) & (F.col("_size") == F.col("_of__size"))
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
+    rows = docs.withColumn("_size", word_count()).join(lists, same)
+    alone = rows.filter(F.size("_copies") == 1).withColumn("_n", F.col("_copies")[0])
+    shared = rows.filter(F.size("_copies") > 1).withColumn("_n", F.col("_copies")[turn - 1])
+    both = alone.unionByName(shared).filter("_n > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)

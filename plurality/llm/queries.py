@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plurality.llm import gridjoin, lines, mixing, packing, sharding, simhash, topk
+from plurality.llm import gridjoin, lines, mixing, packing, quality, sharding, simhash, topk, toxicity, urls
 
 SHARDS = 24
 
@@ -61,6 +61,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op5_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.stored_sizes(table(spark, sf_dir, "documents"))
     return sharding.shuffle_shards(rows, SHARDS).select(
@@ -78,6 +82,10 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.digests(docs, lines.keep_bitmaps(docs))
@@ -101,13 +109,20 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash_multi_index": op1_simhash_multi_index,
     "op2_epsilon_grid": op2_epsilon_grid,
     "op3_pivotal_mix": op3_pivotal_mix,
     "op4_impact_top_k": op4_impact_top_k,
+    "op5_subword_toxicity": op5_subword_toxicity,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
     "op7_pattern_packing": op7_pattern_packing,
+    "op8_pu_quality": op8_pu_quality,
     "op9_line_dedup": op9_line_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 SQL = {"op2_epsilon_grid": OP2_SQL, "op4_impact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL}
