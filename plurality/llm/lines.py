@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plurality.plans.lineage import stored
 
@@ -167,12 +168,13 @@ def _kept(text: str, keep: bytes | None) -> str:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the column ``_keep`` (null where a document keeps all its lines)."""
-    keyed = docs.withColumn("row_key", _row_key())
-    return _same_row(keyed, bitmaps.select(*ROW, "n_dropped", F.col("keep").alias("_keep")), "left").drop("row_key")
+    """(row, n_dropped, keep): each row of ``docs`` as a struct, so that no column name of it matters; keep is null where all lines stay."""
+    rows = docs.select(F.struct("*").alias("row"))
+    keyed = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.doc_id", "row.text").alias("row_key"))
+    return _same_row(keyed, bitmaps.select(*ROW, "n_dropped", "keep"), "left").select("row", "n_dropped", "keep")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def kept_text(text, keep):
     """The kept lines, joined by newlines; '' for a null text."""
     import pandas as pd
@@ -185,21 +187,22 @@ def digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keeps = batch.column("text").to_pylist(), batch.column("_keep").to_pylist()
+            texts, keeps = batch.column("text").to_pylist(), batch.column("keep").to_pylist()
             lines = [(t or "").count("\n") + 1 for t in texts]
             dropped = batch.column("n_dropped").fill_null(0)
             sha = [hashlib.sha256(_kept(t, k).encode()).hexdigest() for t, k in zip(texts, keeps)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines, pa.int64()), dropped, pa.array(sha)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     wide = with_bitmaps(docs.select("doc_id", "text"), bitmaps)
-    return wide.select("doc_id", "text", "n_dropped", "_keep").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return wide.select("row.doc_id", "row.text", "n_dropped", "keep").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` with the kept text; a column n_chars, if there is one, counts the new text. Other columns stay."""
     wide = with_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), least_length, least_docs))
-    text = F.when(F.col("_keep").isNull(), F.col("text")).otherwise(kept_text("text", "_keep"))
-    out = wide.withColumn("text", text)
+    changed = wide.filter("keep IS NOT NULL").withColumn("text", kept_text("row.text", "keep"))
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_keep").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    whole = wide.filter("keep IS NULL").select("row.*")
+    return whole.unionByName(changed.select(row.alias("row")).select("row.*"))

@@ -180,14 +180,15 @@ def repeated(docs: DataFrame, seed: int = 1) -> DataFrame:
     Rows with the same doc_id, source and size share a list of copies and take them in turn, so repeated rows and ids
     get what was drawn for them, each once.
     """
-    key = ["doc_id", "source", "_size"]
+    key = ["doc_id", "source", "size"]
     drawn = copies(docs.select("doc_id", "source", word_count().alias("size")), seed=seed)
-    lists = drawn.groupBy("doc_id", "source", F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    lists = lists.select(*[F.col(c).alias(f"_of_{c}") for c in key], "_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_of_doc_id")) & F.col("source").eqNullSafe(F.col("_of_source")) & (F.col("_size") == F.col("_of__size"))
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
-    rows = docs.withColumn("_size", word_count()).join(lists, same)
-    alone = rows.filter(F.size("_copies") == 1).withColumn("_n", F.col("_copies")[0])
-    shared = rows.filter(F.size("_copies") > 1).withColumn("_n", F.col("_copies")[turn - 1])
-    both = alone.unionByName(shared).filter("_n > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    lists = drawn.groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("taken"))
+    lists = lists.select(*[F.col(c).alias(f"of_{c}") for c in key], "taken")
+    rows = docs.select(F.struct("*").alias("row")).select("row", "row.doc_id", "row.source", word_count("row.text").alias("size"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
+    rows = rows.join(lists, same)
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row.text")))
+    alone = rows.filter(F.size("taken") == 1).withColumn("n", F.col("taken")[0])
+    shared = rows.filter(F.size("taken") > 1).withColumn("n", F.col("taken")[turn - 1])
+    both = alone.unionByName(shared).filter("n > 0").select("row", "n")
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")

@@ -74,17 +74,18 @@ def pieces(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE) -> DataFr
 def repeat_counts(shapes: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 1500) -> np.ndarray:
     """Non-negative least squares: repeats x >= 0 whose lengths, patterns times x, come nearest the histogram.
 
+    A length's error counts by its tokens, as long pieces are the harder ones to place afterwards.
     Accelerated projected gradient steps on the sparse pattern matrix.
     """
     at = np.array([n for shape in shapes for n in shape])
     of = np.repeat(np.arange(len(shapes)), [len(shape) for shape in shapes])
     size, scale = len(counts), max(1.0, float(counts.max()))
-    goal = counts / scale
-    widest = np.bincount(at, minlength=size).max() * max(map(len, shapes))
+    goal, weight = counts / scale, (np.arange(size) / size) ** 2
+    widest = np.bincount(at, weights=weight[at], minlength=size).max() * max(map(len, shapes))
     x = y = np.zeros(len(shapes))
     momentum = 1.0
     for _ in range(rounds):
-        error = np.bincount(at, weights=y[of], minlength=size) - goal
+        error = weight * (np.bincount(at, weights=y[of], minlength=size) - goal)
         new = np.maximum(0.0, y - np.bincount(of, weights=error[at], minlength=len(shapes)) / widest)
         faster = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         y, x, momentum = new + (momentum - 1) / faster * (new - x), new, faster

@@ -63,30 +63,25 @@ def shuffle_shards(rows: DataFrame, shards: int, seed: int = 1, shard: str = "sh
 
     The same rows and seed give the same result, whatever the partitioning.  Rows that are equal in
     every column are interchangeable.  Nulls hash like any value.  An empty table gives an empty
-    result.  Columns must be orderable; ``rows`` is read a few times.
+    result.  ``rows`` is read a few times and must have columns that can be ordered.
     """
     spark = rows.sparkSession
-    content = [F.col(f"`{c}`") for c in rows.columns]
 
     def mixed(k: int):
-        return F.xxhash64(F.lit(seed), F.lit(k), *content)
+        return F.xxhash64(F.lit(seed), F.lit(k), "row")
 
     total = rows.count()
     buckets = max(LEAST_BUCKETS, total // ROWS_PER_BUCKET)
-    placed = rows.withColumn("_home", F.pmod(mixed(0), F.lit(buckets)).cast("int")).withColumn("_order", mixed(1))
-    sizes = {r["_home"]: r["n"] for r in placed.groupBy("_home").agg(F.count(F.lit(1)).alias("n")).collect()}
+    placed = rows.select(F.struct("*").alias("row")).select("row", F.pmod(mixed(0), F.lit(buckets)).cast("int").alias("home"), mixed(1).alias("order"))
+    sizes = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
     matrix = communication_matrix([sizes.get(b, 0) for b in range(buckets)], shards, seed)
-    ends = spark.createDataFrame(
-        [(b, matrix[b].cumsum().tolist()) for b in range(buckets)], "_home int, _ends array<bigint>"
-    )
+    ends = spark.createDataFrame([(b, matrix[b].cumsum().tolist()) for b in range(buckets)], "home int, ends array<bigint>")
     cut = (
-        ranks.gapless(placed, ["_home"], "_order", "_rank", content, bits=2)
-        .join(ends, "_home")
-        .withColumn(shard, F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
-        .drop("_home", "_order", "_rank", "_ends")
-        .withColumn("_again", mixed(2))
+        ranks.gapless(placed, ["home"], "order", "rank", [F.col("row")], bits=2)
+        .join(ends, "home")
+        .select("row", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("part"), mixed(2).alias("again"))
     )
-    return ranks.gapless(stored(cut, "shards"), [shard], "_again", slot, content).drop("_again")
+    return ranks.gapless(stored(cut, "shards"), ["part"], "again", "place", [F.col("row")]).select("row.*", F.col("part").alias(shard), F.col("place").alias(slot))
 
 
 def sized(docs: DataFrame) -> DataFrame:

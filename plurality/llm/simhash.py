@@ -169,8 +169,9 @@ def without_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int =
     All columns stay.  Rows without a doc_id are kept: nothing names them.
     """
     found = near_duplicates(docs, shingle, most_bits)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    nameless = docs.filter("doc_id IS NULL")
-    repeated = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return named.withColumn("_nth", F.row_number().over(repeated)).filter("_nth = 1").drop("_nth").unionByName(nameless)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"))
+    named = rows.join(kept, F.col("doc_id") == F.col("kept"), "left_semi")
+    repeated = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"))
+    first = named.withColumn("nth", F.row_number().over(repeated)).filter("nth = 1")
+    return first.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
