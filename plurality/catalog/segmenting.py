@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plurality.catalog.base import R, VIEWS, r6, rounded, scored
 from plurality.catalog.ingest import PERSONAS
-from plurality.functions import dist
+from plurality.functions import dist, keys
 from plurality.operators import counterfactual, segments
 from plurality.operators import evaluate as ev
 from plurality.sources import tables
@@ -57,6 +57,35 @@ def post_strat_weights(spark, sf):
     return out.select("record_id", "system", F.explode("pred").alias("opt", "q")).withColumn("q", r6("q"))
 
 
+def _ragged(spark, sf):
+    """All cells and predictions with the options of zero share dropped, every other record's list reversed."""
+    cells = tables.cells(spark, sf)
+    listed = F.filter("options", lambda o: F.element_at("truth", o) > 0)
+    turned = F.when(keys.hash32(F.col("record_id")) % 2 == 0, F.reverse(listed)).otherwise(listed)
+    cells = cells.withColumn("options", turned).withColumn("truth", F.map_filter("truth", lambda _, v: v > 0))
+    preds = tables.predictions(spark, sf).join(cells.select("record_id", "options"), "record_id")
+    preds = preds.withColumn("pred", F.map_filter("pred", lambda k, _: F.array_contains("options", k))).drop("options")
+    return cells, preds
+
+
+def post_strat_ragged(spark, sf):
+    cells, preds = _ragged(spark, sf)
+    return _long(cells, segments.post_stratify(cells, preds))
+
+
+def post_strat_weights_ragged(spark, sf):
+    cells, preds = _ragged(spark, sf)
+    weights = segments.child_weights(cells).withColumn("weight", F.sqrt("weight"))
+    out = segments.recombine_weighted(weights, cells, preds)
+    return out.select("record_id", "system", F.explode("pred").alias("opt", "q")).withColumn("q", r6("q"))
+
+
+def counterfactual_ragged(spark, sf):
+    cells, preds = _ragged(spark, sf)
+    out = counterfactual.segment_shifts(ev.evaluate(cells, preds)).select("record_id", "system", "alignment", "true_shift")
+    return rounded(out, "alignment", "true_shift")
+
+
 def post_strat_coverage(spark, sf):
     cells = tables.cells(spark, sf)
     out = segments.post_stratify(cells, tables.predictions(spark, sf))
@@ -111,6 +140,9 @@ QUERIES = {
     "post_strat_weights": post_strat_weights,
     "post_strat_coverage": post_strat_coverage,
     "recombine_check": recombine_check,
+    "post_strat_ragged": post_strat_ragged,
+    "post_strat_weights_ragged": post_strat_weights_ragged,
+    "counterfactual_ragged": counterfactual_ragged,
     "counterfactual": counterfactual_rows,
     "counterfactual_mean": counterfactual_mean,
     "topline_alignment": topline_alignment,
@@ -145,7 +177,41 @@ _SHIFT = """ref AS (SELECT system, dataset, question, opt, sum(size * p) / sum(s
     FROM x JOIN ref USING (system, dataset, question, opt) WHERE n >= 2 GROUP BY x.record_id, x.system),
   al AS (SELECT record_id, system, np, CASE WHEN np < 1e-12 OR nq < 1e-12 THEN NULL ELSE dot / (np * nq) END AS alignment FROM sh)"""
 
+# Cells that list only the options they have; a prediction states only those.
+_RAGGED = """rg AS (SELECT record_id, dataset, question, system, opt, size, p, q FROM x WHERE p > 0),
+  own AS (SELECT record_id, system, opt, CASE WHEN sum(q) OVER s > 0 THEN q / sum(q) OVER s ELSE 1.0 / count(*) OVER s END AS q FROM rg WINDOW s AS (PARTITION BY record_id, system))"""
+
+# Parent options against the chosen cells, absent labels as zero.
+_RAGGED_MIX = """SELECT par.record_id, par.system, par.opt, sum(c.weight * coalesce(ch.q, 0)) AS v
+  FROM rg par JOIN chosen c ON c.parent_id = par.record_id
+  LEFT JOIN rg ch ON ch.record_id = c.child_id AND ch.system = par.system AND ch.opt = par.opt GROUP BY ALL"""
+
+_SHARED = "CASE WHEN sum(v) OVER s > 0 THEN v / sum(v) OVER s ELSE 1.0 / count(*) OVER s END"
+
 SQL = {
+    "post_strat_ragged": f"""{VIEWS}, {KIDS}, {_RAGGED}, pick AS ({_BEST}),
+      chosen AS (SELECT kid.parent_id, child_id, size / covered AS weight FROM kid JOIN pick USING (parent_id, var) JOIN cover USING (parent_id, var) WHERE n >= 2),
+      mix AS ({_RAGGED_MIX}), mixed AS (SELECT record_id, system, opt, {_SHARED} AS q FROM mix WINDOW s AS (PARTITION BY record_id, system))
+      SELECT own.record_id, own.system, m.q IS NOT NULL AS decomposed, own.opt, {R('coalesce(m.q, own.q)')} AS q
+      FROM own LEFT JOIN mixed m ON m.record_id = own.record_id AND m.system = own.system AND m.opt = own.opt""",
+    "post_strat_weights_ragged": f"""{VIEWS}, {KIDS}, {_RAGGED},
+      w AS (SELECT parent_id, var, child_id, sqrt(size / sum(size) OVER (PARTITION BY parent_id, var)) AS weight FROM kid),
+      v AS (SELECT parent_id, var, sum(weight) AS c FROM w GROUP BY ALL HAVING count(*) >= 2),
+      b AS (SELECT parent_id, var FROM v QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY c DESC, var) = 1),
+      chosen AS (SELECT w.* FROM w JOIN b USING (parent_id, var)), mix AS ({_RAGGED_MIX})
+      SELECT record_id, system, opt, {R(_SHARED)} AS q FROM mix WINDOW s AS (PARTITION BY record_id, system)""",
+    "counterfactual_ragged": f"""{VIEWS}, {_RAGGED}, tp AS (SELECT record_id, system, opt, p / sum(p) OVER (PARTITION BY record_id, system) AS p FROM rg),
+      fam AS (SELECT DISTINCT record_id, system, dataset, question, size FROM rg),
+      tot AS (SELECT system, dataset, question, sum(size) AS total, count(*) AS n FROM fam GROUP BY ALL),
+      ref AS (SELECT f.system, f.dataset, f.question, tp.opt, sum(f.size * tp.p) / any_value(tot.total) AS rp, sum(f.size * own.q) / any_value(tot.total) AS rq
+        FROM fam f JOIN tp USING (record_id, system) JOIN own USING (record_id, system, opt) JOIN tot ON tot.system = f.system AND tot.dataset = f.dataset AND tot.question = f.question
+        WHERE tot.n >= 2 GROUP BY ALL),
+      sh AS (SELECT f.record_id, f.system, sqrt(sum((coalesce(tp.p, 0) - rp) ** 2)) AS np, sqrt(sum((coalesce(own.q, 0) - rq) ** 2)) AS nq,
+          sum((coalesce(tp.p, 0) - rp) * (coalesce(own.q, 0) - rq)) AS dot
+        FROM fam f JOIN ref ON ref.system = f.system AND ref.dataset = f.dataset AND ref.question = f.question
+        LEFT JOIN tp ON tp.record_id = f.record_id AND tp.system = f.system AND tp.opt = ref.opt
+        LEFT JOIN own ON own.record_id = f.record_id AND own.system = f.system AND own.opt = ref.opt GROUP BY ALL)
+      SELECT record_id, system, {R('CASE WHEN np < 1e-12 OR nq < 1e-12 THEN NULL ELSE dot / (np * nq) END')} AS alignment, {R('np')} AS true_shift FROM sh""",
     "distribution_table": f"""{VIEWS}, v AS (SELECT *, {_VARS} AS variables FROM cell)
       SELECT record_id, variables, CAST(size AS BIGINT) AS group_size, {R('size / sum(size) OVER (PARTITION BY dataset, question, variables)')} AS weight FROM v""",
     "grouping_counts": f"{VIEWS} SELECT {_VARS} AS variables, count(*) AS n FROM cell GROUP BY ALL ORDER BY n DESC, variables LIMIT 10",

@@ -14,31 +14,34 @@ FAMILY = ["system", "dataset", "question"]
 def segment_shifts(scored: DataFrame) -> DataFrame:
     """Cosine between predicted and true shift of every record against its question's weighted mean.
 
-    Records weigh their group size, or one where it is missing or zero.  Questions with a
-    single record are left out; a shift of (almost) zero length has no alignment.
+    Records weigh their group size, or one where it is missing or zero.  All labels of a question form its
+    axis; a label that a record does not list has no mass there, so records may list different options
+    in any order.  Questions with a single record are left out; a shift of (almost) zero length has no alignment.
     """
     rows = scored.select(
         *FAMILY,
         "record_id",
         "segment",
-        "p",
-        "q",
+        dist.as_map(F.col("options"), F.col("p")).alias("truth_by_label"),
+        dist.as_map(F.col("options"), F.col("q")).alias("pred_by_label"),
         F.when(F.col("group_size") > 0, F.col("group_size").cast("double")).otherwise(F.lit(1.0)).alias("w"),
     )
-    long = rows.select(*FAMILY, "w", F.posexplode(F.arrays_zip("p", "q")).alias("pos", "z"))
-    by_option = long.groupBy(*FAMILY, "pos").agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum(F.col("w") * F.col("z.p")) / F.sum("w")).alias("p"),
-        (F.sum(F.col("w") * F.col("z.q")) / F.sum("w")).alias("q"),
+    totals = rows.groupBy(*FAMILY).agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
+    long = rows.select(*FAMILY, "w", "pred_by_label", F.explode("truth_by_label").alias("label", "p"))
+    sums = long.groupBy(*FAMILY, "label").agg(
+        F.sum(F.col("w") * F.col("p")).alias("wp"), F.sum(F.col("w") * F.element_at("pred_by_label", F.col("label"))).alias("wq")
     )
     reference = (
-        by_option.filter(F.col("n") >= 2)
+        sums.join(totals, FAMILY)
         .groupBy(*FAMILY)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "p", "q"))).alias("ref"))
+        .agg(F.array_sort(F.collect_list(F.struct("label", (F.col("wp") / F.col("total")).alias("p"), (F.col("wq") / F.col("total")).alias("q")))).alias("ref"))
     )
     both = attach(rows, reference, FAMILY, ["record_id"], "inner")
-    minus = lambda v, f: F.zip_with(F.col(v), F.transform("ref", lambda r: r[f]), lambda a, b: a - b)
-    shifted = both.withColumns({"dp": minus("p", "p"), "dq": minus("q", "q")})
+
+    def shift(own: str, f: str):
+        return F.transform("ref", lambda r: F.coalesce(F.try_element_at(F.col(own), r["label"]), F.lit(0.0)) - r[f])
+
+    shifted = both.withColumns({"dp": shift("truth_by_label", "p"), "dq": shift("pred_by_label", "q")})
     return shifted.select(
         *FAMILY,
         "record_id",

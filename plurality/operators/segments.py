@@ -66,37 +66,34 @@ def decompositions(cells: DataFrame, min_cells: int = 2) -> DataFrame:
     return per_parent.join(_parents(cells), PARENT).select("parent_id", "variables", "picked")
 
 
+def _mixed(chosen: DataFrame, preds: DataFrame, parent: Sequence[str]) -> DataFrame:
+    """(parent, system, combined): share-weighted sum of the cells' predictions over the parent's options.
+
+    ``chosen`` holds (parent, parent_options, record_id of a cell, share).  A label the cell lacks adds nothing.
+    """
+    values = F.arrays_zip(F.col("parent_options").alias("o"), dist.align(F.col("pred"), F.col("parent_options")).alias("q"))
+    long = chosen.join(preds, "record_id").select(*parent, "system", "share", F.explode(values).alias("z"))
+    sums = long.groupBy(*parent, "system", F.col("z.o").alias("option")).agg(F.sum(F.col("share") * F.col("z.q")).alias("v"))
+    return sums.groupBy(*parent, "system").agg(F.map_from_entries(F.collect_list(F.struct("option", "v"))).alias("combined"))
+
+
 def recombine(cells: DataFrame, preds: DataFrame, over: str | None = None, min_children: int = 2) -> DataFrame:
     """Predictions of parents as the share-weighted sum of their cells' predictions.
 
-    Without ``over`` each parent uses the variable whose cells cover most respondents
-    (ties: variable name).  Returns (parent keys, system, combined) for parents with at
-    least ``min_children`` cells.
+    The variable is chosen per parent, from the cells alone: without ``over`` the one whose cells cover most
+    respondents (ties: variable name).  Parents where it has fewer than ``min_children`` cells are left
+    out.  Returns (parent keys, system, combined) over the parent's own options, whatever the cells list.
     """
-    edges = links(cells).select(*PARENT, "var", "w", "options", F.col("child_id").alias("record_id"))
+    edges = links(cells).select(*PARENT, "var", "w", F.col("child_id").alias("record_id"))
     if over is not None:
         edges = edges.filter(F.col("var") == over)
-    cellwise = edges.join(preds, "record_id").select(
-        *PARENT,
-        "system",
-        "var",
-        "w",
-        F.explode(F.arrays_zip(F.col("options").alias("o"), dist.align(F.col("pred"), F.col("options")).alias("q"))).alias("z"),
-    )
-    sums = cellwise.groupBy(*PARENT, "system", "var", F.col("z.o").alias("option")).agg(
-        F.sum("w").alias("w"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("w") * F.col("z.q")).alias("wq"),
-        F.sum("z.q").alias("sq"),
-    )
-    mixed = F.when(F.col("w") > 0, F.col("wq") / F.nullif(F.col("w"), F.lit(0.0))).otherwise(F.col("sq") / F.col("n"))
-    chosen = sums.groupBy(*PARENT, "system", "option").agg(
-        F.min_by(F.struct(mixed.alias("value"), "n"), F.struct((-F.col("w")).alias("c"), "var")).alias("b")
-    )
-    packed = chosen.filter(F.col("b.n") >= min_children).groupBy(*PARENT, "system").agg(
-        F.map_from_entries(F.collect_list(F.struct("option", "b.value"))).alias("combined")
-    )
-    return packed
+    per_var = edges.groupBy(*PARENT, "var").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("n"))
+    best = per_var.groupBy(*PARENT).agg(F.min_by(F.struct("var", "total", "n"), F.struct(-F.col("total"), F.col("var"))).alias("b"))
+    parents = cells.select("dataset", "question", keys.segment_key(F.col("segment")).alias("parent_key"), F.col("options").alias("parent_options"))
+    picked = best.filter(F.col("b.n") >= min_children).select(*PARENT, "b.*").join(parents, PARENT)
+    share = F.when(F.col("total") > 0, F.col("w") / F.nullif(F.col("total"), F.lit(0.0))).otherwise(1.0 / F.col("n"))
+    chosen = edges.join(picked, [*PARENT, "var"]).select(*PARENT, "parent_options", "record_id", share.alias("share"))
+    return _mixed(chosen, preds, PARENT)
 
 
 def post_stratify(cells: DataFrame, preds: DataFrame, over: str | None = None, min_children: int = 2) -> DataFrame:
@@ -119,25 +116,20 @@ def post_stratify(cells: DataFrame, preds: DataFrame, over: str | None = None, m
 def recombine_weighted(weights: DataFrame, cells: DataFrame, preds: DataFrame, min_children: int = 2) -> DataFrame:
     """Predictions of parents under any table of weights (parent_id, var, child_id, weight).
 
-    The weights need not sum to one.  Per parent the variable with the largest total weight is
-    used (ties: variable name); parents with fewer than ``min_children`` cells are left out.
+    The weights need not sum to one.  Per parent the variable with the largest total weight is used, of
+    those with ``min_children`` cells or more (ties: variable name); parents without one are left out.
     """
-    children = preds.join(cells.select("record_id", "options"), "record_id").withColumnRenamed("record_id", "child_id")
-    cellwise = weights.join(children, "child_id").select(
-        "parent_id",
-        "system",
-        "var",
-        "weight",
-        F.explode(F.arrays_zip(F.col("options").alias("o"), dist.align(F.col("pred"), F.col("options")).alias("q"))).alias("z"),
-    )
-    sums = cellwise.groupBy("parent_id", "system", "var", F.col("z.o").alias("option")).agg(
-        F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") * F.col("z.q")).alias("v")
-    )
-    chosen = sums.filter(F.col("n") >= min_children).groupBy("parent_id", "system", "option").agg(
-        F.min_by("v", F.struct((-F.col("w")).alias("c"), "var")).alias("v")
+    per_var = weights.groupBy("parent_id", "var").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
+    best = (
+        per_var.filter(F.col("n") >= min_children)
+        .groupBy("parent_id")
+        .agg(F.min_by("var", F.struct(-F.col("total"), F.col("var"))).alias("var"))
+        .join(cells.select(F.col("record_id").alias("parent_id"), F.col("options").alias("parent_options")), "parent_id")
     )
-    packed = chosen.groupBy("parent_id", "system").agg(F.array_sort(F.collect_list(F.struct("option", "v"))).alias("e"))
-    labels, vector = F.transform("e", lambda x: x["option"]), dist.renorm(F.transform("e", lambda x: x["v"]))
+    chosen = weights.join(best, ["parent_id", "var"]).select("parent_id", "parent_options", F.col("child_id").alias("record_id"), F.col("weight").alias("share"))
+    packed = _mixed(chosen, preds, ["parent_id"])
+    labels = F.array_sort(F.map_keys("combined"))
+    vector = dist.renorm(dist.align(F.col("combined"), labels))
     return packed.select(F.col("parent_id").alias("record_id"), "system", dist.as_map(labels, vector).alias("pred"))
 
 
