@@ -66,13 +66,37 @@ def siblings(spark, sf):
     return rows.select("record_id", F.array_join("siblings", "\n").alias("siblings"))
 
 
+# Clauses of drawn individuals, taken from the tables: axis, table, text, column, concepts that pin the axis.
+POOLS = (
+    ("outlook", "region", "follows the news from ", "r_name", ()),
+    ("age", "customer", "work in ", "c_mktsegment", ("age",)),
+    ("education", "part", "buy from ", "p_brand", ("education",)),
+    ("locality", "nation", "live near ", "n_name", ("locality", "city size", "region")),
+    ("income", "orders", "order at ", "o_orderpriority", ("income", "income strain", "social standing")),
+)
+AXES = tuple(p[0] for p in POOLS)
+
+
+def _pools(spark, sf):
+    out = None
+    for axis, name, words, column, pins in POOLS:
+        clauses = tables.table(spark, sf, name).select(F.concat(F.lit(words), column).alias("clause")).distinct()
+        part = clauses.select(F.lit(axis).alias("axis"), "clause", F.array(*[F.lit(p) for p in pins]).cast("array<string>").alias("pinned_by"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _dispositions(spark, sf):
+    return tables.table(spark, sf, "part").select(F.concat(F.lit("prefers "), "p_type").alias("clause")).distinct()
+
+
 def draw_descriptors(spark, sf):
-    rows = requests.draw_individuals(tables.text_cells(spark, sf), 3)
+    rows = requests.draw_individuals(tables.text_cells(spark, sf), _pools(spark, sf), AXES, 3)
     return rows.select("record_id", "draw", "descriptor")
 
 
 def draw_dispositions(spark, sf):
-    rows = requests.draw_dispositions(tables.text_cells(spark, sf), 4, seed=2)
+    rows = requests.draw_dispositions(tables.text_cells(spark, sf), _dispositions(spark, sf), 4, seed=2)
     return rows.select("record_id", "draw", "descriptor")
 
 
@@ -91,7 +115,7 @@ def render_request(spark, sf):
 
 
 def render_draws(spark, sf):
-    cells = requests.draw_dispositions(tables.text_cells(spark, sf), 2)
+    cells = requests.draw_dispositions(tables.text_cells(spark, sf), _dispositions(spark, sf), 2)
     return _contents(requests.render_requests(cells, ("voter", "individual")), "draw")
 
 
@@ -156,12 +180,17 @@ def _u(seed: int, axis: str) -> str:
     return f"('0x' || substr(sha256('{seed}::' || draw || '::{axis}'), 1, 16))::UBIGINT / 18446744073709551616.0"
 
 
-def _from(pool, seed: int, axis: str, free: str = "true") -> str:
-    return f"CASE WHEN {free} THEN {_arr(pool)}[least({len(pool) - 1}, CAST(floor({_u(seed, axis)} * {len(pool)}) AS INT)) + 1] END"
+def _from(axis: str, seed: int, free: str = "true") -> str:
+    return f"CASE WHEN {free} THEN {axis}[least(len({axis}) - 1, CAST(floor({_u(seed, axis)} * len({axis})) AS INT)) + 1] END"
+
 
+_POOLS = "pl AS (SELECT " + ", ".join(
+    f"(SELECT list(DISTINCT {_q(words)} || {column} ORDER BY {_q(words)} || {column}) FROM {name}) AS {axis}" for axis, name, words, column, _ in POOLS
+) + ")"
 
-_DISP = f"""{{p}} AS (SELECT *, least(17, CAST(floor({{u1}} * 18) AS INT)) AS a, least(16, CAST(floor({{u2}} * 17) AS INT)) AS b0 FROM tq, range({{n}}) r(draw)),
-  {{p}}d AS (SELECT *, {_arr(requests.DISPOSITIONS)}[a + 1] || ', and ' || {_arr(requests.DISPOSITIONS)}[CASE WHEN b0 >= a THEN b0 + 2 ELSE b0 + 1 END] AS descriptor FROM {{p}})"""
+_DISP = """dp AS (SELECT list(DISTINCT 'prefers ' || p_type ORDER BY 'prefers ' || p_type) AS ds FROM part),
+  {p} AS (SELECT *, least(len(ds) - 1, CAST(floor({u1} * len(ds)) AS INT)) AS a, least(len(ds) - 2, CAST(floor({u2} * (len(ds) - 1)) AS INT)) AS b0 FROM tq, dp, range({n}) r(draw)),
+  {p}d AS (SELECT *, ds[a + 1] || ', and ' || ds[CASE WHEN b0 >= a THEN b0 + 2 ELSE b0 + 1 END] AS descriptor FROM {p})"""
 
 
 def _styles(names) -> str:
@@ -197,9 +226,8 @@ SQL = {
       'A,B,C' AS labels, 1.0::DOUBLE / 3 AS share FROM part""",
     "item_corpus": f"{TEXT} SELECT DISTINCT dataset, item FROM tq",
     "siblings": f"{TEXT}, {_SIBS.format(k1=7, k=6, prefix=_q(''), cut=_cut('item'))} SELECT record_id, coalesce(sibs, '') AS siblings FROM tq LEFT JOIN sl USING (record_id)",
-    "draw_descriptors": f"""{TEXT}, dr AS (SELECT *, {_from(requests.WORLDVIEWS, 0, 'worldview')} AS view, concat_ws(', ',
-        {_from(requests.ATTRIBUTES['age'], 0, 'age', 'd % 4 <> 1')}, {_from(requests.ATTRIBUTES['education'], 0, 'education')},
-        {_from(requests.ATTRIBUTES['locality'], 0, 'locality', 'd % 4 <> 3')}, {_from(requests.ATTRIBUTES['income'], 0, 'income')}) AS rest FROM tq, range(3) r(draw))
+    "draw_descriptors": f"""{TEXT}, {_POOLS}, dr AS (SELECT *, {_from('outlook', 0)} AS view, concat_ws(', ', {_from('age', 0, 'd % 4 <> 1')},
+        {_from('education', 0)}, {_from('locality', 0, 'd % 4 <> 3')}, {_from('income', 0)}) AS rest FROM tq, pl, range(3) r(draw))
       SELECT record_id, draw, CASE WHEN rest = '' THEN view ELSE view || '; they ' || rest END AS descriptor FROM dr""",
     "draw_dispositions": f"{TEXT}, {_DISP.format(p='dd', n=4, u1=_u(2, 'first'), u2=_u(2, 'second'))} SELECT record_id, draw, descriptor FROM ddd",
     "render_request": f"""{TEXT}, {_SIBS.format(k1=3, k=2, prefix=_q('  - '), cut=_cut('item'))}
