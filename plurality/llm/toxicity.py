@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ RATE = 0.01
 #: Scale of a document's mean vector before the softmax.
 GAIN = 100.0
 #: Labelled documents of each class that are used at most.
-MOST_PER_CLASS = 6000
+MOST_PER_CLASS = 3000
 FOLDS = 5
 CACHED_WORDS = 400_000
 
@@ -69,19 +70,22 @@ def bags(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, rows array<int>, weights array<float>")
 
 
-def fit(rows: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
+def fit(offsets: np.ndarray, rows: np.ndarray, weights: np.ndarray, labels: np.ndarray, importance: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
     """(number per table row, bias): the log odds of label 1 are bias plus the weighted sum of the numbers.
 
-    Adam steps on the embeddings and the two-class softmax together; ``importance`` restores the classes' shares.
+    Document i has the table rows and weights from offsets[i] to offsets[i + 1].  Adam steps on the embeddings and the
+    two-class softmax together; ``importance`` restores the classes' shares.
     Table rows of very few documents stay zero: they would only memorise those.
     """
     rng = np.random.default_rng(seed)
-    seen = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=BUCKETS)
-    used = np.flatnonzero(seen >= min(20, max(2, len(rows) // 200)))
-    place = np.full(BUCKETS, -1)
+    seen = np.bincount(rows, minlength=BUCKETS)
+    used = np.flatnonzero(seen >= min(20, max(2, len(labels) // 200)))
+    place = np.full(BUCKETS, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
-    rows, weights = [place[r] for r in rows], [w[place[r] >= 0] for r, w in zip(rows, weights)]
-    rows = [r[r >= 0] for r in rows]
+    rows = place[rows]
+    kept = rows >= 0
+    offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
+    rows, weights = rows[kept], weights[kept]
     values = [rng.normal(0, 0.01, (len(used), SIZE)), rng.normal(0, 0.1, (SIZE, 2)), np.zeros(2)]
     moves = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     step = 0
@@ -90,8 +94,9 @@ def fit(rows: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, i
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             table, top, bias = values
-            of = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
-            index, weight = np.concatenate([rows[i] for i in some]), np.concatenate([weights[i] for i in some])
+            parts = [slice(offsets[i], offsets[i + 1]) for i in some]
+            of = np.repeat(np.arange(len(some)), [p.stop - p.start for p in parts])
+            index, weight = np.concatenate([rows[p] for p in parts]), np.concatenate([weights[p] for p in parts])
             mean = np.stack([np.bincount(of, weights=weight * table[index, k], minlength=len(some)) for k in range(SIZE)], axis=1) * GAIN
             logits = mean @ top + bias
             chance = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -119,13 +124,20 @@ def train(docs: DataFrame, labels: DataFrame, folds_: int = FOLDS, most: int = M
     for label in (0, 1):
         own = folds.sample(known.filter(F.col("label") == label), totals.get(label, 0), most)
         picked = own if picked is None else picked.unionByName(own)
-    # Ordered, so reruns make the same steps.
-    found = bags(folds.sampled_texts(docs, picked)).toPandas().sort_values("doc_id", kind="stable")
-    y = found["label"].to_numpy(dtype=np.int64)
-    if not len(y):
+    found = bags(folds.sampled_texts(docs, picked)).toArrow().combine_chunks()
+    if not found.num_rows:
         return np.zeros(BUCKETS), 0.0
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")  # reruns make the same steps
+    found = found.take(pa.array(order)).combine_chunks()
+    rows, weights = (_flat(found.column(c)) for c in ("rows", "weights"))
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(found.column("rows")).to_numpy().astype(np.int64))])
+    y = found.column("label").to_numpy().astype(np.int64)
     share = np.array([totals.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
-    return fit([np.asarray(r) for r in found["rows"]], [np.asarray(w, dtype=np.float64) for w in found["weights"]], y, share[y])
+    return fit(offsets, rows, weights, y, share[y])
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=column.type.value_type.to_pandas_dtype()), *[c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]])
 
 
 def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
@@ -169,4 +181,7 @@ def scored(docs: DataFrame, labels: DataFrame, folds_: int = FOLDS, most: int =
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    return with_scores(docs, train(docs, labels), "_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    return with_scores(docs, train(docs, labels), name).filter(F.col(name) < 0.5).drop(name)
