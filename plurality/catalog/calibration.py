@@ -101,21 +101,21 @@ def entropy_regress(spark, sf):
 
 
 def ridge_fit(spark, sf):
-    """Fits the feature regression and recomputes its normal equations over all rows: every residual is zero."""
-    rows = labelled(spark, sf, "half")
-    fit = calibrate.FeatureEntropyTarget().fit_weights(rows)
-    prepared = fit.with_features(rows).withColumn("_e", F.col("truth_h") - fit.predicted())
-    params = F.array(
-        *[
-            F.struct(F.lit(m).alias("m"), F.lit(s).alias("s"), F.lit(w).alias("w"), F.lit(n).alias("feature"))
-            for m, s, w, n in zip(fit.mean, fit.std, fit.weights, fit.feature_names())
-        ]
-    )
-    cells = prepared.select("_e", F.explode(F.arrays_zip(F.col("_x").alias("x"), params.alias("f"))).alias("c"))
-    gradient = F.sum((F.col("c.x") - F.col("c.f.m")) / F.col("c.f.s") * F.col("_e"))
-    out = cells.groupBy(F.col("c.f.feature").alias("feature")).agg(
-        F.count(F.lit(1)).alias("n"), (gradient - fit.ridge * F.first("c.f.w")).alias("residual")
-    )
+    """Fits the feature regression per system and recomputes its normal equations over all rows: every residual is zero."""
+    out = None
+    for system in tables.SYSTEMS:
+        rows = labelled(spark, sf, system)
+        fit = calibrate.FeatureEntropyTarget().fit_weights(rows)
+        left = fit.with_features(fit.with_prediction(rows)).withColumn("_e", F.col("truth_h") - F.col("_want"))
+        share = F.col("n") / F.lit(float(left.count()))
+        pull = fit.ridge * share * (1 - share) * F.col("effect")
+        per_dataset = left.groupBy("dataset").agg(F.sum("_e").alias("e"), F.count(F.lit(1)).alias("n")).join(fit.effects, "dataset")
+        flags = per_dataset.select(F.concat(F.lit("dataset="), "dataset").alias("feature"), (F.col("e") - pull).alias("residual"))
+        params = F.array(*[F.struct(F.lit(w * s * s).alias("w"), F.lit(n).alias("feature")) for w, s, n in zip(fit.weights, fit.std, fit.feature_names())])
+        long = left.select("_e", F.explode(F.arrays_zip(F.col("_x").alias("x"), params.alias("f"))).alias("c"))
+        others = long.groupBy(F.col("c.f.feature").alias("feature")).agg((F.sum(F.col("c.x") * F.col("_e")) - fit.ridge * F.first("c.f.w")).alias("residual"))
+        part = flags.unionByName(others).withColumn("system", F.lit(system))
+        out = part if out is None else out.unionByName(part)
     return out.withColumn("residual", F.round(F.abs("residual"), 6))
 
 
@@ -161,7 +161,7 @@ def feature_target(spark, sf):
     """Feature-based target on all rows; counts rows off their target and rows whose top option changed."""
     rows = labelled(spark, sf, "half")
     fit = calibrate.FeatureEntropyTarget().fit(rows)
-    prepared = fit.with_features(rows).withColumn("_want", fit.predicted())
+    prepared = fit.with_prediction(rows)
     gain = F.lit(fit.gain)
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     target = clip(F.col("pred_h") + gain * (clip(F.col("_want")) - F.col("pred_h")))
@@ -278,7 +278,7 @@ SQL = {
       {R('CASE WHEN stddev_pop(pe) > 1e-9 THEN regr_intercept(te, pe) END')} AS intercept FROM scored GROUP BY system""",
     "ridge_fit": f"""{VIEWS}, f AS (SELECT DISTINCT 'dataset=' || dataset AS feature FROM cell
         UNION ALL SELECT unnest(['n_options', 'is_pop', 'n_vars', 'peak', 'gap', 'entropy', 'n_eff']))
-      SELECT feature, (SELECT count(*) FROM cell) AS n, 0.0::DOUBLE AS residual FROM f""",
+      SELECT feature, system, 0.0::DOUBLE AS residual FROM f, (SELECT unnest(['uniform', 'marginal', 'half', 'blend', 'peaked']) AS system)""",
     "r2": f"""{VIEWS}, o AS (SELECT record_id, row_number() OVER (PARTITION BY dataset ORDER BY sha256('0::' || record_id)) <= count(*) OVER (PARTITION BY dataset) // 2 AS fh FROM cell),
       b AS (SELECT * FROM scored JOIN o USING (record_id) WHERE system IN ('half', 'blend')),
       l AS (SELECT regr_slope(te, pe) AS s, regr_intercept(te, pe) AS i FROM b WHERE fh)

@@ -7,16 +7,15 @@ aggregation and keeps only fitted scalars; ``transform`` is lazy.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import dist
-from plurality.plans.lineage import cut
+from plurality.plans.lineage import cut, stored
 from plurality.plans.skew import attach
 
 # Search grids (fixed values).
@@ -179,113 +178,103 @@ def entropy_regression(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def _moments(columns: Sequence[str]):
-    """Per Arrow batch: the cross-product matrix of the feature rows, as (i, j, value) rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
-            x = flat.reshape(batch.num_rows, -1)
-            total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())],
-                names=["i", "j", "s"],
-            )
-
-    return run
-
-
 @dataclass
 class FeatureEntropyTarget(Calibrator):
     """Predict the true spread from question features by ridge regression, then retarget.
 
-    Features: dataset indicators, option count, population flag, number of grouping
-    variables, and the shape of the prediction.  The fit needs only the feature
-    cross-products, which partitions sum up; the driver solves a system of feature size.
+    Features, all standardised: dataset indicators, option count, population flag, number of grouping
+    variables, and the shape of the prediction.  Indicators of different datasets never meet in a row, so
+    their block of the normal equations is diagonal and is eliminated exactly: per dataset only its
+    sums are needed, the driver solves a system of the few other features, and a dataset's effect reaches its
+    rows by a join.  Any number of datasets works.
     """
 
     gain: float = 1.0
     ridge: float = 1.0
     use_dataset: bool = True
     use_pred_shape: bool = True
-    max_features: int = 2000
     name: str = "feat_entropy_target"
-    datasets: list[str] = field(default_factory=list)
-    weights: list[float] | None = None
+    intercept: float | None = None
+    weights: list[float] = field(default_factory=list)
     mean: list[float] = field(default_factory=list)
     std: list[float] = field(default_factory=list)
+    effects: DataFrame | None = None
 
     def feature_names(self) -> list[str]:
-        shape = ["peak", "gap", "entropy", "n_eff"] if self.use_pred_shape else []
-        flags = [f"dataset={d}" for d in self.datasets] if self.use_dataset else []
-        return [*flags, "n_options", "is_pop", "n_vars", *shape]
+        """The features that are not dataset indicators."""
+        return ["n_options", "is_pop", "n_vars", *(["peak", "gap", "entropy", "n_eff"] if self.use_pred_shape else [])]
 
     def with_features(self, rows: DataFrame) -> DataFrame:
-        parts = []
-        if self.use_dataset and self.datasets:
-            known = F.array(*[F.lit(d) for d in self.datasets])
-            parts.append(F.transform(known, lambda d: (d == F.col("dataset")).cast("double")))
-        parts.append(
-            F.array(
-                F.size("options").cast("double"),
-                (F.col("split") == "pop").cast("double"),
-                F.coalesce("n_grouping_vars", F.lit(0)).cast("double"),
-            )
-        )
+        """Add ``_x``, the features of ``feature_names``."""
+        parts = [F.size("options").cast("double"), (F.col("split") == "pop").cast("double"), F.coalesce("n_grouping_vars", F.lit(0)).cast("double")]
         if self.use_pred_shape:
             rows = rows.withColumn("_shape", dist.shape_features(F.col("v")))
-            parts.append(F.array(*[F.col(f"_shape.{c}") for c in ("peak", "gap", "entropy", "n_eff")]))
-        return rows.withColumn("_x", F.concat(*parts)).drop("_shape")
-
-    def predicted(self) -> Column:
-        """Linear prediction of the true entropy from ``_x``."""
-        scale = [w / s for w, s in zip(self.weights[:-1], self.std)]
-        offset = self.weights[-1] - float(np.dot(scale, self.mean))
-        known = F.array(*[F.lit(float(w)) for w in scale])
-        return F.lit(offset) + dist.vsum(F.zip_with(F.col("_x"), known, lambda a, b: a * b))
+            parts += [F.col(f"_shape.{c}") for c in ("peak", "gap", "entropy", "n_eff")]
+        return rows.withColumn("_x", F.array(*parts)).drop("_shape")
+
+    def with_prediction(self, rows: DataFrame) -> DataFrame:
+        """Add ``_want``, the linear prediction of the true entropy; a dataset that was not fitted has no effect."""
+        prepared = self.with_features(rows)
+        known = F.array(*[F.lit(float(w)) for w in self.weights])
+        linear = F.lit(float(self.intercept)) + dist.vsum(F.zip_with(F.col("_x"), known, lambda a, b: a * b))
+        if self.effects is not None:
+            prepared = attach(prepared, self.effects, ["dataset"], ["record_id"])
+            linear = linear + F.coalesce("effect", F.lit(0.0))
+        return prepared.withColumn("_want", linear).drop("_x", "effect")
 
     def fit_weights(self, rows: DataFrame) -> "FeatureEntropyTarget":
-        if self.use_dataset:
-            found = rows.select("dataset").distinct().limit(self.max_features + 1).collect()
-            if len(found) > self.max_features:
-                raise ValueError("too many datasets for indicator features; set use_dataset=False")
-            self.datasets = sorted(r["dataset"] for r in found)
-        x = self.with_features(rows).select(F.concat("_x", F.array(F.lit(1.0), F.col("truth_h"))).alias("x"))
-        sums = x.mapInArrow(_moments(["x"]), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-        size = len(self.feature_names()) + 2
-        gram = np.zeros((size, size))
-        for r in sums.collect():  # feature-size squared numbers
-            gram[r["i"], r["j"]] = r["s"]
-        n = gram[-2, -2]
-        mean = gram[:-2, -2] / n
-        std = np.sqrt(np.maximum(np.diag(gram)[:-2] / n - mean**2, 0.0))
+        names = self.feature_names()
+        features = self.with_features(rows).select("dataset", *[F.col("_x")[i].alias(f"u{i + 1}") for i in range(len(names))], F.col("truth_h").alias("y"), F.lit(1.0).alias("u0"))
+        size = len(names) + 1
+        pairs = [(i, j) for i in range(size) for j in range(i, size)]
+
+        def products(of, what):
+            return [F.sum(of(i, j)).alias(f"{what}{i}_{j}") for i, j in pairs]
+
+        def square(row, what):
+            out = np.zeros((size, size))
+            for i, j in pairs:
+                out[i, j] = out[j, i] = row[f"{what}{i}_{j}"]
+            return out
+
+        whole = features.agg(*products(lambda i, j: F.col(f"u{i}") * F.col(f"u{j}"), "p"), *[F.sum(F.col(f"u{i}") * F.col("y")).alias(f"y{i}") for i in range(size)]).first()
+        gram, right = square(whole, "p"), np.array([whole[f"y{i}"] for i in range(size)])
+        n = gram[0, 0]
+        mean = gram[0, 1:] / n
+        std = np.sqrt(np.maximum(np.diag(gram)[1:] / n - mean**2, 0.0))
         std = np.where(std > 1e-9, std, 1.0)
-        centred = gram[:-2, :-2] - n * np.outer(mean, mean)
-        left = centred / np.outer(std, std) + self.ridge * np.eye(len(mean))
-        right = (gram[:-2, -1] - mean * gram[-2, -1]) / std
-        weights = np.linalg.solve(left, right)
+        left = gram + self.ridge * np.diag([0.0, *std**2])
+        per_dataset = None
+        if self.use_dataset:
+            part = F.col("n") / F.lit(float(n))
+            spread = F.sqrt(F.greatest(part * (1 - part), F.lit(0.0)))
+            scale = F.when(spread > 1e-9, spread).otherwise(F.lit(1.0))
+            sums = features.groupBy("dataset").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"u{i}").alias(f"s{i}") for i in range(size)], F.sum("y").alias("sy"))
+            per_dataset = stored(sums.withColumn("held", F.col("n") + F.lit(float(self.ridge)) * scale * scale), "datasets")
+            taken = per_dataset.agg(
+                *products(lambda i, j: F.col(f"s{i}") * F.col(f"s{j}") / F.col("held"), "p"),
+                *[F.sum(F.col(f"s{i}") * F.col("sy") / F.col("held")).alias(f"y{i}") for i in range(size)],
+            ).first()
+            left, right = left - square(taken, "p"), right - np.array([taken[f"y{i}"] for i in range(size)])
+        solved = np.linalg.solve(left, right)
         self.mean, self.std = mean.tolist(), std.tolist()
-        self.weights = [*weights.tolist(), float(gram[-2, -1] / n)]
+        self.intercept, self.weights = float(solved[0]), solved[1:].tolist()
+        if per_dataset is not None:
+            explained = sum((F.col(f"s{i}") * float(solved[i]) for i in range(1, size)), F.col("s0") * float(solved[0]))
+            self.effects = per_dataset.select("dataset", ((F.col("sy") - explained) / F.col("held")).alias("effect"))
         return self
 
     def fit(self, rows):
         self.fit_weights(rows)
-        prepared = self.with_features(rows).withColumn("_want", self.predicted())
-        scores = grid_scores(prepared, FEATURE_GAINS, lambda g: retarget(g, F.col("_want")))
+        scores = grid_scores(self.with_prediction(rows), FEATURE_GAINS, lambda g: retarget(g, F.col("_want")))
         self.gain = best_of_grid(scores).first()["param"]
         return self
 
     def transform(self, rows):
-        if self.weights is None or self.gain == 0:
+        if self.intercept is None or self.gain == 0:
             return rows
-        prepared = self.with_features(rows).withColumn("_want", self.predicted())
-        changed = prepared.withColumn("v", retarget(F.lit(self.gain), F.col("_want")))
-        return _with_entropy(changed.drop("_x", "_want"))
+        changed = self.with_prediction(rows).withColumn("v", retarget(F.lit(self.gain), F.col("_want")))
+        return _with_entropy(changed.drop("_want"))
 
 
 def abstain_datasets(rows: DataFrame, groups: Sequence[str] = (), rule: str = "tvd") -> DataFrame:
