@@ -6,13 +6,13 @@ dev_score, val_score, cost_usd.  Nothing here bounds the length or depth of a ru
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.plans.lineage import cut
-from plurality.plans.skew import attach
+from plurality.plans.lineage import cut, stored
 
 STRETCH = 4096  # nodes of a run handled together by the running totals
 
@@ -21,18 +21,23 @@ def with_paths(log: DataFrame) -> DataFrame:
     """Add ``path`` (root to node), ``lever_path``, ``sort_path`` (seq along it) and ``depth``.
 
     Every round joins each open pointer to the ancestor it names and takes over that
-    ancestor's pointer, so the covered depth doubles: a tree of depth d needs log2(d) rounds.
+    ancestor's pointer, so the covered depth doubles: a tree of depth d needs log2(d) rounds.  Parents that lead in
+    a circle never end; they show as more rounds than a tree of all nodes could need, and raise.
     """
+    rounds = max(1, log.count()).bit_length() + 1
     tracks = {"path": "node_id", "lever_path": "lever_id", "sort_path": "seq"}
     state = log.select("run_id", "node_id", F.col("parent_id").alias("up"), *[F.array(c).alias(t) for t, c in tracks.items()])
     while not state.filter(F.col("up").isNotNull()).isEmpty():
+        if rounds == 0:
+            raise ValueError("the parents of some nodes lead in a circle")
+        rounds -= 1
         above = state.select(
             "run_id",
             F.col("node_id").alias("up"),
             F.col("up").alias("_next"),
             *[F.col(t).alias(f"_{t}") for t in tracks],
         )
-        joined = attach(state, above, ["run_id", "up"], ["node_id"])
+        joined = state.join(above, ["run_id", "up"], "left")
         state = cut(
             joined.select(
                 "run_id",
@@ -46,11 +51,13 @@ def with_paths(log: DataFrame) -> DataFrame:
 
 
 def _running(log: DataFrame, totals: Mapping[str, tuple[Column, str]]) -> DataFrame:
-    """Running ``sum`` or ``max`` before and up to each node, by stretches of ``seq``.
+    """Running ``sum`` or ``max`` before and up to each node, by stretches of about ``STRETCH`` nodes.
 
-    Inside a stretch a window runs; between stretches only one total per stretch is scanned.
+    Stretches are ranges of (run, seq) of equal row counts, however ``seq`` is spread.  Inside a stretch a
+    window runs; between stretches only one total per stretch is scanned.
     """
-    rows = log.withColumn("_stretch", F.floor(F.col("seq") / STRETCH))
+    parts = max(1, log.count() // STRETCH)
+    rows = stored(log.repartitionByRange(parts, "run_id", "seq").withColumn("_stretch", F.spark_partition_id()), "stretches")
     for name, (value, _) in totals.items():
         rows = rows.withColumn(f"_{name}", value)
     fold = {"sum": F.sum, "max": F.max}
@@ -86,25 +93,36 @@ def running_cost(log: DataFrame) -> DataFrame:
     )
 
 
+def _gate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record highs in order of (run, step) to the accepted ones; the state is one run's bar and count."""
+    run, bar, taken = None, float("-inf"), 0
+    for batch in batches:
+        keep, numbers = [], []
+        columns = (batch.column(c).to_pylist() for c in ("run_id", "val_score", "eta"))
+        for i, (run_id, score, eta) in enumerate(zip(*columns)):
+            if run_id != run:
+                run, bar, taken = run_id, float("-inf"), 0
+            if eta is not None and score > bar + eta:
+                bar, taken = score, taken + 1
+                keep.append(i)
+                numbers.append(taken)
+        some = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([some.column("run_id"), some.column("node_id"), pa.array(numbers, pa.int32())], names=["run_id", "node_id", "accepted_no"])
+
+
 def gate_replay(log: DataFrame, eta: Column) -> DataFrame:
     """Nodes the gate accepts: score above the last accepted one by more than ``eta`` (>= 0).
 
     An accepted score is higher than every score before it, so only record highs can be
-    accepted, and only those are folded in order.
+    accepted.  They stream through one task per run in order; nothing of a run is gathered.
     """
-    highs = progression(log).filter("is_new_best").withColumn("_eta", eta)
-    ordered = F.array_sort(F.collect_list(F.struct("step", "val_score", "_eta", "node_id")))
-    start = F.struct(F.lit(float("-inf")).alias("best"), F.array().cast("array<string>").alias("taken"))
-    folded = F.aggregate(
-        F.col("h"),
-        start,
-        lambda acc, x: F.when(
-            x["val_score"] > acc["best"] + x["_eta"],
-            F.struct(x["val_score"].alias("best"), F.concat(acc["taken"], F.array(x["node_id"])).alias("taken")),
-        ).otherwise(acc),
+    highs = progression(log).filter("is_new_best").select("run_id", "step", "node_id", F.col("val_score").cast("double").alias("val_score"), eta.cast("double").alias("eta"))
+    kind = {f.name: f.dataType.simpleString() for f in highs.schema.fields}
+    return (
+        highs.repartition("run_id")
+        .sortWithinPartitions("run_id", "step")
+        .mapInArrow(_gate, f"run_id {kind['run_id']}, node_id {kind['node_id']}, accepted_no int")
     )
-    per_run = highs.groupBy("run_id").agg(ordered.alias("h")).withColumn("f", folded)
-    return per_run.select("run_id", F.posexplode("f.taken").alias("pos", "node_id")).withColumn("accepted_no", F.col("pos") + 1).drop("pos")
 
 
 def config_lookup(log: DataFrame) -> DataFrame:
