@@ -1,37 +1,49 @@
-"""Cutting long lineages through the shared checkpoint folder."""
+"""Cutting long lineages through the shared checkpoint folder.
+
+One rule everywhere: intermediates go to the folder in ``spark.checkpoint.dir``, or to the one given to
+``SparkContext.setCheckpointDir``.  Without either nothing is written and an error says so.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 ROWS_PER_FILE = 500_000
+_written: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder for intermediates."""
+    found = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a local folder only where none is set."""
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get(CHECKPOINT_CONF, None)
-    if context.getCheckpointDir() is None:
-        local = context.master.startswith("local")
-        if not shared and not local:
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="plurality-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint()
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh folder path under the shared checkpoint folder (a temporary one only in local mode)."""
-    shared = spark.conf.get(CHECKPOINT_CONF, None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    return f"{tempfile.mkdtemp(prefix='plurality-')}/{name}"
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder, remembered for ``clean``."""
+    path = f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what this process wrote by ``scratch``; DataFrames that still read it can no longer be used."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, spread: str | None = None, rows: int = 0) -> DataFrame:

@@ -125,7 +125,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every operator reads cells several times; as a table they are computed once and scans
     of them prune columns and push filters down.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _CELLS:
         counts = stored(count_answers(responses(spark, sf_dir), DIMS, SUBSETS), "counts")
         rows = counts.count() * 2 ** len(DIMS)  # upper bound on cells, from the file footers
@@ -133,6 +133,17 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _CELLS[key]
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Time and size of the source tables: changed tables give new cells."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for name in ("orders", "customer", "nation", "region", "lineitem", "documents", "labels", "events", "conversations"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((status.getModificationTime(), status.getLen()))
+    return tuple(found)
+
+
 def forget() -> None:
     """Forget the written cells, so that the next query starts from the source tables again."""
     _CELLS.clear()
