@@ -28,7 +28,8 @@ def vote(text: Column, options: Column) -> Column:
     """
 
     def by_word(o: Column) -> Column:
-        pattern = F.concat(F.lit(r"\b\Q"), o, F.lit(r"\E\b"))
+        literal = F.replace(o, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+        pattern = F.concat(F.lit(r"(?U)\b\Q"), literal, F.lit(r"\E\b"))
         return F.contains(text, o) & F.rlike(text, pattern)
 
     return dist.let(
@@ -48,13 +49,13 @@ def vote(text: Column, options: Column) -> Column:
 def stated_vector(text: Column, options: Column) -> Column:
     """Non-negative vector stated by a response; NULL when it has no object or no mass."""
 
+    def mass(found: Column) -> Column:
+        """The last value stated for a label; nothing where it is no finite number."""
+        number = F.element_at(found, -1)["value"].try_cast("double")
+        return F.when((F.size(found) > 0) & (number > 0) & (number < float("inf")), number).otherwise(F.lit(0.0))
+
     def numbers(m: Column) -> Column:
-        return F.transform(
-            options,
-            lambda o: F.greatest(
-                F.lit(0.0), F.coalesce(F.nanvl(F.try_element_at(m, o).try_cast("double"), F.lit(0.0)), F.lit(0.0))
-            ),
-        )
+        return F.transform(options, lambda o: mass(F.filter(F.map_entries(m), lambda e: e["key"] == o)))
 
     return dist.let(
         json_object(text),

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plurality.functions import dist, keys
 from plurality.plans.ranking import ranked_by_hash
@@ -50,50 +47,62 @@ RUN_LOG_SCHEMA = (
 )
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def _literal_map(texts: pd.Series) -> pd.Series:
-    """Dict literals that are not JSON (None, integer keys, tuples as values)."""
+# A quoted string of a dict or set literal, escapes included.
+QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+JSON_OPTIONS = {"allowBackslashEscapingAnyCharacter": "true"}
 
-    def one(text):
-        if text is None:
-            return None
-        try:
-            value = ast.literal_eval(text)
-        except (ValueError, SyntaxError, MemoryError, RecursionError):
-            return None
-        if not isinstance(value, dict):
-            return None
-        return {str(k): None if v is None else str(v) for k, v in value.items()}
 
-    return texts.map(one)
+def _as_json_text(literal: Column) -> Column:
+    """A dict literal's None, True, False, bare integer keys and last comma as JSON; quoted strings stay as they are."""
+
+    def outside(piece: Column) -> Column:
+        for pattern, new in ((r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"([{,]\s*)(-?\d+)(\s*:)", '$1"$2"$3'), (r",(\s*)\}", "$1}")):
+            piece = F.regexp_replace(piece, pattern, new)
+        return piece
+
+    pieces, quoted = F.split(literal, QUOTED, -1), F.regexp_extract_all(literal, F.lit(QUOTED), F.lit(0))
+    return F.array_join(F.flatten(F.zip_with(pieces, quoted, lambda p, q: F.array(outside(p), F.coalesce(q, F.lit(""))))), "")
+
+
+def last_wins(found: Column) -> Column:
+    """A map that was read with repeated keys: the last value of a key, at the key's first place."""
+
+    def body(entries: Column) -> Column:
+        names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        values = F.transform(names, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
+        return F.map_from_arrays(names, values)
+
+    return dist.let(F.map_entries(found), body)
 
 
 def parse_mapping(text: Column) -> Column:
     """Dict-like text to ``map<string,string>``; empty, nan, none and unreadable give an empty map.
 
-    JSON (single quotes included) is read on the JVM; only the rows left NULL reach Python.
+    JSON and dict literals (single quotes, None, True, False, integer keys, a last comma) are read on the JVM.
+    The text must end with its object; of a repeated key the last value counts.
     """
     clean = F.trim(text)
     blank = clean.isNull() | F.lower(clean).isin("", "nan", "none", "{}")
-    wanted = F.when(~blank, clean)
-    as_json = F.from_json(wanted, "map<string,string>")
-    rest = F.when(as_json.isNull() & clean.startswith("{"), wanted)
+    wanted = F.when(~blank & clean.startswith("{") & clean.endswith("}"), clean)
+    read = lambda t: F.from_json(t, "map<string,string>", JSON_OPTIONS)
     empty = F.from_json(F.lit("{}"), "map<string,string>")
-    return F.coalesce(as_json, _literal_map(rest), empty)
+    return F.coalesce(last_wins(F.coalesce(read(wanted), read(_as_json_text(wanted)))), empty)
 
 
 def parse_keyset(text: Column) -> Column:
-    """Set literal such as ``{'b', 'a'}`` to a sorted array; ``set()`` and unreadable text to an empty one."""
-    quoted = F.regexp_extract_all(text, F.lit(r"""'[^']*'|"[^"]*\""""), F.lit(0))
+    """Set literal such as ``{'b', 'a'}`` or ``{1, 2}`` to a sorted array; ``set()`` and unreadable text to an empty one."""
+    quoted = F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0))
     names = F.transform(quoted, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
-    return F.coalesce(F.array_sort(names), F.array().cast("array<string>"))
+    inside = F.regexp_extract(F.trim(text), r"(?s)^\{(.*)\}$", 1)
+    bare = F.regexp_extract_all(F.regexp_replace(inside, QUOTED, ""), F.lit(r"[^,\s]+"), F.lit(0))
+    return F.coalesce(F.array_sort(F.array_distinct(F.concat(names, bare))), F.array().cast("array<string>"))
 
 
 def normalize_distribution(raw: Column) -> Column:
-    """Label -> percentage text to label -> probability; non-numeric labels are dropped."""
-    numeric = F.map_filter(
-        F.transform_values(raw, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull() & ~F.isnan(v)
-    )
+    """Label -> percentage text to label -> probability; true counts one, labels without a finite number are dropped."""
+    number = lambda v: F.when(F.lower(v) == "true", 1.0).when(F.lower(v) == "false", 0.0).otherwise(v.try_cast("double"))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    numeric = F.map_filter(F.transform_values(raw, lambda _, v: number(v)), lambda _, v: finite(v))
 
     def scaled(m: Column) -> Column:
         total = dist.vsum(F.map_values(m))
@@ -109,7 +118,7 @@ def normalize_distribution(raw: Column) -> Column:
 
 def whole_number(text: Column) -> Column:
     number = text.try_cast("double")
-    return F.when(~F.isnan(number), number).cast("bigint")
+    return F.when(~F.isnan(number), number).try_cast("bigint")
 
 
 def to_cells(raw: DataFrame, split: str | Column) -> DataFrame:
@@ -139,7 +148,7 @@ def to_cells(raw: DataFrame, split: str | Column) -> DataFrame:
         "group_prompt",
         "segment",
         "grouping_keys",
-        F.coalesce("_n_vars", F.size("segment")).cast("int").alias("n_grouping_vars"),
+        F.coalesce(F.col("_n_vars").try_cast("int"), F.size("segment")).alias("n_grouping_vars"),
         "group_size",
     )
 
