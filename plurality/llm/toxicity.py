@@ -146,13 +146,14 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "s
     shared = docs.sparkSession.sparkContext.broadcast(numbers.astype(np.float32))  # BUCKETS numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = shared.value
+        values = shared.value.tolist()  # a word has few rows: plain numbers are faster than array lookups
         known: dict[str, float] = {}
 
         def number(word: str) -> float:
             value = known.get(word)
             if value is None:
-                value = float(values[subwords(word)].mean())
+                rows = subwords(word)
+                value = sum([values[r] for r in rows]) / len(rows)
                 if len(known) < CACHED_WORDS:
                     known[word] = value
             return value
