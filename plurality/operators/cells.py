@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import keys
-from plurality.plans.skew import attach
 from plurality.sources.survey import normalize_distribution
 
 QUESTION = ["dataset", "question"]
@@ -51,7 +50,7 @@ def cells_from_counts(finest: DataFrame, dims: Sequence[str], subsets: Sequence[
         ],
     )
     options = finest.groupBy(*QUESTION).agg(F.sort_array(F.collect_set("option")).alias("options"))
-    cells = attach(packed, options, QUESTION, dims)
+    cells = packed.join(options, QUESTION, "left")
 
     def percentages(c: str):
         whole = F.aggregate(F.map_values(c), F.lit(0).cast("bigint"), lambda a, x: a + x)

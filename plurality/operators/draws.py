@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from plurality.functions import dist, keys, text
 from plurality.plans.ranking import cumulative_counts, top_per_group
-from plurality.plans.skew import attach
 
 
 def parse_predictions(completions: DataFrame, cells: DataFrame) -> DataFrame:
     """One prediction per response; unreadable or massless ones become uniform and are flagged."""
-    rows = attach(completions, cells.select("record_id", "options"), ["record_id"], ["text"], "inner")
+    rows = completions.join(cells.select("record_id", "options"), "record_id")
     rows = rows.withColumn("_v", text.stated_vector(F.col("text"), F.col("options")))
     v = F.coalesce(F.col("_v"), dist.uniform(F.col("options")))
     return rows.select(
@@ -31,7 +30,7 @@ def tally_votes(responses: DataFrame, cells: DataFrame, alpha: float = 0.5, grou
     distinct text.
     """
     distinct = responses.groupBy(*groups, "text").agg(F.count(F.lit(1)).alias("_n"))
-    asked = attach(distinct, cells.select("record_id", "options"), ["record_id"], ["text"], "inner")
+    asked = distinct.join(cells.select("record_id", "options"), "record_id")
     parsed = asked.withColumn("_vote", text.vote(F.col("text"), F.col("options")))
     counts = parsed.groupBy(*groups, F.coalesce("_vote", F.lit("")).alias("_vote")).agg(
         F.sum("_n").alias("_n"), F.bool_or(F.col("_vote").isNull()).alias("_bad")
@@ -51,7 +50,7 @@ def tally_votes(responses: DataFrame, cells: DataFrame, alpha: float = 0.5, grou
 
 def parse_draws(draws: DataFrame, cells: DataFrame) -> DataFrame:
     """Each draw's normalised vector, NULL where the response is unusable."""
-    rows = attach(draws, cells.select("record_id", "options"), ["record_id"], ["draw", "text"], "inner")
+    rows = draws.join(cells.select("record_id", "options"), "record_id")
     stated = text.stated_vector(F.col("text"), F.col("options"))
     return rows.withColumn("v", dist.let(stated, lambda v: F.when(v.isNotNull(), dist.renorm(v)))).drop("text")
 

@@ -231,5 +231,5 @@ def classify_stems(cells: DataFrame, labels: DataFrame, vocabulary: Sequence[str
     rule = describe.task_kind(F.col("question"), F.col("group_prompt"), F.col("options"))
     stems = cells.select("record_id", stem_hash.alias("_h"), rule.alias("_rule"))
     per_stem = labels.select(F.sha2("stem", 256).alias("_h"), "text").dropDuplicates(["_h"])
-    joined = attach(stems, per_stem, ["_h"], ["record_id"])
+    joined = stems.join(per_stem, ["_h"], "left")
     return joined.select("record_id", describe.snap(F.coalesce("text", F.lit("")), vocabulary, F.col("_rule")).alias("kind"))

@@ -53,7 +53,7 @@ def child_weights(cells: DataFrame) -> DataFrame:
     """(parent_id, var, child_id, weight) with weights summing to one per parent and variable."""
     edges = links(cells).select(*PARENT, "var", "child_id", "w")
     shared = with_share(edges, [*PARENT, "var"], F.col("w"), "weight", ["child_id"])
-    return attach(shared, _parents(cells), PARENT, ["child_id"], "inner").select("parent_id", "var", "child_id", "weight")
+    return shared.join(_parents(cells), PARENT).select("parent_id", "var", "child_id", "weight")
 
 
 def decompositions(cells: DataFrame, min_cells: int = 2) -> DataFrame:

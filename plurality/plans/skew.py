@@ -3,7 +3,9 @@
 A key may own a third of all rows.  The per-key side is small, so it is copied once per
 salt and the many-rows side spreads each key over the salts by a deterministic hash
 (a retried task sends its rows to the same place).  Because the salted side is shuffled for
-the join itself, adaptive execution can also split a slice that is still too large.  No
+the join itself, adaptive execution can also split a slice that is still too large.  Use it where the keys are
+few beside the rows; where there are about as many keys as rows (records, parents, stems, questions) a plain
+join moves each side once, and adaptive execution splits a partition that a hot key makes too large.  No
 broadcast hint is given: the join becomes a broadcast join only when the measured size
 of the per-key side allows it.
 """

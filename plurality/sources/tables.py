@@ -14,7 +14,6 @@ from plurality.functions import dist, keys
 from plurality.functions.rounding import r6
 from plurality.operators.cells import QUESTION, cells_from_counts, count_answers
 from plurality.plans.lineage import stored
-from plurality.plans.skew import attach
 
 SYSTEMS = ("uniform", "marginal", "half", "blend", "peaked")
 DIMS = ("g1", "g2")
@@ -153,7 +152,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five systems per cell: uniform, the question's marginal, the first half, their blend, a sharpened marginal."""
     base = cells(spark, sf_dir)
     pop = base.filter(F.col("split") == "pop").select(*QUESTION, F.col("truth").alias("pop_truth"))
-    rows = attach(base, pop, QUESTION, ["record_id"]).select(
+    rows = base.join(pop, QUESTION, "left").select(
         "record_id",
         "options",
         dist.uniform(F.col("options")).alias("uniform"),
