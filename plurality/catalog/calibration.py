@@ -137,7 +137,7 @@ def temper_to_entropy(spark, sf):
 
 def oracle_temper(spark, sf):
     """Diagnostic: every prediction gets the true entropy."""
-    rows = labelled(spark, sf, "half", "peaked")
+    rows = labelled(spark, sf, *tables.SYSTEMS)
     return long_form(rows.withColumn("v", dist.temper_to_entropy(F.col("v"), F.col("truth_h"))))
 
 
@@ -284,7 +284,7 @@ SQL = {
       l AS (SELECT regr_slope(te, pe) AS s, regr_intercept(te, pe) AS i FROM b WHERE fh)
       SELECT {R('1 - sum((te - (i + s * pe)) ** 2) / (count(*) * var_pop(te))')} AS r2 FROM b, l WHERE NOT fh""",
     "temper_to_entropy": f"{_to_entropy('true', '0.6')} SELECT record_id, system, opt, {R('t')} AS q FROM done",
-    "oracle_temper": f"""{_to_entropy("system IN ('half', 'peaked')", 'te')} SELECT record_id, system, opt, {R('t')} AS q FROM done""",
+    "oracle_temper": f"""{_to_entropy('true', 'te')} SELECT record_id, system, opt, {R('t')} AS q FROM done""",
     "entropy_target": f"""{_to_entropy("system = 'half'", "greatest(0, least(1, (SELECT regr_intercept(te, pe) + regr_slope(te, pe) * s.pe FROM scored WHERE system = 'half')))")}
       SELECT record_id, system, opt, {R('CASE WHEN abs(target - pe) < 1e-6 THEN q ELSE t END')} AS q FROM done""",
     "entropy_target_fit": f"""{VIEWS}, one AS (SELECT * FROM scored WHERE system = 'blend'), l AS (SELECT regr_slope(te, pe) AS s, regr_intercept(te, pe) AS i FROM one),

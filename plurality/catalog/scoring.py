@@ -57,8 +57,8 @@ def sweep_pivot(spark, sf):
 
 
 def bootstrap_overall(spark, sf):
-    one = scored(spark, sf).filter(F.col("system") == "blend")
-    out = bootstrap.bootstrap_ci(one, [], "score", n_boot=B, seed=7).drop("below_zero")
+    """Mean score of each system with its interval."""
+    out = bootstrap.bootstrap_ci(scored(spark, sf), ["system"], "score", n_boot=B, seed=7).drop("below_zero")
     return rounded(out, "mean", "ci_low", "ci_high")
 
 
@@ -98,9 +98,9 @@ SQL = {
       JOIN (SELECT system, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM boot GROUP BY ALL) USING (system)""",
     "sweep_pivot": f"""{VIEWS} SELECT system, {R('avg(score) FILTER (WHERE u < 0.5)')} AS model_a, {R('avg(score) FILTER (WHERE u >= 0.5)')} AS model_b
       FROM (SELECT system, score, ('0x' || substr(sha256('0::' || record_id), 1, 16))::UBIGINT / 18446744073709551616.0 AS u FROM scored) GROUP BY system""",
-    "bootstrap_ci": f"""{VIEWS}, g AS (SELECT * FROM scored WHERE system = 'blend'), {replicates('g', '', 'score', B, 7)}
-      SELECT n, {R('mean')} AS mean, {R('lo')} AS ci_low, {R('hi')} AS ci_high FROM (SELECT count(*) AS n, avg(score) AS mean FROM g),
-      (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM boot)""",
+    "bootstrap_ci": f"""{VIEWS}, {replicates('scored', 'system', 'score', B, 7)}
+      SELECT system, n, {R('mean')} AS mean, {R('lo')} AS ci_low, {R('hi')} AS ci_high FROM (SELECT system, count(*) AS n, avg(score) AS mean FROM scored GROUP BY system)
+      JOIN (SELECT system, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM boot GROUP BY system) USING (system)""",
     "bootstrap_eta": f"""{VIEWS}, {replicates('scored', 'system', 'score', B)}
       SELECT system, {R('stddev_pop(mean)')} AS eta FROM boot GROUP BY system""",
 }

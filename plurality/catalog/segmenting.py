@@ -45,8 +45,7 @@ def post_strat(spark, sf):
 
 def post_strat_over(spark, sf):
     cells = tables.cells(spark, sf)
-    half = tables.predictions(spark, sf).filter(F.col("system") == "half")
-    return _long(cells, segments.post_stratify(cells, half, over="g2", min_children=3))
+    return _long(cells, segments.post_stratify(cells, tables.predictions(spark, sf), over="g2", min_children=3))
 
 
 def post_strat_weights(spark, sf):
@@ -219,7 +218,7 @@ SQL = {
     "decompositions": f"""{VIEWS}, {KIDS} SELECT parent_id, coalesce(string_agg(var, ',' ORDER BY var) FILTER (WHERE n >= 2), '') AS variables,
       arg_min(var, (-covered, var)) AS picked FROM cover GROUP BY parent_id""",
     "post_strat": f"{VIEWS}, {_post('x', _BEST, 2)} SELECT record_id, system, decomposed, opt, {R('q')} AS q FROM post",
-    "post_strat_over": f"""{VIEWS}, hx AS (SELECT * FROM x WHERE system = 'half'), {_post('hx', "SELECT parent_id, var FROM cover WHERE var = 'g2'", 3)}
+    "post_strat_over": f"""{VIEWS}, {_post('x', "SELECT parent_id, var FROM cover WHERE var = 'g2'", 3)}
       SELECT record_id, system, decomposed, opt, {R('q')} AS q FROM post""",
     "post_strat_weights": f"""{VIEWS}, {KIDS}, w AS (SELECT parent_id, var, child_id, sqrt(size / sum(size) OVER (PARTITION BY parent_id, var)) AS weight FROM kid),
       v AS (SELECT parent_id, var, sum(weight) AS c FROM w GROUP BY ALL HAVING count(*) >= 2),

@@ -209,7 +209,15 @@ def ingest_personas(spark: SparkSession, paths: Sequence[str], sample: int, seed
 
 
 def sample_rows(df: DataFrame, id_column: str, sample: int, seed: int = 0) -> DataFrame:
+    """The ``sample`` rows of smallest seeded hash; only rows up to the hash prefix that holds the cut are ranked."""
     hashed = df.withColumn("_order", keys.hash_order(seed, F.col(id_column).cast("string")))
+    prefix = F.substring("_order", 1, 3)
+    below, last = 0, ""
+    for row in sorted(hashed.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):  # 4,096 at most
+        below, last = below + row["n"], row["p"]
+        if below >= sample:
+            break
+    hashed = hashed.filter(prefix <= last)
     return ranked_by_hash(hashed, [], "_order", "_rank").filter(F.col("_rank") <= sample).drop("_order", "_rank")
 
 
