@@ -119,13 +119,20 @@ def blend(preds: DataFrame, cells: DataFrame, weights: Mapping[str, float], name
 
 
 def route(
-    kinds: DataFrame, preds: DataFrame, routes: Mapping[str, str], default: str, name: str = "router"
+    kinds: DataFrame, preds: DataFrame, routes: Mapping[str, str] | DataFrame, default: str, name: str = "router"
 ) -> DataFrame:
-    """Each record takes the prediction of the system its task kind is routed to."""
-    table = F.create_map(*[F.lit(x) for pair in routes.items() for x in pair])
-    wanted = kinds.select(
-        "record_id", "kind", F.coalesce(F.try_element_at(table, F.col("kind")), F.lit(default)).alias("system")
-    )
+    """Each record takes the prediction of the system its task kind is routed to.
+
+    ``routes`` is a small dict or a table (kind, system).
+    """
+    if isinstance(routes, DataFrame):
+        listed = kinds.select("record_id", "kind").join(routes.dropDuplicates(["kind"]), "kind", "left")
+        wanted = listed.select("record_id", "kind", F.coalesce("system", F.lit(default)).alias("system"))
+    else:
+        table = F.create_map(*[F.lit(x) for pair in routes.items() for x in pair])
+        wanted = kinds.select(
+            "record_id", "kind", F.coalesce(F.try_element_at(table, F.col("kind")), F.lit(default)).alias("system")
+        )
     routed = wanted.join(preds, ["record_id", "system"])
     return routed.select("record_id", F.lit(name).alias("system"), "kind", F.col("system").alias("routed_to"), "pred")
 

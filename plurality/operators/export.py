@@ -14,6 +14,12 @@ from plurality.operators.splits import first_rule
 from plurality.plans.skew import attach
 
 
+def with_kind(rows: DataFrame, kinds: DataFrame, default: str = "other") -> DataFrame:
+    """Add ``kind`` from a table (dataset, kind) of any size; datasets it lacks get the default."""
+    found = attach(rows, kinds.dropDuplicates(["dataset"]), ["dataset"], ["record_id"])
+    return found.withColumn("kind", F.coalesce("kind", F.lit(default)))
+
+
 def kind_of(dataset: Column, kinds: Mapping[str, str], default: str = "other") -> Column:
     """Dataset to task kind through a small literal map."""
     table = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])

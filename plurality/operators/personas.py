@@ -37,10 +37,10 @@ MARITAL_CODES = {
     "widowed": "widowed",
 }
 REGION_STATES = {
-    "Northeast": "CT ME MA NH RI VT NJ NY PA",
-    "Midwest": "IL IN MI OH WI IA KS MN MO NE ND SD",
-    "South": "DE FL GA MD NC SC VA DC WV AL KY MS TN AR LA OK TX",
-    "West": "AZ CO ID MT NV NM UT WY AK CA HI OR WA",
+    "Northeast": ("CT", "ME", "MA", "NH", "RI", "VT", "NJ", "NY", "PA"),
+    "Midwest": ("IL", "IN", "MI", "OH", "WI", "IA", "KS", "MN", "MO", "NE", "ND", "SD"),
+    "South": ("DE", "FL", "GA", "MD", "NC", "SC", "VA", "DC", "WV", "AL", "KY", "MS", "TN", "AR", "LA", "OK", "TX"),
+    "West": ("AZ", "CO", "ID", "MT", "NV", "NM", "UT", "WY", "AK", "CA", "HI", "OR", "WA"),
 }
 AXES = ("AGE", "CREGION", "EDUCATION", "MARITAL", "SEX")
 
@@ -73,7 +73,7 @@ def adults(personas: DataFrame, min_age: int = MIN_AGE) -> DataFrame:
 
 
 def region_of(state: Column) -> Column:
-    return _lookup({s: r for r, states in REGION_STATES.items() for s in states.split()}, state)
+    return _lookup({s: r for r, states in REGION_STATES.items() for s in states}, state)
 
 
 def axis_values() -> dict[str, Column]:

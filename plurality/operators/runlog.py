@@ -184,9 +184,17 @@ def cost(prices: Mapping[str, tuple[float, float]]) -> Column:
     return F.coalesce(F.col("cost"), estimate, F.lit(0.0))
 
 
-def usage_totals(usage: DataFrame, prices: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """Calls, stored hits, tokens and cost per model."""
-    rows = usage.withColumn("_usd", cost(prices))
+def usage_totals(usage: DataFrame, prices: Mapping[str, tuple[float, float]] | DataFrame) -> DataFrame:
+    """Calls, stored hits, tokens and cost per model.
+
+    ``prices`` is a small dict or a table (model, input_price, output_price), per million tokens.
+    """
+    if isinstance(prices, DataFrame):
+        listed = usage.join(prices.dropDuplicates(["model"]), "model", "left")
+        estimate = F.col("prompt_tokens") / 1e6 * F.col("input_price") + F.col("completion_tokens") / 1e6 * F.col("output_price")
+        rows = listed.withColumn("_usd", F.coalesce(F.col("cost"), estimate, F.lit(0.0)))
+    else:
+        rows = usage.withColumn("_usd", cost(prices))
     return rows.groupBy("model").agg(
         F.count_if(~F.col("cached")).alias("calls"),
         F.count_if("cached").alias("cache_hits"),
