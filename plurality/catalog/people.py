@@ -57,7 +57,7 @@ def _arr(values) -> str:
 
 
 _AXES = f"""pa AS (SELECT *, CASE WHEN age BETWEEN 18 AND 29 THEN '18-29' WHEN age BETWEEN 30 AND 49 THEN '30-49' WHEN age BETWEEN 50 AND 64 THEN '50-64' WHEN age >= 65 THEN '65+' END AS p_age,
-  {_case('state', [(s, r) for r, states in personas.REGION_STATES.items() for s in states.split()])} AS p_cregion,
+  {_case('state', [(s, r) for r, states in personas.REGION_STATES.items() for s in states])} AS p_cregion,
   {_case('education_level', [(c, e) for e, codes in personas.EDUCATION_CODES.items() for c in codes])} AS p_education,
   {_case('marital_status', [(c, m) for m, c in personas.MARITAL_CODES.items()])} AS p_marital, lower(sex) AS p_sex FROM personas WHERE age >= 18)"""
 
