@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from plurality.llm import folds
 
 BUCKETS = 1 << 17
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4)
 SIZE = 8
 EPOCHS = 6
 #: Small samples are passed over more often, up to this many steps.
@@ -70,22 +70,18 @@ def bags(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, rows array<int>, weights array<float>")
 
 
-def fit(offsets: np.ndarray, rows: np.ndarray, weights: np.ndarray, labels: np.ndarray, importance: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
+def fit(starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray, weights: np.ndarray, labels: np.ndarray, importance: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
     """(number per table row, bias): the log odds of label 1 are bias plus the weighted sum of the numbers.
 
-    Document i has the table rows and weights from offsets[i] to offsets[i + 1].  Adam steps on the embeddings and the
+    Document i has ``sizes[i]`` table rows and weights from ``starts[i]`` on.  Adam steps on the embeddings and the
     two-class softmax together; ``importance`` restores the classes' shares.
     Table rows of very few documents stay zero: they would only memorise those.
     """
     rng = np.random.default_rng(seed)
     seen = np.bincount(rows, minlength=BUCKETS)
     used = np.flatnonzero(seen >= min(20, max(2, len(labels) // 200)))
-    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place = np.full(BUCKETS, len(used), dtype=np.int32)
     place[used] = np.arange(len(used))
-    rows = place[rows]
-    kept = rows >= 0
-    offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
-    rows, weights = rows[kept], weights[kept]
     values = [rng.normal(0, 0.01, (len(used), SIZE)), rng.normal(0, 0.1, (SIZE, 2)), np.zeros(2)]
     moves = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     step = 0
@@ -94,9 +90,11 @@ def fit(offsets: np.ndarray, rows: np.ndarray, weights: np.ndarray, labels: np.n
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             table, top, bias = values
-            parts = [slice(offsets[i], offsets[i + 1]) for i in some]
-            of = np.repeat(np.arange(len(some)), [p.stop - p.start for p in parts])
-            index, weight = np.concatenate([rows[p] for p in parts]), np.concatenate([weights[p] for p in parts])
+            parts = [slice(starts[i], starts[i] + sizes[i]) for i in some]
+            of = np.repeat(np.arange(len(some)), sizes[some])
+            index, weight = place[np.concatenate([rows[p] for p in parts])], np.concatenate([weights[p] for p in parts])
+            kept = index < len(used)
+            of, index, weight = of[kept], index[kept], weight[kept]
             mean = np.stack([np.bincount(of, weights=weight * table[index, k], minlength=len(some)) for k in range(SIZE)], axis=1) * GAIN
             logits = mean @ top + bias
             chance = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -124,16 +122,17 @@ def train(docs: DataFrame, labels: DataFrame, folds_: int = FOLDS, most: int = M
     for label in (0, 1):
         own = folds.sample(known.filter(F.col("label") == label), totals.get(label, 0), most)
         picked = own if picked is None else picked.unionByName(own)
-    found = bags(folds.sampled_texts(docs, picked)).toArrow().combine_chunks()
+    found = bags(folds.sampled_texts(docs, picked)).toArrow()
     if not found.num_rows:
         return np.zeros(BUCKETS), 0.0
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")  # reruns make the same steps
-    found = found.take(pa.array(order)).combine_chunks()
-    rows, weights = (_flat(found.column(c)) for c in ("rows", "weights"))
-    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(found.column("rows")).to_numpy().astype(np.int64))])
-    y = found.column("label").to_numpy().astype(np.int64)
+    y = found.column("label").to_numpy().astype(np.int64)[order]
+    sizes = pc.list_value_length(found.column("rows")).to_numpy().astype(np.int64)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    rows, weights = _flat(found.column("rows")), _flat(found.column("weights"))
+    del found  # the driver holds each number once
     share = np.array([totals.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
-    return fit(offsets, rows, weights, y, share[y])
+    return fit(starts, sizes[order], rows, weights, y, share[y])
 
 
 def _flat(column: pa.ChunkedArray) -> np.ndarray:
