@@ -26,6 +26,8 @@ END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # Fixed value: how the byte-level vocabulary splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the added tokens of the vocabulary's ``tokenizers`` file (a test compares them).
+ADDED = {"<|endoftext|>": 50256}
 TEXTS_AT_ONCE = 256
 
 
@@ -33,14 +35,14 @@ def encoder(ranks_path: str):
     """Token ids of a whole text and the end id.
 
     The vocabulary is read as ranks: the ids are those of the same vocabulary in ``tokenizers`` (a test compares
-    them), at several times the speed.  Strings of special tokens are ordinary text.
+    them), at several times the speed.  As there, strings of ``ADDED`` tokens in a text are those tokens.
     """
     import tiktoken
 
     with open(ranks_path, "rb") as file:
         vocabulary = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    one = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary
-    return lambda text: np.array([*one(text), END_ID], dtype="<u4")
+    one = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens=ADDED)
+    return lambda text: np.array([*one.encode(text, allowed_special="all"), END_ID], dtype="<u4")
 
 
 def cut(n_ids: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
