@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from plurality.llm import folds
 
 BUCKETS = 1 << 17
-GRAMS = (3, 4)
+GRAMS = (3, 4, 5)
 SIZE = 8
 EPOCHS = 6
 #: Small samples are passed over more often, up to this many steps.
@@ -31,7 +31,7 @@ RATE = 0.01
 #: Scale of a document's mean vector before the softmax.
 GAIN = 100.0
 #: Labelled documents of each class that are used at most.
-MOST_PER_CLASS = 3000
+MOST_PER_CLASS = 6000
 FOLDS = 5
 CACHED_WORDS = 400_000
 
