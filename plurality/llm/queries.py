@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plurality.llm import gridjoin, lines, mixing, packing, quality, sharding, simhash, topk, toxicity, urls
+from plurality.llm import divergence, gridjoin, lines, mixing, packing, quality, sharding, simhash, topk, toxicity, urls
 
 SHARDS = 24
 
@@ -113,6 +113,39 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_divergence_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+held AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0)::HUGEINT AS n, k.n::HUGEINT AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k USING (lang) LEFT JOIN held h USING (lang, source, term)
+), shares AS (
+  SELECT lang, source, term, n,
+         1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p,
+         1 + (1000000000 * (lang_n + 1)) // (sum(lang_n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS q
+  FROM counts
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0)::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), lone AS (
+  SELECT DISTINCT a.lang, a.source, b.source AS item FROM d a JOIN d b ON a.lang = b.lang AND a.source <> b.source
+), parts AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM lone LEFT JOIN pairs USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES = {
     "op1_simhash_multi_index": op1_simhash_multi_index,
     "op2_epsilon_grid": op2_epsilon_grid,
@@ -124,5 +157,6 @@ QUERIES = {
     "op8_pu_quality": op8_pu_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_divergence_tree": op11_divergence_tree,
 }
-SQL = {"op2_epsilon_grid": OP2_SQL, "op4_impact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op2_epsilon_grid": OP2_SQL, "op4_impact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL, "op11_divergence_tree": OP11_SQL}
