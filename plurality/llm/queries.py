@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plurality.llm import divergence, gridjoin, lines, mixing, packing, quality, sharding, simhash, topk, toxicity, urls
+from plurality.llm import divergence, gridjoin, lines, mixing, packing, periods, prunedgraph, quality, sharding, simhash, topk, toxicity, urls
 
 SHARDS = 24
 
@@ -146,6 +148,26 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 """
 
 
+def op12_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return prunedgraph.search(rows, rows.filter("vec_id % 50 = 0"))
+
+
+def rehearsed(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's planted repetition: in a tenth of the documents, chosen by doc_id, the words from a place on repeat; without a doc_id none."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.detect(table(spark, sf_dir, "documents"), rehearsed))
+
+
 QUERIES = {
     "op1_simhash_multi_index": op1_simhash_multi_index,
     "op2_epsilon_grid": op2_epsilon_grid,
@@ -158,5 +180,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_divergence_tree": op11_divergence_tree,
+    "op12_pruned_graph": op12_pruned_graph,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {"op2_epsilon_grid": OP2_SQL, "op4_impact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL, "op11_divergence_tree": OP11_SQL}
