@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plurality.llm import folds
+from plurality.plans.lineage import stored
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 SIZE = 8
-EPOCHS = 6
-#: Small samples are passed over more often, up to this many steps.
-LEAST_STEPS = 400
+#: Steps of the fit, whatever the sample: six passes over a full one.
+STEPS = 1128
 BATCH = 64
+#: Words of sampled documents (a word counts in each document) that a table row must belong to.
+LEAST_SEEN = 20
 RATE = 0.01
 #: Scale of a document's mean vector before the softmax.
 GAIN = 100.0
@@ -43,96 +45,142 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
 
 
-def bag(text: str | None) -> tuple[list[int], list[float]]:
-    """Table rows and weights of a whole text; the weights add up to one, or there are none."""
+def words_of(text: str | None) -> tuple[list[str], list[float]]:
+    """Different words of a whole text and their shares of it."""
     words: dict[str, int] = {}
     for word in (text or "").lower().split():
         words[word] = words.get(word, 0) + 1
-    total, weights = sum(words.values()), {}
-    for word, n in words.items():
-        rows = subwords(word)
-        for row in rows:
-            weights[row] = weights.get(row, 0.0) + n / total / len(rows)
-    return list(weights), list(weights.values())
+    total = sum(words.values())
+    return list(words), [n / total for n in words.values()]
+
+
+def word_key(word: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.encode()) - (1 << 63)
 
 
 def bags(texts: DataFrame) -> DataFrame:
-    """(label, rows, weights) of sampled documents, made where the texts are."""
+    """(doc_id, label, words, keys, shares) of sampled documents, made where the texts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, shares = zip(*map(words_of, batch.column("text").to_pylist())) if batch.num_rows else ((), ())
+            columns = [pa.array(words, pa.list_(pa.string())), pa.array([[word_key(w) for w in own] for own in words], pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *columns], names=["doc_id", "label", "words", "keys", "shares"])
+
+    return texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, words array<string>, keys array<long>, shares array<float>")
+
+
+def vocabulary(found: DataFrame) -> DataFrame:
+    """(key, rows): every different word of the sample once, with its table rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [bag(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([r for r, _ in made], pa.list_(pa.int32())), pa.array([w for _, w in made], pa.list_(pa.float32()))],
-                names=["doc_id", "label", "rows", "weights"],
-            )
+            rows = pa.array(list(map(subwords, batch.column("word").to_pylist())), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), rows], names=["key", "rows"])
 
-    return texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, rows array<int>, weights array<float>")
+    each = found.select(F.explode(F.arrays_zip("keys", "words")).alias("at")).select(F.col("at.keys").alias("key"), F.col("at.words").alias("word"))
+    return each.groupBy("key").agg(F.min("word").alias("word")).mapInArrow(run, "key long, rows array<int>")
 
 
-def fit(starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray, weights: np.ndarray, labels: np.ndarray, importance: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
-    """(number per table row, bias): the log odds of label 1 are bias plus the weighted sum of the numbers.
+class Lists:
+    """Lists of numbers one after another, and the gathering of some of them."""
 
-    Document i has ``sizes[i]`` table rows and weights from ``starts[i]`` on.  Adam steps on the embeddings and the
-    two-class softmax together; ``importance`` restores the classes' shares.
-    Table rows of very few documents stay zero: they would only memorise those.
+    def __init__(self, values: np.ndarray, sizes: np.ndarray, starts: np.ndarray | None = None):
+        self.values, self.sizes = values, sizes
+        self.starts = np.cumsum(sizes) - sizes if starts is None else starts
+
+    def places(self, some: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[some]
+        return np.repeat(self.starts[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _summed(of: np.ndarray, values: np.ndarray, groups: int, columns: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` per group."""
+    places = of[:, None] * len(columns) + columns
+    return np.bincount(places.ravel(), weights=values.ravel(), minlength=groups * len(columns)).reshape(groups, len(columns))
+
+
+def fit(docs: Lists, shares: np.ndarray, words: Lists, labels: np.ndarray, importance: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
+    """(number per table row, bias): the log odds of label 1 are bias plus the mean over the words of the mean of their rows' numbers.
+
+    ``docs`` lists words per document, ``shares`` says how much of it each is, ``words`` lists table rows per word.  Adam steps on the
+    embeddings and the two-class softmax together, always ``STEPS`` batches; ``importance`` restores the classes' shares.  Table rows that
+    fewer than ``LEAST_SEEN`` words of documents have stay zero: they would only memorise those.
     """
     rng = np.random.default_rng(seed)
-    seen = np.bincount(rows, minlength=BUCKETS)
-    used = np.flatnonzero(seen >= min(20, max(2, len(labels) // 200)))
-    place = np.full(BUCKETS, len(used), dtype=np.int32)
+    held = np.bincount(docs.values, minlength=len(words.sizes))  # documents per word
+    seen = np.bincount(words.values, weights=np.repeat(held, words.sizes), minlength=BUCKETS)
+    used = np.flatnonzero(seen >= LEAST_SEEN)
+    place = np.full(BUCKETS, len(used), dtype=np.int32)  # one more row stands for all that stay zero
     place[used] = np.arange(len(used))
-    values = [rng.normal(0, 0.01, (len(used), SIZE)), rng.normal(0, 0.1, (SIZE, 2)), np.zeros(2)]
+    rows = place[words.values]
+    single, columns = np.float32, np.arange(SIZE)
+    start = np.vstack([rng.normal(0, 0.01, (len(used), SIZE)), np.zeros((1, SIZE))])
+    values = [start.astype(single), rng.normal(0, 0.1, (SIZE, 2)).astype(single), np.zeros(2, dtype=single)]
     moves = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
-    step = 0
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(labels)))):
-        order = rng.permutation(len(labels))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            table, top, bias = values
-            parts = [slice(starts[i], starts[i] + sizes[i]) for i in some]
-            of = np.repeat(np.arange(len(some)), sizes[some])
-            index, weight = place[np.concatenate([rows[p] for p in parts])], np.concatenate([weights[p] for p in parts])
-            kept = index < len(used)
-            of, index, weight = of[kept], index[kept], weight[kept]
-            mean = np.stack([np.bincount(of, weights=weight * table[index, k], minlength=len(some)) for k in range(SIZE)], axis=1) * GAIN
-            logits = mean @ top + bias
-            chance = np.exp(logits - logits.max(axis=1, keepdims=True))
-            chance /= chance.sum(axis=1, keepdims=True)
-            chance[np.arange(len(some)), labels[some]] -= 1.0
-            error = chance * importance[some, None] / importance[some].sum()
-            back = error @ top.T * GAIN
-            to_table = np.stack([np.bincount(index, weights=weight * back[of, k], minlength=len(used)) for k in range(SIZE)], axis=1)
-            step += 1
-            for value, grad, (first, second) in zip(values, (to_table, mean.T @ error, error.sum(axis=0)), moves):
-                first += 0.1 * (grad - first)
-                second += 0.001 * (grad * grad - second)
-                value -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    order = np.zeros(0, dtype=np.int64)
+    for step in range(1, STEPS + 1):
+        if len(order) < min(BATCH, len(labels)):
+            order = rng.permutation(len(labels))
+        some, order = order[:BATCH], order[BATCH:]
+        table, top, bias = values
+        pairs = docs.places(some)
+        known, word = np.unique(docs.values[pairs], return_inverse=True)
+        sizes = words.sizes[known]
+        index = rows[words.places(known)]
+        vector = np.add.reduceat(table[index], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(single) if len(known) else np.zeros((0, SIZE), dtype=single)
+        mean = _summed(np.repeat(np.arange(len(some)), docs.sizes[some]), shares[pairs, None] * vector[word], len(some), columns) * GAIN
+        logits = mean @ top + bias
+        chance = np.exp(logits - logits.max(axis=1, keepdims=True))
+        chance /= chance.sum(axis=1, keepdims=True)
+        chance[np.arange(len(some)), labels[some]] -= 1.0
+        error = chance * (importance[some, None] / importance[some].sum())
+        back = (error @ top.T * GAIN).astype(single)
+        to_word = _summed(word, shares[pairs, None] * np.repeat(back, docs.sizes[some], axis=0), len(known), columns) / np.maximum(1, sizes[:, None])
+        to_table = _summed(index, np.repeat(to_word, sizes, axis=0), len(used) + 1, columns)
+        to_table[-1] = 0.0
+        for value, grad, (first, second) in zip(values, (to_table, mean.T @ error, error.sum(axis=0)), moves):
+            grad = grad.astype(single)
+            first *= 0.9
+            first += 0.1 * grad
+            second *= 0.999
+            grad *= grad
+            second += 0.001 * grad
+            value -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     table, top, bias = values
     numbers = np.zeros(BUCKETS)
-    numbers[used] = table @ (top[:, 1] - top[:, 0]) * GAIN
+    numbers[used] = table[:-1].astype(np.float64) @ (top[:, 1] - top[:, 0]) * GAIN
     return numbers, float(bias[1] - bias[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, folds_: int = FOLDS, most: int = MOST_PER_CLASS) -> tuple[np.ndarray, float]:
-    """A model from ``labels`` (doc_id, toxic) outside the held-out fold; at most about ``most`` documents of each class."""
+    """A model from ``labels`` (doc_id, toxic) outside the held-out fold; at most about ``most`` documents of each class.
+
+    A document reaches the driver as pairs (word, share), a word once with its table rows.
+    """
     known = folds.one_label(labels, "toxic").filter(folds.remainder(folds_) != 0)
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for label in (0, 1):
         own = folds.sample(known.filter(F.col("label") == label), totals.get(label, 0), most)
         picked = own if picked is None else picked.unionByName(own)
-    found = bags(folds.sampled_texts(docs, picked)).toArrow()
-    if not found.num_rows:
+    made = stored(bags(folds.sampled_texts(docs, picked)), "bags")
+    of_words = vocabulary(made).toArrow().sort_by("key")
+    keys = of_words.column("key").to_numpy()
+    words = Lists(_flat(of_words.column("rows")), pc.list_value_length(of_words.column("rows")).to_numpy().astype(np.int64))
+    found = made.select("doc_id", "label", "keys", "shares").toArrow()
+    if not found.num_rows or not len(keys):
         return np.zeros(BUCKETS), 0.0
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")  # reruns make the same steps
+    order = np.lexsort((found.column("label").to_numpy(), found.column("doc_id").to_numpy()))  # reruns make the same steps
     y = found.column("label").to_numpy().astype(np.int64)[order]
-    sizes = pc.list_value_length(found.column("rows")).to_numpy().astype(np.int64)
-    starts = (np.cumsum(sizes) - sizes)[order]
-    rows, weights = _flat(found.column("rows")), _flat(found.column("weights"))
-    del found  # the driver holds each number once
+    sizes = pc.list_value_length(found.column("keys")).to_numpy().astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    pairs = Lists(np.searchsorted(keys, _flat(found.column("keys"))).astype(np.int32), sizes[order], starts[order])
+    shares = _flat(found.column("shares"))
     share = np.array([totals.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
-    return fit(starts, sizes[order], rows, weights, y, share[y])
+    return fit(pairs, shares, words, y, share[y])
 
 
 def _flat(column: pa.ChunkedArray) -> np.ndarray:

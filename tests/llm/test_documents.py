@@ -164,7 +164,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
     return lambda text: [*out.encode(text or "", add_special_tokens=False).ids, 2]
 
 
