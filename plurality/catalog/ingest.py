@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from plurality.catalog.base import R, VIEWS, r6, rounded, scored
 from plurality.functions import keys
 from plurality.operators import export, profile, splits
-from plurality.plans.lineage import scratch
-from plurality.sources import survey, tables
+from plurality.plans.lineage import scratch, stored
+from plurality.sources import records, survey, tables
 
 # Which task kind each demo dataset counts as; anything else is "other".
 KINDS = {"events": "risky_choice", "documents": "knowledge", "conversations": "moral_dilemma", "suppliers": "opinion_survey"}
@@ -62,6 +62,25 @@ def ingest_csv(spark, sf):
     return _long(survey.read_all(spark, {s: f"{path}/file={s}" for s in ("pop", "grouped")}))
 
 
+def ingest_split(spark, sf):
+    """Questions of several lines, with quotes and separators, read from survey files in blocks of 64 KB."""
+    path = scratch(spark, "survey")
+    question = F.concat("dataset_name", F.lit("|"), "input_template", F.lit('\nOptions, "as shown":\r\n\n(A): yes'))
+    raw_rows(spark, sf).withColumn("input_template", question).write.csv(path, header=True, escape='"')
+    with records.block_bytes(spark, 1 << 16):
+        raw = stored(records.read(spark, path), "records")
+    cells = survey.one_per_record(survey.to_cells(raw, F.col("split")))
+    parts = F.split("question", "\n")
+    return cells.select(
+        F.concat_ws("|", parts[0], keys.segment_key(F.col("segment"))).alias("record_id"),
+        "split",
+        F.size(parts).alias("n_lines"),
+        F.length("question").alias("n_chars"),
+        F.size("truth").alias("n_options"),
+        "group_size",
+    )
+
+
 def parse_mapping(spark, sf):
     events = tables.table(spark, sf, "events").select(
         F.concat(F.lit("e"), "event_id").alias("id"), F.col("props").alias("text")
@@ -139,6 +158,17 @@ def roundtrip_topline(spark, sf):
     return spark.read.schema("system string, n bigint, mean double").csv(path, header=True)
 
 
+def roundtrip_meta(spark, sf):
+    """The settings of every system's run, written as JSON beside its topline and read back together."""
+    path = scratch(spark, "meta")
+    means = stored(scored(spark, sf).groupBy("system").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score")).alias("mean")), "means")
+    for system in tables.SYSTEMS:
+        own = means.filter(F.col("system") == system)
+        survey.write_topline(own, f"{path}/{system}", own.select("system", "n", F.array("mean", F.col("mean") / 2).alias("grid"), F.create_map(F.lit("run"), "system").alias("params")))
+    back = survey.read_meta(spark, f"{path}/*", "system string, n bigint, grid array<double>, params map<string,string>")
+    return back.select("system", "n", F.col("grid")[0].alias("mean"), F.size("grid").alias("grid_size"), F.col("params")["run"].alias("run"))
+
+
 def persona_ingest(spark, sf):
     path = scratch(spark, "personas")
     people = tables.personas(spark, sf).withColumn("career_goals_and_ambitions", F.lit(None).cast("string"))
@@ -161,6 +191,7 @@ def missing_completions(spark, sf):
 QUERIES = {
     "ingest_rows": ingest_rows,
     "ingest_csv": ingest_csv,
+    "ingest_split": ingest_split,
     "parse_mapping": parse_mapping,
     "keyset": keyset,
     "normalize_pct": normalize_pct,
@@ -169,6 +200,7 @@ QUERIES = {
     "export_rows": export_rows,
     "roundtrip_results": roundtrip_results,
     "roundtrip_topline": roundtrip_topline,
+    "roundtrip_meta": roundtrip_meta,
     "persona_ingest": persona_ingest,
     "missing_completions": missing_completions,
 }
@@ -201,6 +233,8 @@ bucketed AS (SELECT *, CASE WHEN contains(lower(question), 'status') THEN 'test'
 SQL = {
     "ingest_rows": _INGESTED,
     "ingest_csv": _INGESTED,
+    "ingest_split": f"""{VIEWS} SELECT record_id, split, 4 AS n_lines, length(dataset || '|' || question) + 32 AS n_chars,
+      CAST(count(*) AS INT) AS n_options, CAST(min(size) AS BIGINT) AS group_size FROM cl GROUP BY record_id, split, dataset, question""",
     "parse_mapping": """
       SELECT 'e' || event_id AS id, 1 AS n, 'k' AS label, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events
       UNION ALL SELECT 'd' || doc_id, 3, 'quality', CAST(quality AS VARCHAR) FROM labels WHERE doc_id % 5 <> 0
@@ -233,6 +267,7 @@ SQL = {
       JOIN firsts f ON f.record_id = w.record_id JOIN ours o ON o.record_id = w.record_id""",
     "roundtrip_results": f"{VIEWS} SELECT record_id, system, split, {R('score')} AS score FROM scored",
     "roundtrip_topline": f"{VIEWS} SELECT system, count(*) AS n, {R('avg(score)')} AS mean FROM scored GROUP BY system",
+    "roundtrip_meta": f"{VIEWS} SELECT system, count(*) AS n, {R('avg(score)')} AS mean, 2 AS grid_size, system AS run FROM scored GROUP BY system",
     "persona_ingest": f"WITH {PERSONAS} SELECT uuid, sex, age, state FROM personas ORDER BY sha256('0::' || uuid) LIMIT 500",
     "missing_completions": f"""{VIEWS} SELECT CASE WHEN {H32} % 7 = 0 THEN 'missing' ELSE 'stored' END AS state, record_id FROM cell""",
 }

@@ -34,6 +34,12 @@ def segment_key(segment: Column) -> Column:
     return F.when(F.size(segment) == 0, F.lit("<pop>")).otherwise(F.array_join(entries, "|"))
 
 
+def record_key(dataset: Column, split: Column, question: Column, segment: Column) -> Column:
+    """32-hex id of one cell; lengths of the parts are hashed with them, so no two cells read alike."""
+    parts = [dataset, split, question, segment_key(segment)]
+    return content_id(F.concat_ws("|", *[F.concat(F.length(p), F.lit(":"), p) for p in parts]), 32)
+
+
 def question_id(dataset: Column, split: Column, question: Column, segment: Column) -> Column:
     """12-hex id of one cell."""
     seg = F.array_sort(

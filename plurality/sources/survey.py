@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plurality.functions import dist, keys
 from plurality.plans.ranking import ranked_by_hash
+from plurality.sources import records
 
 RAW_COLUMNS = (
     "dataset_name",
@@ -122,7 +123,11 @@ def whole_number(text: Column) -> Column:
 
 
 def to_cells(raw: DataFrame, split: str | Column) -> DataFrame:
-    """Typed cells from raw survey rows; rows without a usable distribution are dropped."""
+    """Typed cells from raw survey rows; rows without a usable distribution are dropped.
+
+    ``record_id`` is a 128-bit content hash of dataset, split, question and segment: the question's text is stored once, in
+    ``question``.  Rows that repeat all four repeat the id; ``one_per_record`` settles them.
+    """
     missing = [c for c in RAW_COLUMNS if c not in raw.columns]
     raw = raw.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else raw
     typed = raw.select(
@@ -138,7 +143,7 @@ def to_cells(raw: DataFrame, split: str | Column) -> DataFrame:
         whole_number(F.col("group_size")).alias("group_size"),
     ).filter(F.size("truth") > 0)
     return typed.select(
-        F.concat_ws("|", "dataset", "split", "question", keys.segment_key(F.col("segment"))).alias("record_id"),
+        keys.record_key(F.col("dataset"), F.col("split"), F.col("question"), F.col("segment")).alias("record_id"),
         "dataset",
         "split",
         "question",
@@ -153,9 +158,15 @@ def to_cells(raw: DataFrame, split: str | Column) -> DataFrame:
     )
 
 
+def one_per_record(cells: DataFrame) -> DataFrame:
+    """One row per record_id: that of the largest group, of equal ones the one whose truth comes first as text."""
+    pick = F.min_by(F.struct("*"), F.struct((-F.coalesce("group_size", F.lit(-1))).alias("size"), F.to_json("truth").alias("truth")))
+    return cells.groupBy(F.col("record_id").alias("_id")).agg(pick.alias("row")).select("row.*")
+
+
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"')
-    return to_cells(raw, split)
+    """Cells of the CSV files at ``path``; a file is read in as many tasks as it has blocks, line breaks in quoted fields included."""
+    return to_cells(records.read(spark, path), split)
 
 
 def read_all(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -190,6 +201,15 @@ def write_topline(topline: DataFrame, path: str, meta: DataFrame | None = None)
         meta.coalesce(1).write.mode("overwrite").json(f"{path}.meta")
 
 
+def read_topline(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, inferSchema=True)
+
+
+def read_meta(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The settings that ``write_topline`` stored beside its table, typed by ``schema``: one row per run at ``path`` (which may be a pattern)."""
+    return spark.read.schema(schema).json(f"{path}.meta")
+
+
 def append_log(nodes: DataFrame, path: str) -> None:
     nodes.write.mode("append").json(path)
 
