@@ -6,12 +6,12 @@ dev_score, val_score, cost_usd.  Nothing here bounds the length or depth of a ru
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plurality.operators import gate
 from plurality.plans.lineage import cut, stored
 
 STRETCH = 4096  # nodes of a run handled together by the running totals
@@ -93,36 +93,13 @@ def running_cost(log: DataFrame) -> DataFrame:
     )
 
 
-def _gate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Record highs in order of (run, step) to the accepted ones; the state is one run's bar and count."""
-    run, bar, taken = None, float("-inf"), 0
-    for batch in batches:
-        keep, numbers = [], []
-        columns = (batch.column(c).to_pylist() for c in ("run_id", "val_score", "eta"))
-        for i, (run_id, score, eta) in enumerate(zip(*columns)):
-            if run_id != run:
-                run, bar, taken = run_id, float("-inf"), 0
-            if eta is not None and score > bar + eta:
-                bar, taken = score, taken + 1
-                keep.append(i)
-                numbers.append(taken)
-        some = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([some.column("run_id"), some.column("node_id"), pa.array(numbers, pa.int32())], names=["run_id", "node_id", "accepted_no"])
-
-
 def gate_replay(log: DataFrame, eta: Column) -> DataFrame:
     """Nodes the gate accepts: score above the last accepted one by more than ``eta`` (>= 0).
 
-    An accepted score is higher than every score before it, so only record highs can be
-    accepted.  They stream through one task per run in order; nothing of a run is gathered.
+    An accepted score is higher than every score before it, so only record highs can be accepted.  ``gate`` replays
+    their stretches in parallel.
     """
-    highs = progression(log).filter("is_new_best").select("run_id", "step", "node_id", F.col("val_score").cast("double").alias("val_score"), eta.cast("double").alias("eta"))
-    kind = {f.name: f.dataType.simpleString() for f in highs.schema.fields}
-    return (
-        highs.repartition("run_id")
-        .sortWithinPartitions("run_id", "step")
-        .mapInArrow(_gate, f"run_id {kind['run_id']}, node_id {kind['node_id']}, accepted_no int")
-    )
+    return gate.accepted(progression(log).filter("is_new_best"), eta)
 
 
 def config_lookup(log: DataFrame) -> DataFrame:
