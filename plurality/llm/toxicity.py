@@ -27,6 +27,8 @@ SIZE = 8
 #: Steps of the fit, whatever the sample: six passes over a full one.
 STEPS = 1128
 BATCH = 64
+#: Words whose table rows are counted together.
+AT_ONCE = 8192
 #: Words of sampled documents (a word counts in each document) that a table row must belong to.
 LEAST_SEEN = 20
 RATE = 0.01
@@ -96,10 +98,12 @@ class Lists:
         return np.repeat(self.starts[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def _summed(of: np.ndarray, values: np.ndarray, groups: int, columns: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``values`` per group."""
-    places = of[:, None] * len(columns) + columns
-    return np.bincount(places.ravel(), weights=values.ravel(), minlength=groups * len(columns)).reshape(groups, len(columns))
+def _summed(of: np.ndarray, values: np.ndarray, groups: int) -> np.ndarray:
+    """Sums of the rows of ``values`` per group; a column at a time, so that no large intermediate is made."""
+    out = np.empty((groups, values.shape[1]), dtype=np.float32)
+    for k in range(values.shape[1]):
+        out[:, k] = np.bincount(of, weights=values[:, k], minlength=groups)
+    return out
 
 
 def fit(docs: Lists, shares: np.ndarray, words: Lists, labels: np.ndarray, importance: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -111,12 +115,15 @@ def fit(docs: Lists, shares: np.ndarray, words: Lists, labels: np.ndarray, impor
     """
     rng = np.random.default_rng(seed)
     held = np.bincount(docs.values, minlength=len(words.sizes))  # documents per word
-    seen = np.bincount(words.values, weights=np.repeat(held, words.sizes), minlength=BUCKETS)
+    seen = np.zeros(BUCKETS)
+    for at in range(0, len(held), AT_ONCE):
+        some = np.arange(at, min(at + AT_ONCE, len(held)))
+        seen += np.bincount(words.values[words.places(some)], weights=np.repeat(held[some], words.sizes[some]), minlength=BUCKETS)
     used = np.flatnonzero(seen >= LEAST_SEEN)
     place = np.full(BUCKETS, len(used), dtype=np.int32)  # one more row stands for all that stay zero
     place[used] = np.arange(len(used))
     rows = place[words.values]
-    single, columns = np.float32, np.arange(SIZE)
+    single = np.float32
     start = np.vstack([rng.normal(0, 0.01, (len(used), SIZE)), np.zeros((1, SIZE))])
     values = [start.astype(single), rng.normal(0, 0.1, (SIZE, 2)).astype(single), np.zeros(2, dtype=single)]
     moves = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
@@ -131,15 +138,15 @@ def fit(docs: Lists, shares: np.ndarray, words: Lists, labels: np.ndarray, impor
         sizes = words.sizes[known]
         index = rows[words.places(known)]
         vector = np.add.reduceat(table[index], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(single) if len(known) else np.zeros((0, SIZE), dtype=single)
-        mean = _summed(np.repeat(np.arange(len(some)), docs.sizes[some]), shares[pairs, None] * vector[word], len(some), columns) * GAIN
+        mean = _summed(np.repeat(np.arange(len(some)), docs.sizes[some]), shares[pairs, None] * vector[word], len(some)) * GAIN
         logits = mean @ top + bias
         chance = np.exp(logits - logits.max(axis=1, keepdims=True))
         chance /= chance.sum(axis=1, keepdims=True)
         chance[np.arange(len(some)), labels[some]] -= 1.0
         error = chance * (importance[some, None] / importance[some].sum())
         back = (error @ top.T * GAIN).astype(single)
-        to_word = _summed(word, shares[pairs, None] * np.repeat(back, docs.sizes[some], axis=0), len(known), columns) / np.maximum(1, sizes[:, None])
-        to_table = _summed(index, np.repeat(to_word, sizes, axis=0), len(used) + 1, columns)
+        to_word = _summed(word, shares[pairs, None] * np.repeat(back, docs.sizes[some], axis=0), len(known)) / np.maximum(1, sizes[:, None])
+        to_table = _summed(index, np.repeat(to_word, sizes, axis=0), len(used) + 1)
         to_table[-1] = 0.0
         for value, grad, (first, second) in zip(values, (to_table, mean.T @ error, error.sum(axis=0)), moves):
             grad = grad.astype(single)
@@ -167,22 +174,34 @@ def train(docs: DataFrame, labels: DataFrame, folds_: int = FOLDS, most: int = M
         own = folds.sample(known.filter(F.col("label") == label), totals.get(label, 0), most)
         picked = own if picked is None else picked.unionByName(own)
     made = stored(bags(folds.sampled_texts(docs, picked)), "bags")
-    of_words = vocabulary(made).toArrow().sort_by("key")
-    keys = of_words.column("key").to_numpy()
-    words = Lists(_flat(of_words.column("rows")), pc.list_value_length(of_words.column("rows")).to_numpy().astype(np.int64))
-    found = made.select("doc_id", "label", "keys", "shares").toArrow()
-    if not found.num_rows or not len(keys):
+    keys, words = _words(vocabulary(made))
+    if not len(keys):
         return np.zeros(BUCKETS), 0.0
-    order = np.lexsort((found.column("label").to_numpy(), found.column("doc_id").to_numpy()))  # reruns make the same steps
-    y = found.column("label").to_numpy().astype(np.int64)[order]
-    sizes = pc.list_value_length(found.column("keys")).to_numpy().astype(np.int64)
-    starts = np.cumsum(sizes) - sizes
-    pairs = Lists(np.searchsorted(keys, _flat(found.column("keys"))).astype(np.int32), sizes[order], starts[order])
-    shares = _flat(found.column("shares"))
+    pairs, shares, y = _documents(made, keys)
+    pa.default_memory_pool().release_unused()
     share = np.array([totals.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
     return fit(pairs, shares, words, y, share[y])
 
 
+def _words(found: DataFrame) -> tuple[np.ndarray, Lists]:
+    """Sorted keys of the words, and their table rows; the driver holds each number once."""
+    arrived = found.toArrow()
+    keys, values = arrived.column("key").to_numpy(), _flat(arrived.column("rows"))
+    sizes = pc.list_value_length(arrived.column("rows")).to_numpy()
+    order = np.argsort(keys, kind="stable")
+    return keys[order], Lists(values, sizes[order].astype(np.int64), (np.cumsum(sizes, dtype=np.int64) - sizes)[order])
+
+
+def _documents(made: DataFrame, keys: np.ndarray) -> tuple[Lists, np.ndarray, np.ndarray]:
+    """Word numbers, their shares and the label per document, in the order of doc_id: reruns make the same steps."""
+    arrived = made.select("doc_id", "label", "keys", "shares").toArrow()
+    order = np.lexsort((arrived.column("label").to_numpy(), arrived.column("doc_id").to_numpy()))
+    sizes = pc.list_value_length(arrived.column("keys")).to_numpy().astype(np.int64)
+    places = [np.searchsorted(keys, c.flatten().to_numpy(zero_copy_only=False)).astype(np.int32) for c in arrived.column("keys").chunks]
+    pairs = Lists(np.concatenate(places), sizes[order], (np.cumsum(sizes) - sizes)[order])
+    return pairs, _flat(arrived.column("shares")), arrived.column("label").to_numpy().astype(np.int64)[order]
+
+
 def _flat(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=column.type.value_type.to_pandas_dtype()), *[c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]])
 
