@@ -42,14 +42,25 @@ def log_summary(spark, sf):
 
 
 def tree(spark, sf):
-    return runlog.tree_lines(tables.run_log(spark, sf)).select(
-        "run_id", "node_id", F.array_join(F.transform("sort_path", lambda s: s.cast("string")), ".").alias("place"), "line"
+    return runlog.tree_lines(tables.run_log(spark, sf))
+
+
+def subtree_totals(spark, sf):
+    return rounded(runlog.subtree_totals(tables.run_log(spark, sf)), "cost_usd")
+
+
+def node_report(spark, sf):
+    """The best scored node of every run and of every lever in it, with the levers that led there."""
+    log = tables.run_log(spark, sf)
+    best = log.filter("val_score IS NOT NULL").groupBy("run_id", "lever_id").agg(F.min_by("node_id", F.struct(-F.col("val_score"), "seq")).alias("node_id"))
+    return runlog.node_reports(log, best).select(
+        "run_id", "node_id", "depth", F.array_join("path", ">").alias("path"), F.array_join("lever_path", ">").alias("levers"), "val_score"
     )
 
 
 def replay(spark, sf):
     rows = runlog.replay(tables.run_log(spark, sf))
-    return rows.select("run_id", "seq", "lever_id", F.try_element_at("params", F.lit("n")).alias("n"), "rationale")
+    return rows.select("run_id", "seq", "position", "lever_id", F.try_element_at("params", F.lit("n")).alias("n"), "rationale")
 
 
 def usage_cost(spark, sf):
@@ -84,6 +95,8 @@ QUERIES = {
     "config_lookup": config_lookup,
     "log_summary": log_summary,
     "tree": tree,
+    "subtree_totals": subtree_totals,
+    "node_report": node_report,
     "replay": replay,
     "usage_cost": usage_cost,
     "k_band": k_band,
@@ -97,8 +110,8 @@ _LOG = f"""ml AS (SELECT o_orderpriority AS run_id, date_trunc('month', o_orderd
     'month ' || CAST(month AS DATE) AS rationale, {R('price')} AS dev_score, CASE WHEN seq % 3 <> 2 THEN {R('price + seq / 2')} END AS val_score,
     CASE WHEN seq % 5 = 0 THEN 0.0 ELSE n / 100 END AS cost_usd, seq % 2 = 0 AS accepted, CAST(n AS VARCHAR) AS n FROM sq)"""
 LOG = f"WITH RECURSIVE {_LOG}"
-_PATHS = """pt AS (SELECT run_id, node_id, node_id AS path, lever_id AS levers, CAST(seq AS VARCHAR) AS place, 0 AS depth FROM lg WHERE parent_id IS NULL
-  UNION ALL SELECT lg.run_id, lg.node_id, pt.path || '>' || lg.node_id, pt.levers || '>' || lg.lever_id, pt.place || '.' || lg.seq, pt.depth + 1
+_PATHS = """pt AS (SELECT run_id, node_id, node_id AS path, lever_id AS levers, [seq] AS places, 0 AS depth FROM lg WHERE parent_id IS NULL
+  UNION ALL SELECT lg.run_id, lg.node_id, pt.path || '>' || lg.node_id, pt.levers || '>' || lg.lever_id, list_append(pt.places, lg.seq), pt.depth + 1
   FROM lg JOIN pt ON lg.run_id = pt.run_id AND lg.parent_id = pt.node_id)"""
 _SCORED = "vs AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS step FROM lg WHERE val_score IS NOT NULL)"
 _PRICE = "CASE model " + " ".join(f"WHEN '{m}' THEN prompt_tokens / 1e6 * {i} + completion_tokens / 1e6 * {o}" for m, (i, o) in PRICES.items()) + " END"
@@ -114,10 +127,18 @@ SQL = {
       SELECT run_id, node_id, accepted_no FROM gt WHERE acc""",
     "config_lookup": f"""{LOG} SELECT run_id, config_hash, node_id, val_score FROM lg QUALIFY row_number() OVER (PARTITION BY run_id, config_hash ORDER BY val_score IS NULL, seq) = 1""",
     "log_summary": f"""{LOG} SELECT run_id, count(*) AS nodes, {R('sum(cost_usd)')} AS total_cost, count(DISTINCT config_hash) FILTER (WHERE val_score IS NOT NULL) AS global_k, max(val_score) AS best_val FROM lg GROUP BY run_id""",
-    "tree": f"""{LOG}, {_PATHS} SELECT run_id, node_id, place, repeat('  ', depth) || CASE WHEN val_score IS NULL THEN '·' WHEN accepted THEN '✓' ELSE '✗' END || ' ' || lever_id ||
+    "tree": f"""{LOG}, {_PATHS} SELECT run_id, node_id, row_number() OVER (PARTITION BY run_id ORDER BY places) - 1 AS place,
+        repeat('  ', depth) || CASE WHEN val_score IS NULL THEN '·' WHEN accepted THEN '✓' ELSE '✗' END || ' ' || lever_id ||
         ' (dev=' || printf('%.2f', dev_score) || CASE WHEN val_score IS NULL THEN '' ELSE ' val=' || printf('%.2f', val_score) END || ')' || CASE WHEN cost_usd <> 0 THEN ' $' || printf('%.2f', cost_usd) ELSE '' END AS line
       FROM pt JOIN (SELECT run_id, node_id, lever_id, dev_score, val_score, accepted, cost_usd FROM lg) USING (run_id, node_id)""",
-    "replay": f"{LOG} SELECT run_id, seq, lever_id, n, rationale FROM lg",
+    "subtree_totals": f"""{LOG}, {_PATHS}, bl AS (SELECT run_id, node_id AS top, node_id FROM lg
+        UNION ALL SELECT bl.run_id, bl.top, lg.node_id FROM bl JOIN lg ON lg.run_id = bl.run_id AND lg.parent_id = bl.node_id)
+      SELECT bl.run_id, top AS node_id, any_value(depth) AS depth, count(*) AS nodes, {R('sum(cost_usd)')} AS cost_usd
+      FROM bl JOIN lg ON lg.run_id = bl.run_id AND lg.node_id = bl.node_id JOIN pt ON pt.run_id = bl.run_id AND pt.node_id = bl.top GROUP BY bl.run_id, top""",
+    "node_report": f"""{LOG}, {_PATHS}, best AS (SELECT run_id, node_id, val_score FROM lg WHERE val_score IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY run_id, lever_id ORDER BY val_score DESC, seq) = 1)
+      SELECT run_id, node_id, depth, path, levers, val_score FROM best JOIN pt USING (run_id, node_id)""",
+    "replay": f"{LOG} SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS position, lever_id, n, rationale FROM lg",
     "usage_cost": f"""WITH us AS (SELECT 'model_' || event_type AS model, 100 + user_id * 3 AS prompt_tokens, 20 + event_id % 50 AS completion_tokens,
         CASE WHEN event_id % 3 = 0 THEN value / 1000 END AS cost, event_id % 4 = 0 AS cached FROM events)
       SELECT model, count(*) FILTER (WHERE NOT cached) AS calls, count(*) FILTER (WHERE cached) AS cache_hits, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.operators import gate
+from plurality.operators import gate, tour
 from plurality.plans.lineage import cut, stored
 
 STRETCH = 4096  # nodes of a run handled together by the running totals
@@ -120,25 +120,48 @@ def log_summary(log: DataFrame) -> DataFrame:
 
 
 def tree_lines(log: DataFrame) -> DataFrame:
-    """Indented listing; order by run and ``sort_path`` to print it."""
-    rows = with_paths(log)
+    """Indented listing; order by run and ``place`` to print it."""
+    rows = tour.intervals(log)
     mark = F.when(F.col("val_score").isNull(), "·").when(F.coalesce("accepted", F.lit(False)), "✓").otherwise("✗")
     val = F.when(F.col("val_score").isNull(), F.lit("")).otherwise(F.format_string(" val=%.2f", "val_score"))
     cost = F.when(F.coalesce("cost_usd", F.lit(0.0)) != 0, F.format_string(" $%.2f", "cost_usd")).otherwise(F.lit(""))
     line = F.concat(
         F.repeat(F.lit("  "), F.col("depth")), mark, F.lit(" "), "lever_id", F.format_string(" (dev=%.2f", "dev_score"), val, F.lit(")"), cost
     )
-    return rows.select("run_id", "node_id", "sort_path", line.alias("line"))
+    return rows.select("run_id", "node_id", F.col("begin").alias("place"), line.alias("line"))
+
+
+def subtree_totals(log: DataFrame) -> DataFrame:
+    """Nodes and cost of each node with all below it: differences of one running total in pre-order."""
+    placed = stored(tour.intervals(log).select("run_id", "node_id", "begin", "end", "depth", F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd")), "placed")
+    running = stored(_running(placed.withColumnRenamed("begin", "seq"), {"cum": (F.col("cost_usd"), "sum")}), "running")
+    upto = running.select("run_id", (F.col("seq") + 1).alias("end"), F.col("cum").alias("total"))
+    return running.join(upto, ["run_id", "end"]).select(
+        "run_id", "node_id", "depth", (F.col("end") - F.col("seq")).alias("nodes"), (F.col("total") - F.coalesce("cum_before", F.lit(0.0))).alias("cost_usd")
+    )
+
+
+def node_reports(log: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` (run_id, node_id; few per run) with the levers that led to each, root first."""
+    placed = stored(tour.intervals(log).select("run_id", "node_id", "lever_id", "begin", "end", "depth"), "placed")
+    wanted = placed.join(targets.select("run_id", "node_id"), ["run_id", "node_id"]).select("run_id", F.col("node_id").alias("target"), F.col("begin").alias("at"))
+    steps = F.array_sort(F.collect_list(F.struct("depth", "node_id", "lever_id")))
+    found = tour.ancestors(placed, wanted).groupBy("run_id", "target").agg(steps.alias("steps"))
+    return log.join(
+        found.select("run_id", F.col("target").alias("node_id"), F.col("steps.node_id").alias("path"), F.col("steps.lever_id").alias("lever_path"), (F.size("steps") - 1).alias("depth")), ["run_id", "node_id"]
+    )
 
 
 def node_report(log: DataFrame, run_id: str, node_id: str) -> DataFrame:
     """One node with the levers that led to it."""
-    return with_paths(log.filter(F.col("run_id") == run_id)).filter(F.col("node_id") == node_id)
+    own = log.filter(F.col("run_id") == run_id)
+    return node_reports(own, own.filter(F.col("node_id") == node_id))
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """Recorded steps in order."""
-    return log.select("run_id", "seq", "lever_id", "params", "rationale").orderBy("run_id", "seq")
+    """Recorded steps in order; ``position`` says it also where the rows are stored or shuffled again."""
+    placed = _running(log, {"position": (F.lit(1.0), "sum")})
+    return placed.select("run_id", "seq", F.col("position").cast("bigint").alias("position"), "lever_id", "params", "rationale").orderBy("run_id", "seq")
 
 
 def search_band(mean: Column, n: Column, k: Column, multiplier: float = 1.0) -> tuple[Column, Column]:
