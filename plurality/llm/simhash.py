@@ -161,17 +161,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     by_fp = stored(rooted.join(named, "root").select("fp", "component_id"), "components")
     unsigned = F.lower(F.lpad(F.hex("fp"), BITS // 4, "0"))
     return rows.join(by_fp, "fp").select("doc_id", unsigned.alias("fingerprint"), "component_id")
-
-
-def without_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """One row of each component: of the smallest doc_id, and of rows that repeat it the first by a hash of the text.
-
-    All columns stay.  Rows without a doc_id are kept: nothing names them.
-    """
-    found = near_duplicates(docs, shingle, most_bits)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"))
-    named = rows.join(kept, F.col("doc_id") == F.col("kept"), "left_semi")
-    repeated = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"))
-    first = named.withColumn("nth", F.row_number().over(repeated)).filter("nth = 1")
-    return first.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
