@@ -56,6 +56,12 @@ def sweep_pivot(spark, sf):
     return rounded(evaluate.sweep(split, F.col("_m"), ["model_a", "model_b"]), "model_a", "model_b")
 
 
+def score_by_question(spark, sf):
+    """Mean score of every question and system with its interval."""
+    out = bootstrap.bootstrap_ci(scored(spark, sf), ["system", "dataset", "question"], "score", n_boot=B).drop("below_zero")
+    return rounded(out, "mean", "ci_low", "ci_high")
+
+
 def bootstrap_overall(spark, sf):
     """Mean score of each system with its interval."""
     out = bootstrap.bootstrap_ci(scored(spark, sf), ["system"], "score", n_boot=B, seed=7).drop("below_zero")
@@ -73,6 +79,7 @@ QUERIES = {
     "topline": topline,
     "split_stats": split_stats,
     "sweep_pivot": sweep_pivot,
+    "score_by_question": score_by_question,
     "bootstrap_ci": bootstrap_overall,
     "bootstrap_eta": bootstrap_eta,
 }
@@ -86,6 +93,11 @@ SQL = {
       FROM (SELECT system, dataset, count(*) AS n, avg(score) AS mean FROM scored GROUP BY ALL)
       JOIN (SELECT system, dataset, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM boot GROUP BY ALL)
       USING (system, dataset)""",
+    "score_by_question": f"""{VIEWS}, {replicates('scored', 'system, dataset, question', 'score', B)}
+      SELECT system, dataset, question, n, {R('mean')} AS mean, {R('lo')} AS ci_low, {R('hi')} AS ci_high
+      FROM (SELECT system, dataset, question, count(*) AS n, avg(score) AS mean FROM scored GROUP BY ALL)
+      JOIN (SELECT system, dataset, question, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM boot GROUP BY ALL)
+      USING (system, dataset, question)""",
     "topline": f"""{VIEWS}, {replicates('scored', 'system', 'score', B)}
       SELECT system, n, {R('mean')} AS mean, {R('lo')} AS ci_low, {R('hi')} AS ci_high, {R('below')} AS frac_below_uniform
       FROM (SELECT system, count(*) AS n, avg(score) AS mean, avg((score < 0)::INT) AS below FROM scored GROUP BY ALL)

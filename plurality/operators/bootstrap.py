@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import keys
@@ -24,6 +24,19 @@ REPLICATE_STEP = 0x9E3779B9
 MIX_A = 0x85EBCA6B
 MIX_B = 0xC2B2AE35
 
+#: Slots (the sample and its replicates) whose sums are added up by one task.
+SLICE = 256
+SUMS = pa.schema(
+    [
+        ("_group", pa.string()),
+        ("slice", pa.int32()),
+        ("w", pa.list_(pa.float64())),
+        ("wx", pa.list_(pa.float64())),
+        ("below", pa.float64()),
+        ("also", pa.list_(pa.float64())),
+    ]
+)
+
 
 def poisson_cuts(levels: int = 9) -> list[int]:
     """Cumulative Poisson(1) probabilities on a 16-bit scale."""
@@ -45,22 +58,12 @@ def _weights(hashes: np.ndarray, replicates: np.ndarray, lookup: np.ndarray) ->
 
 
 def _partial_sums(n_boot: int, rows_at_once: int = 64, groups_at_once: int = 500):
-    """Per task and group: weight sums and weighted sums of all replicates; slot 0 has weight one for every row."""
-    schema = pa.schema(
-        [
-            ("_group", pa.string()),
-            ("w", pa.list_(pa.float64())),
-            ("wx", pa.list_(pa.float64())),
-            ("below", pa.float64()),
-            ("also", pa.list_(pa.float64())),
-        ]
-    )
+    """Per task and group: weight sums and weighted sums of all replicates, in slices of slots; slot 0 has weight one for every row."""
+    slices = range(-(-(n_boot + 1) // SLICE))
 
     def emit(sums: dict) -> pa.RecordBatch:
-        columns = [list(sums), *[[entry[k] for entry in sums.values()] for k in range(4)]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
-        )
+        rows = [(name, k, *[x[k * SLICE : (k + 1) * SLICE] for x in entry[:2]], *([entry[2], entry[3]] if k == 0 else [0.0, 0 * entry[3]])) for name, entry in sums.items() for k in slices]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), SUMS)], schema=SUMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = np.searchsorted(np.array(poisson_cuts()), np.arange(65536), side="right").astype(np.float32)
@@ -88,19 +91,50 @@ def _partial_sums(n_boot: int, rows_at_once: int = 64, groups_at_once: int = 500
                     block = _weights(hashes[part], replicates, lookup).astype(np.float64)
                     entry[0][1:] += block.sum(axis=0)
                     entry[1][1:] += values[part] @ block
-            if len(sums) >= groups_at_once:
-                yield emit(sums)
-                sums = {}
+                if len(sums) >= groups_at_once:
+                    yield emit(sums)
+                    sums = {}
         if sums:
             yield emit(sums)
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of (group, slice) added up; one sum is held at a time."""
+    at, held, done = None, None, []
+
+    def flushed() -> pa.RecordBatch:
+        columns = list(zip(*done)) or [()] * len(SUMS)
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, SUMS)], schema=SUMS)
+
+    for batch in batches:
+        lists = [batch.column(c) for c in ("w", "wx", "also")]
+        for i, (group, slice_, below) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_group", "slice", "below")])):
+            w, wx, also = (c[i].values.to_numpy(zero_copy_only=False) for c in lists)
+            if (group, slice_) != at:
+                if held:
+                    done.append((*at, *held))
+                at, held = (group, slice_), [w.copy(), wx.copy(), below, also.copy()]
+            else:
+                held[0] += w
+                held[1] += wx
+                held[2] += below
+                held[3] += also
+        yield flushed()
+    if held:
+        done.append((*at, *held))
+    yield flushed()
+
+
 def _replicates(
     df: DataFrame, groups: Sequence[str], value: str, n_boot: int, seed: int, id_column: str, also: Sequence[str] = ()
 ) -> DataFrame:
-    """(_group, slot, w, wx, below, also): slot 0 is the sample itself, the others are replicates."""
+    """(_group, w, wx, below, also): one row per group with the sums of all slots; slot 0 is the sample itself, the others are replicates.
+
+    Tasks hand on arrays, one per group and slice of the slots, and arrays are added up; no sum is a row of its own before the end.
+    """
     named = F.to_json(F.struct(*groups)) if groups else F.lit("{}")
     rows = df.filter(F.col(value).isNotNull()).select(
         named.alias("_group"),
@@ -108,16 +142,12 @@ def _replicates(
         F.col(value).cast("double").alias("_value"),
         F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in also]).cast("array<double>").alias("_also"),
     )
-    out = "_group string, w array<double>, wx array<double>, below double, also array<double>"
-    sums = rows.mapInArrow(_partial_sums(n_boot), out)
-    slots = sums.select("_group", "below", "also", F.posexplode(F.arrays_zip("w", "wx")).alias("slot", "s"))
-    first = lambda c: F.sum(F.when(F.col("slot") == 0, c))
-    return slots.groupBy("_group", "slot").agg(
-        F.sum("s.w").alias("w"),
-        F.sum("s.wx").alias("wx"),
-        first(F.col("below")).alias("below"),
-        *[first(F.get("also", F.lit(i))).alias(f"_also_{c}") for i, c in enumerate(also)],
-    )
+    out = "_group string, slice int, w array<double>, wx array<double>, below double, also array<double>"
+    dealt = rows.mapInArrow(_partial_sums(n_boot), out).repartition("_group", "slice").sortWithinPartitions("_group", "slice")
+    slices = dealt.mapInArrow(_merged, out)
+    whole = F.array_sort(F.collect_list(F.struct("slice", "w", "wx", "below", "also")))  # a fixed number of slices
+    joined = slices.groupBy("_group").agg(whole.alias("s"))
+    return joined.select("_group", F.flatten("s.w").alias("w"), F.flatten("s.wx").alias("wx"), F.col("s")[0]["below"].alias("below"), F.col("s")[0]["also"].alias("also"))
 
 
 def _named(df: DataFrame, source: DataFrame, groups: Sequence[str], *columns) -> DataFrame:
@@ -127,16 +157,26 @@ def _named(df: DataFrame, source: DataFrame, groups: Sequence[str], *columns) ->
     return df.select(*[back[g].alias(g) for g in groups], *columns)
 
 
-def _mean():
-    return F.col("wx") / F.nullif(F.col("w"), F.lit(0.0))
+def _means() -> Column:
+    """Resampled means in order of the replicates; null where no record was drawn."""
+    ratio = F.zip_with("wx", "w", lambda x, w: x / F.nullif(w, F.lit(0.0)))
+    return F.slice(ratio, F.lit(2), F.size("w"))
+
+
+def _quantile(ordered: Column, q: float) -> Column:
+    """Linear interpolation in a sorted array; null for an empty one."""
+    place = F.lit(q) * (F.size(ordered) - 1)
+    low = F.floor(place).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, F.ceil(place).cast("int"))
+    return a + (place - low) * (b - a)
 
 
 def replicate_means(
     df: DataFrame, groups: Sequence[str], value: str, n_boot: int = 2000, seed: int = 0, id_column: str = "record_id"
 ) -> DataFrame:
     """(groups, replicate, mean) of the resampled means."""
-    sums = _replicates(df, groups, value, n_boot, seed, id_column).filter(F.col("slot") > 0)
-    return _named(sums, df, groups, (F.col("slot") - 1).alias("replicate"), _mean().alias("mean"))
+    sums = _replicates(df, groups, value, n_boot, seed, id_column)
+    return _named(sums.select("_group", F.posexplode(_means()).alias("replicate", "mean")), df, groups, "replicate", "mean")
 
 
 def bootstrap_ci(
@@ -149,22 +189,22 @@ def bootstrap_ci(
     id_column: str = "record_id",
     also: Sequence[str] = (),
 ) -> DataFrame:
-    """n, mean, percentile interval and share below zero per group, in one pass over the rows.
+    """n, mean, percentile interval and share below zero per group, in one pass over the rows; there may be any number of groups.
 
     ``also`` names further columns whose plain means are wanted for the same groups.
     """
     groups = list(groups)
     sums = _replicates(df, groups, value, n_boot, seed, id_column, also)
-    own = F.col("slot") == 0
-    point = lambda c: F.max(F.when(own, F.col(c)))
-    mean = F.when(~own, _mean())
-    out = sums.groupBy("_group").agg(
-        point("w").cast("bigint").alias("n"),
-        F.max(F.when(own, _mean())).alias("mean"),
-        F.percentile(mean, F.lit(alpha / 2)).alias("ci_low"),
-        F.percentile(mean, F.lit(1 - alpha / 2)).alias("ci_high"),
-        (point("below") / point("w")).alias("below_zero"),
-        *[(point(f"_also_{c}") / point("w")).alias(c) for c in also],
+    ordered = sums.withColumn("ordered", F.array_sort(F.filter(_means(), lambda x: x.isNotNull())))
+    n = F.get("w", F.lit(0))
+    out = ordered.select(
+        "_group",
+        n.cast("bigint").alias("n"),
+        (F.get("wx", F.lit(0)) / F.nullif(n, F.lit(0.0))).alias("mean"),
+        _quantile(F.col("ordered"), alpha / 2).alias("ci_low"),
+        _quantile(F.col("ordered"), 1 - alpha / 2).alias("ci_high"),
+        (F.col("below") / n).alias("below_zero"),
+        *[(F.get("also", F.lit(i)) / n).alias(c) for i, c in enumerate(also)],
     )
     return _named(out, df, groups, "n", "mean", "ci_low", "ci_high", "below_zero", *also)
 
