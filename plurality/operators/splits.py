@@ -116,19 +116,38 @@ def leaking_families(split: DataFrame, unit: str = "question") -> DataFrame:
     return spread.filter(F.col("first") != F.col("last"))
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str] = ("dataset", "question"), digits: int = 3) -> DataFrame:
-    """16-hex fingerprint of the distinct rows, whatever their order.
+LIMBS = 4
 
-    Row hashes are combined inside hash-prefix buckets, and only the bucket hashes meet.
+
+def fingerprint_sums(df: DataFrame, columns: Sequence[str] = ("dataset", "question")) -> DataFrame:
+    """One row (l0 .. l3, n): the distinct rows' 128-bit digests added up in limbs of 32 bits, and how many there are.
+
+    Addition knows no order, so partial sums meet in a tree, and the sums of parts without a common row add up to those of their union.
     """
-    one = F.sha2(F.to_json(F.array(*columns)), 256)
-    hashes = df.select(one.alias("h")).distinct().withColumn("_prefix", F.substring("h", 1, digits))
-    combined = F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256)
-    buckets = hashes.groupBy("_prefix").agg(combined.alias("b"), F.count(F.lit(1)).alias("n"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_prefix", "b"))), lambda s: s["b"])
-    return buckets.agg(
-        F.substring(F.sha2(F.concat_ws("", ordered), 256), 1, 16).alias("fingerprint"), F.sum("n").alias("families")
-    )
+    digest = F.sha2(F.to_json(F.array(*columns)), 256)
+    limbs = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)").alias(f"l{i}") for i in range(LIMBS)]
+    rows = df.select(digest.alias("h")).distinct().select(*limbs)
+    return rows.agg(*[F.coalesce(F.sum(f"l{i}"), F.lit(0)).cast("decimal(38,0)").alias(f"l{i}") for i in range(LIMBS)], F.count(F.lit(1)).alias("n"))
+
+
+def add_sums(parts: DataFrame) -> DataFrame:
+    """The sums of a union of disjoint parts from the parts' own."""
+    return parts.agg(*[F.sum(f"l{i}").cast("decimal(38,0)").alias(f"l{i}") for i in range(LIMBS)], F.sum("n").alias("n"))
+
+
+def finished(sums: DataFrame) -> DataFrame:
+    """16-hex fingerprint and number of rows: limbs carried to one number modulo 2^128 and hashed with the count."""
+    text, carry = [], "cast(0 as decimal(38,0))"
+    for i in reversed(range(LIMBS)):
+        whole = f"(l{i} + {carry})"
+        text.insert(0, F.lpad(F.lower(F.hex(F.expr(f"cast({whole} % 4294967296 as bigint)"))), 8, "0"))
+        carry = f"cast({whole} div 4294967296 as decimal(38,0))"
+    return sums.select(F.substring(F.sha2(F.concat(*text, F.lit(":"), F.col("n").cast("string")), 256), 1, 16).alias("fingerprint"), F.col("n").alias("families"))
+
+
+def fingerprint(df: DataFrame, columns: Sequence[str] = ("dataset", "question")) -> DataFrame:
+    """16-hex fingerprint of the distinct rows, whatever their order."""
+    return finished(fingerprint_sums(df, columns))
 
 
 # -- samples -----------------------------------------------------------------------
