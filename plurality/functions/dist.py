@@ -2,8 +2,8 @@
 
 A distribution is a ``map<string,double>`` plus an ``options`` array that carries the
 order; the vector functions below take the aligned ``array<double>`` form.  Every
-function returns one Column and stays on the JVM, except ``temper_to_entropy`` which
-runs its bisection on whole Arrow batches.
+function returns one Column and stays on the JVM, except ``temper_to_entropy`` and ``temper_to_entropies``, which
+solve on whole Arrow batches.
 """
 
 from __future__ import annotations
@@ -189,35 +189,69 @@ def _padded(series: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def temper_to_entropy(v: pd.Series, target: pd.Series) -> pd.Series:
-    """Temper each vector until its normalised entropy equals ``target``.
+#: Temperatures between which a wanted entropy is looked for, and the rows solved together.
+COLDEST, HOTTEST = 1e-3, 1e3
+SOLVED_AT_ONCE = 1024
+
+
+def _tempered(logp: np.ndarray, mask: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Rows x targets x labels: each row at its inverse temperatures."""
+    scaled = np.where(mask[:, None, :], logp[:, None, :] * beta[:, :, None], -np.inf)
+    # subtracting the row maximum keeps the largest term at one, so sharp tempering cannot underflow to 0/0
+    q = np.exp(scaled - scaled.max(axis=2, initial=-1e300)[:, :, None])
+    return q / np.maximum(q.sum(axis=2), 1e-300)[:, :, None]
+
+
+def _reach(logp: np.ndarray, mask: np.ndarray, log_k: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Rows x targets x labels: every row tempered to each wanted normalised entropy.
 
-    One bisection runs over the whole Arrow batch: rows are padded to a matrix, and the
-    fifty halvings are matrix operations.  Zero-mass and single-label rows pass through.
+    Entropy rises with the logarithm s of the temperature, by beta^2 times the variance of the log probabilities.  Newton steps
+    solve all targets of all rows together; a step that leaves its bracket, and every fourth, halves the bracket instead.
     """
+    s, low, high = np.zeros_like(goal), np.full_like(goal, np.log(COLDEST)), np.full_like(goal, np.log(HOTTEST))
+    safe = np.where(mask, logp, 0.0)[:, None, :]
+    for turn in range(160):
+        beta = np.exp(-s)
+        q = _tempered(logp, mask, beta)
+        h = -(q * np.log(np.where(q > 0, q, 1.0))).sum(axis=2) / log_k[:, None]
+        below = h < goal
+        low, high = np.where(below, s, low), np.where(below, high, s)
+        mean = (q * safe).sum(axis=2)
+        spread = (q * (safe - mean[:, :, None]) ** 2).sum(axis=2) * beta * beta
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = s + (goal - h) * log_k[:, None] / spread
+        middle = (low + high) / 2
+        after = np.where((step > low) & (step < high), step, middle) if turn % 4 < 3 else middle
+        if (np.abs(after - s) < 1e-14).all():
+            break
+        s = after
+    return _tempered(logp, mask, np.exp(-s))
+
+
+def _retempered(v: pd.Series, targets: pd.Series) -> list[list[np.ndarray]]:
+    """Per row a vector for each target; rows without mass or with one label pass through."""
     raw, mask = _padded(v)
+    goal, _ = _padded(targets)
     raw = np.clip(raw, 0.0, None)
-    size = mask.sum(axis=1)
-    total = raw.sum(axis=1)
+    size, total = mask.sum(axis=1), raw.sum(axis=1)
     live = (size > 1) & (total > 0)
     p = np.where(mask, np.clip(raw / np.where(live, total, 1.0)[:, None], 1e-9, None), 0.0)
     logp = np.log(np.where(mask, p / np.where(live, p.sum(axis=1), 1.0)[:, None], 1.0))
-    goal = np.clip(target.to_numpy(dtype=float), 0.0, 1.0)
-    log_k = np.log(np.maximum(size, 2))
-
-    def at(temp: np.ndarray) -> np.ndarray:
-        scaled = np.where(mask, logp / temp[:, None], -np.inf)
-        # subtracting the row maximum keeps the largest term at one, so sharp tempering cannot underflow to 0/0
-        q = np.exp(scaled - scaled.max(axis=1, initial=-1e300)[:, None])
-        return q / np.maximum(q.sum(axis=1), 1e-300)[:, None]
-
-    lo, hi = np.full(len(goal), 1e-3), np.full(len(goal), 1e3)
-    for _ in range(50):
-        mid = (lo + hi) / 2
-        q = at(mid)
-        h = -(q * np.log(np.where(q > 0, q, 1.0))).sum(axis=1) / log_k
-        low = h < goal
-        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-    q = np.where(live[:, None], at((lo + hi) / 2), raw)
-    return pd.Series([row[:n] for row, n in zip(q, size)])
+    goal, log_k, out = np.clip(goal, 0.0, 1.0), np.log(np.maximum(size, 2)), []
+    for at in range(0, len(size), SOLVED_AT_ONCE):
+        some = slice(at, at + SOLVED_AT_ONCE)
+        q = np.where(live[some, None, None], _reach(logp[some], mask[some], log_k[some], goal[some]), raw[some, None, :])
+        out += [[vector[:n] for vector in row[:g]] for row, n, g in zip(q, size[some], map(len, targets[some]))]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def temper_to_entropies(v: pd.Series, targets: pd.Series) -> pd.Series:
+    """Temper each vector until its normalised entropy equals each of ``targets`` (an array): one call for a whole grid."""
+    return pd.Series(_retempered(v, targets))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def temper_to_entropy(v: pd.Series, target: pd.Series) -> pd.Series:
+    """Temper each vector until its normalised entropy equals ``target``."""
+    return pd.Series([row[0] for row in _retempered(v, pd.Series([[t] for t in target]))])

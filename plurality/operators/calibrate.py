@@ -62,6 +62,16 @@ def grid_scores(
     )
 
 
+def target_scores(rows: DataFrame, gains: Sequence[float], wanted: Column, groups: Sequence[str] = ()) -> DataFrame:
+    """Mean score for every gain of ``retarget``.  A row crosses to Python once, with all its targets; only scores are exploded."""
+    steps = F.array(*[F.lit(float(g)) for g in gains])
+    goals = rows.withColumn("_targets", F.transform(steps, lambda g: aim(g, wanted)))
+    solved = goals.withColumn("_vs", dist.temper_to_entropies("v", "_targets"))
+    pairs = F.zip_with("_vs", F.arrays_zip(steps.alias("g"), F.col("_targets").alias("t")), lambda v, a: row_score(F.when(unmoved(a["g"], a["t"]), F.col("v")).otherwise(v)))
+    scores = solved.select(*groups, F.posexplode(pairs).alias("i", "_s"))
+    return scores.groupBy(*groups, "i").agg(F.avg("_s").alias("score")).withColumn("param", F.get(steps, F.col("i")))
+
+
 def best_of_grid(scores: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """First grid value with the highest mean score, per group."""
     best = F.max_by(F.struct("param", "score"), F.struct("score", (-F.col("i")).alias("i"))).alias("b")
@@ -133,11 +143,19 @@ def _unit(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def aim(gain: Column, wanted: Column) -> Column:
+    """The entropy that lies ``gain`` of the way from the predicted one to ``wanted``."""
+    return _unit(F.col("pred_h") + gain * (_unit(wanted) - F.col("pred_h")))
+
+
+def unmoved(gain: Column, target: Column) -> Column:
+    return (gain == 0) | (F.abs(target - F.col("pred_h")) < 1e-6)
+
+
 def retarget(gain: Column, wanted: Column) -> Column:
     """Move the spread of ``v`` by ``gain`` toward ``wanted``; an exact no-op stays untouched."""
-    target = _unit(F.col("pred_h") + gain * (_unit(wanted) - F.col("pred_h")))
-    still = (gain == 0) | (F.abs(target - F.col("pred_h")) < 1e-6)
-    return F.when(still, F.col("v")).otherwise(dist.temper_to_entropy(F.col("v"), target))
+    target = aim(gain, wanted)
+    return F.when(unmoved(gain, target), F.col("v")).otherwise(dist.temper_to_entropy(F.col("v"), target))
 
 
 @dataclass
@@ -156,7 +174,7 @@ class EntropyTarget(Calibrator):
         line = entropy_regression(rows, []).first()
         if line["slope"] is not None:
             self.slope, self.intercept = line["slope"], line["intercept"]
-        scores = grid_scores(rows, TARGET_GAINS, lambda g: retarget(g, self._wanted()))
+        scores = target_scores(rows, TARGET_GAINS, self._wanted())
         self.gain = best_of_grid(scores).first()["param"]
         return self
 
@@ -266,7 +284,7 @@ class FeatureEntropyTarget(Calibrator):
 
     def fit(self, rows):
         self.fit_weights(rows)
-        scores = grid_scores(self.with_prediction(rows), FEATURE_GAINS, lambda g: retarget(g, F.col("_want")))
+        scores = target_scores(self.with_prediction(rows), FEATURE_GAINS, F.col("_want"))
         self.gain = best_of_grid(scores).first()["param"]
         return self
 
