@@ -90,7 +90,7 @@ def panel_diversity(spark, sf):
 
 def k_curve(spark, sf):
     rows = scored(spark, sf).filter(F.col("system") == "half").select("record_id", "p", "z")
-    return rounded(draws.size_curve(_parsed(spark, sf), rows, [1, 2, 3, 5], repeats=5), "score")
+    return rounded(draws.size_curve(_parsed(spark, sf), rows, [1, 2, 3, 5], repeats=25), "score")
 
 
 QUERIES = {
@@ -166,7 +166,7 @@ SQL = {
       ma AS (SELECT record_id, max(n) / sum(n) AS mode_agreement FROM mm GROUP BY record_id)
       SELECT record_id, n_draws, {R('inter_tvd')} AS inter_tvd, {R('mode_agreement')} AS mode_agreement FROM sp JOIN nd USING (record_id) JOIN ma USING (record_id) WHERE n_draws >= 3""",
     "k_curve": f"""{VIEWS}, {_DRAWS}, dd AS (SELECT DISTINCT record_id, draw FROM dx WHERE ok),
-      rk AS (SELECT record_id, draw, rep, row_number() OVER (PARTITION BY record_id, rep ORDER BY sha256('0::' || record_id || '::' || rep || '::' || draw)) AS r FROM dd, range(5) t(rep)),
+      rk AS (SELECT record_id, draw, rep, row_number() OVER (PARTITION BY record_id, rep ORDER BY sha256('0::' || record_id || '::' || rep || '::' || draw)) AS r FROM dd, range(25) t(rep)),
       sz AS (SELECT rk.*, size FROM rk, (VALUES (1), (2), (3), (5)) s(size) WHERE r <= size),
       av AS (SELECT sz.record_id, rep, sz.size, opt, avg(q) AS q, any_value(p) AS p FROM sz JOIN dx ON dx.record_id = sz.record_id AND dx.draw = sz.draw GROUP BY ALL),
       sc AS (SELECT record_id, rep, size, sum(abs(p - q)) / 2 AS tvd FROM av GROUP BY ALL),

@@ -9,6 +9,7 @@ from plurality.catalog.ingest import BUCKETS
 from plurality.functions import dist
 from plurality.operators import calibrate, splits
 from plurality.operators.evaluate import normalizers
+from plurality.plans.lineage import stored
 from plurality.plans.skew import attach, one_row
 from plurality.sources import tables
 
@@ -119,15 +120,27 @@ def ridge_fit(spark, sf):
     return out.withColumn("residual", F.round(F.abs("residual"), 6))
 
 
+def each_model(make):
+    """The results of ``make(system)`` for every system but the uniform one, whose spread no fit can move, with a column for the system."""
+    out = None
+    for system in MODELS:
+        part = make(system).withColumn("system", F.lit(system))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def r2(spark, sf):
-    """Line fitted on the first half of each dataset, judged on the second half."""
-    rows = labelled(spark, sf, "half", "blend")
+    """Per system, a line fitted on the first half of each dataset, judged on the second half."""
     halves = splits.folds(tables.cells(spark, sf).select("record_id", "dataset")).select("record_id", "first_half")
-    rows = rows.join(halves, "record_id")
-    line = calibrate.entropy_regression(rows.filter("first_half"), [])
-    slope, intercept = line.select("slope", "intercept").first()
-    held = rows.filter("NOT first_half")
-    return rounded(calibrate.out_of_sample_r2(held, F.col("truth_h"), F.lit(intercept) + F.lit(slope) * F.col("pred_h")), "r2")
+    halves = stored(halves, "halves")
+
+    def one(system):
+        rows = labelled(spark, sf, system).join(halves, "record_id")
+        slope, intercept = calibrate.entropy_regression(rows.filter("first_half"), []).select("slope", "intercept").first()
+        held = rows.filter("NOT first_half")
+        return calibrate.out_of_sample_r2(held, F.col("truth_h"), F.lit(intercept) + F.lit(slope) * F.col("pred_h"))
+
+    return rounded(each_model(one), "r2")
 
 
 def temper_to_entropy(spark, sf):
@@ -142,10 +155,14 @@ def oracle_temper(spark, sf):
 
 
 def entropy_target(spark, sf):
-    """Entropy target from the fitted line, full gain."""
-    rows = labelled(spark, sf, "half")
-    slope, intercept = calibrate.entropy_regression(rows, []).select("slope", "intercept").first()
-    return long_form(calibrate.EntropyTarget(1.0, slope, intercept).transform(rows))
+    """Entropy target from each system's fitted line, full gain."""
+
+    def one(system):
+        rows = labelled(spark, sf, system)
+        slope, intercept = calibrate.entropy_regression(rows, []).select("slope", "intercept").first()
+        return long_form(calibrate.EntropyTarget(1.0, slope, intercept).transform(rows)).drop("system")
+
+    return each_model(one)
 
 
 def entropy_target_fit(spark, sf):
@@ -158,8 +175,11 @@ def entropy_target_fit(spark, sf):
 
 
 def feature_target(spark, sf):
-    """Feature-based target on all rows; counts rows off their target and rows whose top option changed."""
-    rows = labelled(spark, sf, "half")
+    """Feature-based target on all rows of every system; counts rows off their target and rows whose top option changed."""
+    return each_model(lambda system: _feature_target(labelled(spark, sf, system)))
+
+
+def _feature_target(rows):
     fit = calibrate.FeatureEntropyTarget().fit(rows)
     prepared = fit.with_prediction(rows)
     gain = F.lit(fit.gain)
@@ -176,11 +196,15 @@ def feature_target(spark, sf):
 
 
 def chain(spark, sf):
-    """Abstain first, then a temperature fitted on what abstention left."""
-    rows = labelled(spark, sf, "peaked")
-    fit = calibrate.make_calibrator("chain", stages=[{"name": "abstain"}, {"name": "temp"}]).fit(rows)
-    out = fit.transform(rows).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.avg(calibrate.row_score(F.col("v"))).alias("score"))
-    return rounded(out.withColumn("temperature", F.lit(fit.stages[1].temperature)), "score")
+    """Per system, abstain first, then a temperature fitted on what abstention left."""
+
+    def one(system):
+        rows = labelled(spark, sf, system)
+        fit = calibrate.make_calibrator("chain", stages=[{"name": "abstain"}, {"name": "temp"}]).fit(rows)
+        out = fit.transform(rows).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.avg(calibrate.row_score(F.col("v"))).alias("score"))
+        return out.withColumn("temperature", F.lit(fit.stages[1].temperature))
+
+    return rounded(each_model(one), "score")
 
 
 QUERIES = {
@@ -280,12 +304,12 @@ SQL = {
         UNION ALL SELECT unnest(['n_options', 'is_pop', 'n_vars', 'peak', 'gap', 'entropy', 'n_eff']))
       SELECT feature, system, 0.0::DOUBLE AS residual FROM f, (SELECT unnest(['uniform', 'marginal', 'half', 'blend', 'peaked']) AS system)""",
     "r2": f"""{VIEWS}, o AS (SELECT record_id, row_number() OVER (PARTITION BY dataset ORDER BY sha256('0::' || record_id)) <= count(*) OVER (PARTITION BY dataset) // 2 AS fh FROM cell),
-      b AS (SELECT * FROM scored JOIN o USING (record_id) WHERE system IN ('half', 'blend')),
-      l AS (SELECT regr_slope(te, pe) AS s, regr_intercept(te, pe) AS i FROM b WHERE fh)
-      SELECT {R('1 - sum((te - (i + s * pe)) ** 2) / (count(*) * var_pop(te))')} AS r2 FROM b, l WHERE NOT fh""",
+      b AS (SELECT * FROM scored JOIN o USING (record_id) WHERE {_NOT_UNIFORM}),
+      l AS (SELECT system, regr_slope(te, pe) AS s, regr_intercept(te, pe) AS i FROM b WHERE fh GROUP BY system)
+      SELECT system, {R('1 - sum((te - (i + s * pe)) ** 2) / (count(*) * var_pop(te))')} AS r2 FROM b JOIN l USING (system) WHERE NOT fh GROUP BY system""",
     "temper_to_entropy": f"{_to_entropy('true', '0.6')} SELECT record_id, system, opt, {R('t')} AS q FROM done",
     "oracle_temper": f"""{_to_entropy('true', 'te')} SELECT record_id, system, opt, {R('t')} AS q FROM done""",
-    "entropy_target": f"""{_to_entropy("system = 'half'", "greatest(0, least(1, (SELECT regr_intercept(te, pe) + regr_slope(te, pe) * s.pe FROM scored WHERE system = 'half')))")}
+    "entropy_target": f"""{_to_entropy(_NOT_UNIFORM, "greatest(0, least(1, (SELECT regr_intercept(te, pe) + regr_slope(te, pe) * s.pe FROM scored r WHERE r.system = s.system)))")}
       SELECT record_id, system, opt, {R('CASE WHEN abs(target - pe) < 1e-6 THEN q ELSE t END')} AS q FROM done""",
     "entropy_target_fit": f"""{VIEWS}, one AS (SELECT * FROM scored WHERE system = 'blend'), l AS (SELECT regr_slope(te, pe) AS s, regr_intercept(te, pe) AS i FROM one),
       tg AS (SELECT record_id, pe, tvd_u, g.i AS gi, param, greatest(0, least(1, pe + param * (greatest(0, least(1, l.i + l.s * pe)) - pe))) AS target
@@ -299,13 +323,13 @@ SQL = {
       sc AS (SELECT gi, param, CASE WHEN any_value(tvd_u) <= 0 THEN 0 ELSE 100 * (1 - sum(abs(p - t)) / 2 / any_value(tvd_u)) END AS s FROM done GROUP BY record_id, gi, param),
       g AS (SELECT gi, param, avg(s) AS score FROM sc GROUP BY ALL)
       SELECT param AS gain, {R('score')} AS after, {R('(SELECT score FROM g WHERE param = 0)')} AS before FROM g ORDER BY score DESC, gi LIMIT 1""",
-    "feature_target": f"{VIEWS} SELECT count(*) AS n, 0 AS off_target, 0 AS rank_changed FROM cell",
-    "chain": f"""{VIEWS}, f AS ({_FLAG}), xa AS (SELECT x.record_id, x.dataset, x.opt, x.p, CASE WHEN f.dataset IS NULL THEN q ELSE 1.0 / k END AS q
-        FROM x LEFT JOIN f ON f.system = x.system AND f.dataset = x.dataset WHERE x.system = 'peaked'),
+    "feature_target": f"{VIEWS} SELECT system, count(*) AS n, 0 AS off_target, 0 AS rank_changed FROM scored WHERE {_NOT_UNIFORM} GROUP BY system",
+    "chain": f"""{VIEWS}, f AS ({_FLAG}), xa AS (SELECT x.record_id, x.system, x.dataset, x.opt, x.p, CASE WHEN f.dataset IS NULL THEN q ELSE 1.0 / k END AS q
+        FROM x LEFT JOIN f ON f.system = x.system AND f.dataset = x.dataset WHERE x.{_NOT_UNIFORM}),
       r AS (SELECT *, pow(q, 1 / param) AS w FROM xa, {_values(calibrate.TEMPERATURES)}),
-      t AS (SELECT *, w / sum(w) OVER (PARTITION BY record_id, i) AS tq FROM r),
-      s AS (SELECT record_id, dataset, i, param, sum(abs(p - tq)) / 2 AS tvd FROM t GROUP BY ALL),
+      t AS (SELECT *, w / sum(w) OVER (PARTITION BY record_id, system, i) AS tq FROM r),
+      s AS (SELECT record_id, system, dataset, i, param, sum(abs(p - tq)) / 2 AS tvd FROM t GROUP BY ALL),
       c AS (SELECT s.*, CASE WHEN tvd_u <= 0 THEN 0 ELSE 100 * (1 - s.tvd / tvd_u) END AS score FROM s JOIN (SELECT record_id, tvd_u FROM truth) USING (record_id)),
-      b AS (SELECT i, param FROM c GROUP BY ALL ORDER BY avg(score) DESC, i LIMIT 1)
-      SELECT dataset, count(*) AS n, {R('avg(score)')} AS score, any_value(c.param) AS temperature FROM c JOIN b ON b.i = c.i GROUP BY dataset""",
+      b AS (SELECT system, i FROM c GROUP BY system, i QUALIFY row_number() OVER (PARTITION BY system ORDER BY avg(score) DESC, i) = 1)
+      SELECT c.system, dataset, count(*) AS n, {R('avg(score)')} AS score, any_value(c.param) AS temperature FROM c JOIN b ON b.i = c.i AND b.system = c.system GROUP BY c.system, dataset""",
 }

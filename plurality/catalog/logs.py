@@ -68,13 +68,12 @@ def usage_cost(spark, sf):
 
 
 def k_band(spark, sf):
-    """Each run's band around the mean score of one system, widened by the configurations the run tried."""
-    one = scored(spark, sf).filter(F.col("system") == "blend")
-    mean, n = one.agg(F.avg("score"), F.count(F.lit(1))).first()
-    runs = runlog.log_summary(tables.run_log(spark, sf)).select("run_id", "global_k")
-    rows = runs.withColumns({"mean": F.lit(mean), "n": F.lit(n)})
+    """Each run's band around the mean score of each system, widened by the configurations the run tried."""
+    means = scored(spark, sf).groupBy("system").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
+    pairs = F.explode(F.array(*[F.lit(s) for s in tables.SYSTEMS])).alias("system")
+    runs = runlog.log_summary(tables.run_log(spark, sf)).select("run_id", "global_k", pairs)
     low, high = runlog.search_band(F.col("mean"), F.col("n"), F.col("global_k"))
-    return rows.select("run_id", "n", "global_k", r6("mean").alias("mean"), r6(low).alias("low"), r6(high).alias("high"))
+    return runs.join(means, "system").select("run_id", "system", "n", "global_k", r6("mean").alias("mean"), r6(low).alias("low"), r6(high).alias("high"))
 
 
 def roundtrip_log(spark, sf):
@@ -144,9 +143,9 @@ SQL = {
       SELECT model, count(*) FILTER (WHERE NOT cached) AS calls, count(*) FILTER (WHERE cached) AS cache_hits, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
         CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
         {R(f'sum(coalesce(cost, {_PRICE}, 0))')} AS cost_usd FROM us GROUP BY model""",
-    "k_band": f"""{VIEWS}, {_LOG}, m AS (SELECT avg(score) AS mean, count(*) AS n FROM scored WHERE system = 'blend'),
+    "k_band": f"""{VIEWS}, {_LOG}, m AS (SELECT system, avg(score) AS mean, count(*) AS n FROM scored GROUP BY system),
       k AS (SELECT run_id, count(DISTINCT config_hash) FILTER (WHERE val_score IS NOT NULL) AS global_k FROM lg GROUP BY run_id),
-      h AS (SELECT run_id, m.n, global_k, mean, pow(ln(global_k * m.n) / m.n, 1.0 / 3) * 100 AS half FROM k, m)
-      SELECT run_id, n, global_k, {R('mean')} AS mean, {R('mean - half')} AS low, {R('mean + half')} AS high FROM h""",
+      h AS (SELECT run_id, system, m.n, global_k, mean, pow(ln(global_k * m.n) / m.n, 1.0 / 3) * 100 AS half FROM k, m)
+      SELECT run_id, system, n, global_k, {R('mean')} AS mean, {R('mean - half')} AS low, {R('mean + half')} AS high FROM h""",
     "roundtrip_log": f"{LOG} SELECT run_id, seq, node_id, parent_id, lever_id, dev_score, val_score, accepted, n FROM lg",
 }
