@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.plans.lineage import stored
+from plurality.plans.ranking import gapless
 
 #: log2 of the nodes of a stretch and of the stretches folded into one.
 STRETCH_BITS, FOLD_BITS = 12, 6
@@ -149,18 +150,6 @@ def _limited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("run_id", "step", "node_id", "val_score")], pa.array(made)], names=["run_id", "step", "node_id", "val_score", "limit"])
 
 
-def _numbered(lined: DataFrame) -> DataFrame:
-    """``at`` (partition and place in it) made a gapless number; one count per partition reaches the driver."""
-    part = F.shiftright("at", 33)
-    counts = sorted((r["part"], r["n"]) for r in lined.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
-    starts, start = [], 0
-    for number, n in counts:
-        starts.append((number, start))
-        start += n
-    first = lined.sparkSession.createDataFrame(starts, "part long, start long")
-    return lined.withColumn("part", part).join(first, "part").withColumn("at", F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "start")
-
-
 def accepted(highs: DataFrame, eta: Column) -> DataFrame:
     """(run_id, node_id, accepted_no) of the accepted ones of ``highs`` (run_id, step, node_id, val_score): a run's record highs, rising by step.
 
@@ -173,7 +162,7 @@ def accepted(highs: DataFrame, eta: Column) -> DataFrame:
     made = stored(rows.mapInArrow(_limited, f"{run}, step {kind['step']}, {node}, val_score double, limit double"), "highs")
     parts = max(1, made.count() // ROWS)
     lined = made.repartitionByRange(parts, "run_id", "step").sortWithinPartitions("run_id", "step").withColumn("at", F.monotonically_increasing_id())
-    lined = _numbered(stored(lined, "lined")).withColumn("slot", F.shiftright("at", STRETCH_BITS))
+    lined = gapless(stored(lined, "lined")).withColumn("slot", F.shiftright("at", STRETCH_BITS))
     levels = [stored(lined.groupBy("run_id", "slot").applyInArrow(_folded_nodes, f"{run}, {FOLDED}"), "steps")]
     while not levels[-1].groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         above = F.shiftright("slot", FOLD_BITS)

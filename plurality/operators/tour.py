@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.operators.gate import _numbered as numbered_rows
 from plurality.plans.lineage import stored
+from plurality.plans.ranking import gapless
 
 #: Links followed per round; the reach grows by one more than that many times.
 JUMPS = 3
@@ -28,7 +28,7 @@ def _lined(log: DataFrame) -> DataFrame:
     settled = stored(settled, "settled")
     parts = max(1, settled.count() // ROWS)
     lined = stored(settled.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "siblings")
-    lined = stored(numbered_rows(lined).select("at", "run_id", "node_id", "up"), "siblings")
+    lined = stored(gapless(lined).select("at", "run_id", "node_id", "up"), "siblings")
     parents = lined.select("run_id", F.col("node_id").alias("up"), F.col("at").alias("above"))
     return stored(lined.join(parents, ["run_id", "up"], "left").select("at", "run_id", "node_id", "above"), "lined")
 
