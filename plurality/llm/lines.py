@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plurality.plans import skew
 from plurality.plans.lineage import stored
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -145,7 +146,7 @@ def keep_bitmaps(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs:
         .agg(F.countDistinct(F.struct("doc_id")).alias("_docs"), F.max("doc_id").alias("_last"))
         .filter(F.col("_docs") >= least_docs)
     )
-    late = waiting.join(F.broadcast(cut), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("_last")))  # two rows per partition at most
+    late = skew.attach(waiting, cut, ["h1", "h2"], ["doc_id", "row_key", "position"], "inner").filter(~F.col("doc_id").eqNullSafe(F.col("_last")))
     own = [*ROW, "n_lines"]
     gone = marks.filter("NOT open").select(*own, "position").unionByName(late.select(*own, "position"))
     per_row = gone.groupBy(*own).agg(F.sort_array(F.collect_set("position")).alias("gone"))
