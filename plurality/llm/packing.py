@@ -29,6 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Fixed value: the added tokens of the vocabulary's ``tokenizers`` file (a test compares them).
 ADDED = {"<|endoftext|>": 50256}
 TEXTS_AT_ONCE = 256
+ROWS_PER_BIN = 25_000  # pieces of one length that a task numbers together
 
 
 def encoder(ranks_path: str):
@@ -179,22 +180,25 @@ def pack(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, seed: int =
 
     Null and empty texts are one end id.  Rows that repeat a doc_id are packed each.
     Pieces of one length are interchangeable, so their order follows a hash and reruns agree up to equal rows.
+    A piece of full length is a sequence of its own, numbered below zero where it lies: it is neither ranked nor moved.
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = stored(pieces(docs, ranks_path, sequence), "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    histogram.pop(sequence, None)
+    bits = max(8, (max(histogram.values(), default=0) // ROWS_PER_BIN).bit_length())
     slots = spark.createDataFrame(
         places(plan(histogram, sequence)), "_length long, _first long, _many long, _sequence long, offset long"
     )
-    hashed = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32", "start"))
-    ranked = ranks.gapless(hashed, ["length"], "_order", "_rank", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], bits=8)
+    hashed = rows.filter(F.col("length") < sequence).withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32", "start"))
+    ranked = ranks.gapless(hashed, ["length"], "_order", "_rank", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], bits=bits)
     by_length = slots.groupBy("_length").agg(F.sort_array(F.collect_list(F.struct("_first", "_many", "_sequence", "offset"))).alias("_slots"))
-    return (
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    shared = (
         ranked.join(F.broadcast(by_length), F.col("length") == F.col("_length"))  # one row per length, slots bounded by the plan
         .withColumn("_slot", F.filter("_slots", lambda s: (s["_first"] <= F.col("_rank")) & (F.col("_rank") < s["_first"] + s["_many"]))[0])
-        .select(
-            "doc_id", "piece", "start", "length", "ids_crc32",
-            (F.col("_slot._sequence") + F.col("_rank") - F.col("_slot._first")).alias("sequence_id"), F.col("_slot.offset").alias("offset"),
-        )
+        .select(*own, (F.col("_slot._sequence") + F.col("_rank") - F.col("_slot._first")).alias("sequence_id"), F.col("_slot.offset").alias("offset"))
     )
+    full = rows.filter(F.col("length") == sequence).select(*own, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shared.unionByName(full)
