@@ -68,8 +68,8 @@ def op5_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.stored_sizes(table(spark, sf_dir, "documents"))
-    return sharding.shuffle_shards(rows, SHARDS).select(
+    placed = sharding.shuffle_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return sharding.sized(placed, "shard", "slot").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 

@@ -84,12 +84,7 @@ def shuffle_shards(rows: DataFrame, shards: int, seed: int = 1, shard: str = "sh
     return ranks.gapless(stored(cut, "shards"), ["part"], "again", "place", [F.col("row")]).select("row.*", F.col("part").alias(shard), F.col("place").alias(slot))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text, none for null, plus 8) and text_crc32 (0 for null)."""
+def sized(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, size (UTF-8 bytes of the text, none for null, plus 8), text_crc32 (0 for null) and ``others`` of each row."""
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select("doc_id", (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-
-
-def stored_sizes(docs: DataFrame) -> DataFrame:
-    """``sized`` written once: the texts are read one time and only three numbers of a document move."""
-    return stored(sized(docs), "sizes")
+    return docs.select("doc_id", (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), *others)
