@@ -8,13 +8,15 @@ from plurality.catalog.base import R, VIEWS, r6, replicates, rounded, scored
 from plurality.catalog.calibration import labelled
 from plurality.catalog.errors import DEC
 from plurality.catalog.ingest import BUCKETS, KINDS
-from plurality.operators import compare, evaluate, explore, export, specs, splits
+from plurality.operators import compare, evaluate, explore, export, index, specs, splits
 from plurality.operators.decompose import decompose
 from plurality.operators.export import kind_of
 from plurality.plans.lineage import stored
 from plurality.sources import tables
 
 B = 2000
+_WORDS = {"supplier": "s_suppkey", "documents": "lang", "events": "event_type", "customer": "c_mktsegment"}
+_PASSAGES = {"benchmark": "text", "nation": "n_name", "region": "r_name"}
 ROUTES = {"opinion_survey": "task_context", "knowledge": "task_context", "risky_choice": "abstain", "moral_dilemma": "abstain"}
 
 
@@ -114,6 +116,29 @@ def explorer_page(spark, sf):
     return out
 
 
+def explorer_search(spark, sf):
+    """What a search for each supplier number, language, event type and segment finds in the export: rows and running means."""
+    rows = stored(_export(spark, sf).select("question_text", "our_score", "base_score"), "export")
+    words = None
+    for name, word in _WORDS.items():
+        part = tables.table(spark, sf, name).select(F.col(word).cast("string").alias("pattern")).distinct()
+        words = part if words is None else words.unionByName(part)
+    found = index.search(index.build(rows.select("question_text").distinct(), "question_text", "question_text"), words)
+    hits = found.join(rows, F.col("id") == F.col("question_text"))
+    out = hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.avg("our_score").alias("ours"), F.avg("base_score").alias("base"))
+    return rounded(out, "ours", "base")
+
+
+def passage_search(spark, sf):
+    """Documents that hold a benchmark passage word for word, ignoring case, or name a nation or a region."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    words = None
+    for name, word in _PASSAGES.items():
+        part = tables.table(spark, sf, name).select(F.col(word).alias("pattern"))
+        words = part if words is None else words.unionByName(part)
+    return index.search(index.build(docs, "doc_id", "text"), words).select(F.md5("pattern").alias("pattern"), F.col("id").alias("doc_id"))
+
+
 def keyword_rows(spark, sf):
     docs = tables.table(spark, sf, "documents").select("doc_id", "text")
     return explore.keyword_rows(docs, "text", ["license", "released"], ["doc_id"], 6).select("doc_id")
@@ -160,6 +185,8 @@ QUERIES = {
     "complete_cases": complete_cases,
     "explorer_filter": explorer_filter,
     "explorer_page": explorer_page,
+    "explorer_search": explorer_search,
+    "passage_search": passage_search,
     "keyword_rows": keyword_rows,
     "distinct_families": distinct_families,
     "union_systems": union_systems,
@@ -239,6 +266,10 @@ SQL = {
     + " UNION ALL ".join(
         f"SELECT * FROM (SELECT '{p}' AS page, question_id FROM ex WHERE kind = 'opinion_survey' ORDER BY {o}, question_id LIMIT 20)" for p, o in _PAGES.items()
     ),
+    "explorer_search": f"{_EXPORT}, ws AS ({' UNION '.join(f'SELECT CAST({c} AS VARCHAR) AS pattern FROM {t}' for t, c in _WORDS.items())}) "
+    f"SELECT pattern, count(*) AS n, {R('avg(os)')} AS ours, {R('avg(bs)')} AS base FROM ws JOIN ex ON contains(lower(question), lower(pattern)) GROUP BY pattern",
+    "passage_search": f"WITH ws AS ({' UNION '.join(f'SELECT {c} AS pattern FROM {t}' for t, c in _PASSAGES.items())}) "
+    "SELECT md5(pattern) AS pattern, doc_id FROM ws JOIN documents ON contains(lower(text), lower(pattern))",
     "keyword_rows": "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'released') ORDER BY doc_id LIMIT 6",
     "distinct_families": f"{VIEWS} SELECT DISTINCT dataset, question FROM cell",
     "union_systems": f"{VIEWS} SELECT system, count(DISTINCT record_id) AS n, count(DISTINCT record_id) AS records FROM x WHERE system IN ('half', 'peaked') GROUP BY system",

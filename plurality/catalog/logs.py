@@ -76,6 +76,12 @@ def k_band(spark, sf):
     return runs.join(means, "system").select("run_id", "system", "n", "global_k", r6("mean").alias("mean"), r6(low).alias("low"), r6(high).alias("high"))
 
 
+def band_progression(spark, sf):
+    """Every system's band after every node of every run, as the configurations tried grow."""
+    means = scored(spark, sf).groupBy("system").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return rounded(runlog.band_progression(tables.run_log(spark, sf), means, tables.SYSTEMS), "mean", "low", "high")
+
+
 def roundtrip_log(spark, sf):
     """Appends two halves of the log and reads the whole back."""
     path = scratch(spark, "log")
@@ -99,6 +105,7 @@ QUERIES = {
     "replay": replay,
     "usage_cost": usage_cost,
     "k_band": k_band,
+    "band_progression": band_progression,
     "roundtrip_log": roundtrip_log,
 }
 
@@ -147,5 +154,10 @@ SQL = {
       k AS (SELECT run_id, count(DISTINCT config_hash) FILTER (WHERE val_score IS NOT NULL) AS global_k FROM lg GROUP BY run_id),
       h AS (SELECT run_id, system, m.n, global_k, mean, pow(ln(global_k * m.n) / m.n, 1.0 / 3) * 100 AS half FROM k, m)
       SELECT run_id, system, n, global_k, {R('mean')} AS mean, {R('mean - half')} AS low, {R('mean + half')} AS high FROM h""",
+    "band_progression": f"""{VIEWS}, {_LOG}, m AS (SELECT system, avg(score) AS mean, count(*) AS n FROM scored GROUP BY system),
+      fo AS (SELECT *, val_score IS NOT NULL AND row_number() OVER (PARTITION BY run_id, config_hash ORDER BY val_score IS NULL, seq) = 1 AS new FROM lg),
+      k AS (SELECT run_id, seq, node_id, count(*) FILTER (WHERE new) OVER (PARTITION BY run_id ORDER BY seq) AS k FROM fo),
+      h AS (SELECT run_id, seq, node_id, system, k, m.n, mean, pow(ln(greatest(k, 1) * m.n) / m.n, 1.0 / 3) * 100 AS half FROM k, m)
+      SELECT run_id, seq, node_id, system, k, n, {R('mean')} AS mean, {R('mean - half')} AS low, {R('mean + half')} AS high FROM h""",
     "roundtrip_log": f"{LOG} SELECT run_id, seq, node_id, parent_id, lever_id, dev_score, val_score, accepted, n FROM lg",
 }

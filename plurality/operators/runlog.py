@@ -6,13 +6,14 @@ dev_score, val_score, cost_usd.  Nothing here bounds the length or depth of a ru
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurality.operators import gate, tour
 from plurality.plans.lineage import cut, stored
+from plurality.plans.skew import attach
 
 STRETCH = 4096  # nodes of a run handled together by the running totals
 
@@ -171,6 +172,22 @@ def search_band(mean: Column, n: Column, k: Column, multiplier: float = 1.0) ->
     return mean - half, mean + half
 
 
+def distinct_so_far(log: DataFrame) -> DataFrame:
+    """Distinct scored configurations of a run up to each node (``k``): first occurrences per configuration, then their running count."""
+    scored = log.filter(F.col("val_score").isNotNull())
+    first = scored.groupBy("run_id", "config_hash").agg(F.min("seq").alias("seq")).select("run_id", "seq", F.lit(1.0).alias("_new"))
+    placed = log.join(first, ["run_id", "seq"], "left").withColumn("_new", F.coalesce("_new", F.lit(0.0)))
+    return _running(placed, {"k": (F.col("_new"), "sum")}).drop("_new", "k_before").withColumn("k", F.col("k").cast("bigint"))
+
+
+def band_progression(log: DataFrame, means: DataFrame, systems: Sequence[str], multiplier: float = 1.0) -> DataFrame:
+    """The band of each of ``systems`` after each node of each run.  ``means`` has one row per system: system, mean, n."""
+    rows = distinct_so_far(log).select("run_id", "seq", "node_id", "k", F.explode(F.array(*[F.lit(s) for s in systems])).alias("system"))
+    rows = attach(rows, means.select("system", "mean", "n"), ["system"], ["run_id", "seq"], "inner")
+    low, high = search_band(F.col("mean"), F.col("n"), F.col("k"), multiplier)
+    return rows.select("run_id", "seq", "node_id", "system", "k", "n", "mean", low.alias("low"), high.alias("high"))
+
+
 # -- usage -------------------------------------------------------------------------
 
 
