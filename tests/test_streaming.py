@@ -48,3 +48,30 @@ def test_vote_counts(spark, sf_dir, tmp_path):
     tallied = draws.tally_votes(votes, cells).agg(F.sum("n_votes"), F.sum("n_failed")).first()
     readable = got.filter("option IS NOT NULL").agg(F.sum("n")).first()[0]
     assert (readable, got.agg(F.sum("n")).first()[0]) == (tallied[0], tallied[0] + tallied[1])
+
+
+def test_run_progress_out_of_order_and_restarted(spark, sf_dir, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, sink, state = (str(tmp_path / n) for n in ("log-in", "log-out", "log-state"))
+    log = tables.run_log(spark, sf_dir)
+
+    def go():
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        out = live.run_progress(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+        out.awaitTermination()
+        return {(r.run_id, r.seq): r for r in spark.read.parquet(sink).collect()}
+
+    part = lambda k: log.filter(F.pmod(F.xxhash64("run_id", "seq"), F.lit(4)) == k)
+    for k in (2, 0):
+        part(k).coalesce(1).write.mode("append").parquet(source)
+    held = go()
+    assert len(held) < part(2).count() + part(0).count()  # rows behind a missing one wait
+    for k in (1, 0, 3):  # 0 once more: repeats
+        part(k).coalesce(1).write.mode("append").parquet(source)
+    got = go()
+    assert spark.read.parquet(sink).count() == len(got) == log.count() and all(got[at] == held[at] for at in held)
+    costs = {(r.run_id, r.seq): r.cum_cost_usd for r in runlog.running_cost(log).collect()}
+    counts = {(r.run_id, r.seq): r.k for r in runlog.distinct_so_far(log).collect()}
+    assert all(abs(r.cum_cost_usd - costs[at]) < 1e-9 and r.k == counts[at] for at, r in got.items())
+    best = sorted((r.run_id, r.step, r.node_id, r.best_so_far, r.is_new_best) for r in runlog.progression(log).collect())
+    assert best == sorted((r.run_id, r.step, r.node_id, r.best_so_far, r.is_new_best) for r in got.values() if r.val_score is not None)
