@@ -38,9 +38,12 @@ def build(rows: DataFrame, id: str, text: str) -> Index:
     inside = Window.partitionBy("block").orderBy("_order", "id")
     placed = spelled.withColumn("_order", order).withColumn("block", F.pmod("_order", F.lit(blocks)))
     texts = stored(placed.select("block", (F.row_number().over(inside) - 1).alias("offset"), "id", "text"), "texts")
-    found = texts.select("block", "offset", F.explode(grams(F.concat("text", F.lit(PAD)))).alias("gram"))
-    lists = found.groupBy("gram", "block").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-    return Index(texts, stored(lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block"), "postings"))
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # a block lies in one task, so its lists are made there and only texts are moved
+    found = texts.repartition(tasks, "block").select("block", "offset", F.explode(grams(F.concat("text", F.lit(PAD)))).alias("gram"))
+    lists = found.groupBy("block", "gram").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    return Index(texts, stored(lists, "postings"))
 
 
 def search(index: Index, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
