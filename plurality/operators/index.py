@@ -26,24 +26,28 @@ def grams(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    texts: DataFrame
-    postings: DataFrame
+    texts: DataFrame  # id, text in lower case, key, block: the source, read again
+    places: DataFrame  # key of each (block, offset)
+    postings: DataFrame  # offsets of each (block, gram)
 
 
 def build(rows: DataFrame, id: str, text: str) -> Index:
-    """Index of ``text`` (case ignored) by ``id``, both written once; null texts are found by nothing.  Rows are kept apart even if their ids repeat."""
-    spelled = rows.filter(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.lower(text).alias("text"))
-    blocks = max(1, spelled.count() // TEXTS_PER_BLOCK)
-    order = F.xxhash64("id", "text")
-    inside = Window.partitionBy("block").orderBy("_order", "id")
-    placed = spelled.withColumn("_order", order).withColumn("block", F.pmod("_order", F.lit(blocks)))
-    texts = stored(placed.select("block", (F.row_number().over(inside) - 1).alias("offset"), "id", "text"), "texts")
+    """Index of ``text`` (case ignored) by ``id``; null texts are found by nothing.  Repeated rows are found each.
+
+    Texts are moved once, to the task of their block, where its lists are made.  Lists and places are written; ``rows`` is
+    read again to verify what a search finds.
+    """
     spark = rows.sparkSession
+    spelled = rows.filter(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.lower(text).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    blocks = max(1, spelled.count() // TEXTS_PER_BLOCK)
+    texts = spelled.withColumn("block", F.pmod("key", F.lit(blocks)))
+    offset = (F.row_number().over(Window.partitionBy("block").orderBy("key")) - 1).alias("offset")  # equal keys: equal rows
+    places = stored(texts.select("key", "block").select("key", "block", offset), "places")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    # a block lies in one task, so its lists are made there and only texts are moved
-    found = texts.repartition(tasks, "block").select("block", "offset", F.explode(grams(F.concat("text", F.lit(PAD)))).alias("gram"))
+    placed = texts.repartition(tasks, "block").select("block", offset, "text")
+    found = placed.select("block", "offset", F.explode(grams(F.concat("text", F.lit(PAD)))).alias("gram"))
     lists = found.groupBy("block", "gram").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-    return Index(texts, stored(lists, "postings"))
+    return Index(texts, places, stored(lists, "postings"))
 
 
 def search(index: Index, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
@@ -58,7 +62,7 @@ def search(index: Index, patterns: DataFrame, pattern: str = "pattern") -> DataF
     known = index.postings.select("gram").distinct().select("gram", F.explode(F.array_distinct(starts)).alias("low"))
     short = wanted.filter(F.length("low") < GRAM).join(known, "low").select("pattern", "low", F.lit(0).alias("need"), "gram")
     lists = (
-        whole.unionByName(short)
+        stored(whole.unionByName(short), "wanted")  # written, so that the join knows its size
         .join(index.postings, "gram")
         .groupBy("pattern", "low", "need", "block")
         .agg(F.collect_list("offsets").alias("lists"))
@@ -66,4 +70,5 @@ def search(index: Index, patterns: DataFrame, pattern: str = "pattern") -> DataF
     )
     shared = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists"), F.lit(1))), F.col("lists")[0], F.array_intersect)
     hits = lists.select("pattern", "low", "block", F.explode(F.when(F.col("need") == 0, F.array_distinct(F.flatten("lists"))).otherwise(shared)).alias("offset"))
-    return hits.join(index.texts, ["block", "offset"]).filter(F.contains("text", F.col("low"))).select("pattern", "id")
+    keys = stored(hits.join(index.places, ["block", "offset"]).select("pattern", "low", "key").distinct(), "hits")
+    return index.texts.join(keys, "key").filter(F.contains("text", F.col("low"))).select("pattern", "id")
