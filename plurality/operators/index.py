@@ -2,7 +2,7 @@
 
 Every text gets a place (block, offset); blocks hold about ``TEXTS_PER_BLOCK`` texts.  The index lists, for each run of three
 characters and each block, the offsets of the texts that hold it, so the list of a gram that most texts hold is cut over
-all blocks.  A search intersects the lists of a pattern's grams block by block and verifies what is left on the text.
+all blocks.  A search intersects the lists of a pattern's rarest grams block by block and verifies what is left on the text.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from plurality.plans.lineage import stored
 
 TEXTS_PER_BLOCK = 2048
 GRAM = 3
+RAREST = 6  # grams of a pattern that are looked up; what they leave is verified on the text, so results do not depend on it
 PAD = "\x00" * GRAM  # every position of a text starts a gram, so patterns below three characters are prefixes of grams
 
 
@@ -29,6 +30,7 @@ class Index:
     texts: DataFrame  # id, text in lower case, key, block: the source, read again
     places: DataFrame  # key of each (block, offset)
     postings: DataFrame  # offsets of each (block, gram)
+    known: DataFrame  # texts that hold each gram
 
 
 def build(rows: DataFrame, id: str, text: str) -> Index:
@@ -47,7 +49,9 @@ def build(rows: DataFrame, id: str, text: str) -> Index:
     placed = texts.repartition(tasks, "block").select("block", offset, "text")
     found = placed.select("block", "offset", F.explode(grams(F.concat("text", F.lit(PAD)))).alias("gram"))
     lists = found.groupBy("block", "gram").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-    return Index(texts, places, stored(lists, "postings"))
+    postings = stored(lists, "postings")
+    known = stored(postings.groupBy("gram").agg(F.sum(F.size("offsets")).alias("held")), "grams")
+    return Index(texts, places, postings, known)
 
 
 def search(index: Index, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
@@ -57,9 +61,11 @@ def search(index: Index, patterns: DataFrame, pattern: str = "pattern") -> DataF
     """
     wanted = patterns.filter(F.col(pattern).isNotNull()).select(F.col(pattern).alias("pattern")).distinct().withColumn("low", F.lower("pattern"))
     whole = wanted.filter(F.length("low") >= GRAM).withColumn("_grams", grams(F.col("low")))
-    whole = whole.select("pattern", "low", F.size("_grams").alias("need"), F.explode("_grams").alias("gram"))
+    whole = whole.select("pattern", "low", F.explode("_grams").alias("gram")).join(index.known, "gram", "left")
+    rare = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram"))), 1, RAREST)
+    whole = whole.groupBy("pattern", "low").agg(rare.alias("_rare")).select("pattern", "low", F.size("_rare").alias("need"), F.explode("_rare.gram").alias("gram"))
     starts = F.array(*[F.substring("gram", 1, n) for n in range(GRAM)])
-    known = index.postings.select("gram").distinct().select("gram", F.explode(F.array_distinct(starts)).alias("low"))
+    known = index.known.select("gram", F.explode(F.array_distinct(starts)).alias("low"))
     short = wanted.filter(F.length("low") < GRAM).join(known, "low").select("pattern", "low", F.lit(0).alias("need"), "gram")
     lists = (
         stored(whole.unionByName(short), "wanted")  # written, so that the join knows its size
