@@ -26,15 +26,23 @@ def segment_shifts(scored: DataFrame) -> DataFrame:
         dist.as_map(F.col("options"), F.col("q")).alias("pred_by_label"),
         F.when(F.col("group_size") > 0, F.col("group_size").cast("double")).otherwise(F.lit(1.0)).alias("w"),
     )
-    totals = rows.groupBy(*FAMILY).agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
-    long = rows.select(*FAMILY, "w", "pred_by_label", F.explode("truth_by_label").alias("label", "p"))
+    # one pass over the scored rows: the entry without a label carries the record's weight and counts it
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(1.0).alias("p"), F.lit(1.0).alias("q")))
+    entries = F.transform(
+        F.map_entries("truth_by_label"),
+        lambda e: F.struct(e["key"].alias("label"), e["value"].alias("p"), F.try_element_at("pred_by_label", e["key"]).alias("q")),
+    )
+    long = rows.select(*FAMILY, "w", F.explode(F.concat(whole, F.coalesce(entries, F.slice(whole, 1, 0)))).alias("e")).select(*FAMILY, "w", "e.*")
     sums = long.groupBy(*FAMILY, "label").agg(
-        F.sum(F.col("w") * F.col("p")).alias("wp"), F.sum(F.col("w") * F.element_at("pred_by_label", F.col("label"))).alias("wq")
+        F.sum(F.col("w") * F.col("p")).alias("wp"), F.sum(F.col("w") * F.col("q")).alias("wq"), F.count(F.lit(1)).alias("n")
+    )
+    total, labelled = F.col("label").isNull(), F.when(F.col("label").isNotNull(), F.struct("label", "wp", "wq"))
+    families = sums.groupBy(*FAMILY).agg(
+        F.max(F.when(total, F.col("wp"))).alias("total"), F.max(F.when(total, F.col("n"))).alias("n"), F.array_sort(F.collect_list(labelled)).alias("sums")
     )
-    reference = (
-        sums.join(totals, FAMILY)
-        .groupBy(*FAMILY)
-        .agg(F.array_sort(F.collect_list(F.struct("label", (F.col("wp") / F.col("total")).alias("p"), (F.col("wq") / F.col("total")).alias("q")))).alias("ref"))
+    reference = families.filter((F.col("n") >= 2) & (F.size("sums") > 0)).select(
+        *FAMILY,
+        F.transform("sums", lambda s: F.struct(s["label"].alias("label"), (s["wp"] / F.col("total")).alias("p"), (s["wq"] / F.col("total")).alias("q"))).alias("ref"),
     )
     both = attach(rows, reference, FAMILY, ["record_id"], "inner")
 
