@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import dist, keys, text
+from plurality.plans.lineage import stored
 from plurality.plans.ranking import cumulative_counts, top_per_group
 
 
@@ -161,31 +165,72 @@ def panel_diversity(parsed: DataFrame, min_draws: int = 5) -> DataFrame:
     return draw_spread(parsed).filter(F.col("n_draws") >= min_draws).join(agree, "record_id")
 
 
+#: Draws of a record that are held in one row; records of more are ranked in slices.
+HELD = 1000
+
+
 def size_curve(
     parsed: DataFrame, truths: DataFrame, sizes: Sequence[int], repeats: int = 25, seed: int = 0
 ) -> DataFrame:
     """Mean score of random subsets of each record's draws, for every subset size.
 
-    A subset is the first draws in a seeded hash order per repeat; the largest size bounds
-    what is ranked, so a record with very many draws stays spread out.
-    ``truths`` has record_id, p and z.
+    A subset is the first draws in a seeded hash order per repeat.  A record's draws are gathered once and all its
+    repeats are made where they lie.  Records of more than ``HELD`` draws stay spread out: their draws are ranked in
+    slices, and the largest size bounds what is kept.  ``truths`` has record_id, p and z.
     """
-    usable = parsed.filter(F.col("v").isNotNull()).select("record_id", "draw", "v", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
-    order = keys.hash_order(seed, F.col("record_id"), F.col("rep").cast("string"), F.col("draw").cast("string"))
-    ranked = top_per_group(usable.withColumn("_o", order), ["record_id", "rep"], [F.col("_o")], max(sizes), ["draw", "rep"], rank="r")
-    grid = F.array(*[F.lit(int(s)) for s in sizes])
-    long = ranked.withColumn("size", F.explode(F.filter(grid, lambda s: s >= F.col("r")))).select(
-        "record_id", "rep", "size", F.posexplode("v").alias("pos", "x")
-    )
-    means = long.groupBy("record_id", "rep", "size", "pos").agg(F.avg("x").alias("x"))
-    vectors = means.groupBy("record_id", "rep", "size").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("q")
-    )
-    scored = vectors.join(truths, "record_id").withColumn("s", dist.skill(dist.tvd(F.col("p"), F.col("q")), F.col("z")))
-    per_record = scored.groupBy("record_id", "size").agg(F.avg("s").alias("s"))
+    usable = parsed.filter(F.col("v").isNotNull()).select("record_id", "draw", "v")
+    counts = usable.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
+    many = stored(counts.filter(F.col("n") > HELD).select("record_id"), "many")
+    draw = F.struct(F.col("draw").cast("string").alias("draw"), "v")
+    few = usable if many.isEmpty() else usable.join(many, "record_id", "left_anti")
+    held = few.groupBy("record_id").agg(F.collect_list(draw).alias("held")).withColumn("rep", F.lit(None).cast("int"))
+    if few is not usable:
+        rows = usable.join(many, "record_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        rows = rows.withColumn("_o", keys.hash_order(seed, F.col("record_id"), F.col("rep").cast("string"), F.col("draw").cast("string")))
+        ranked = top_per_group(rows, ["record_id", "rep"], [F.col("_o")], max(sizes), ["draw", "rep"])
+        held = held.unionByName(ranked.groupBy("record_id", "rep").agg(F.collect_list(draw).alias("held")))
+    wanted = held.join(truths, "record_id").select("record_id", "rep", F.col("held.draw").alias("draws"), F.col("held.v").alias("vs"), "p", "z")
+    scored = wanted.mapInArrow(_subset_scores(list(sizes), repeats, seed), "record_id string, size int, s double, n bigint")
+    per_record = scored.groupBy("record_id", "size").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("s"))
     return per_record.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("score"))
 
 
+def _subset_scores(sizes: list[int], repeats: int, seed: int):
+    """Summed scores and their number per record and size: of all repeats, or of the one in ``rep``, whose first draws the row holds."""
+
+    def scores(record: str, rep: int | None, draws: list, vectors: np.ndarray, p: np.ndarray, z: float) -> np.ndarray:
+        order = []
+        for i in range(repeats) if rep is None else [rep]:
+            start = f"{seed}::{record}::{i}"
+            digests = [hashlib.sha256((start if d is None else f"{start}::{d}").encode()).digest() for d in draws]
+            order.append(sorted(range(len(draws)), key=digests.__getitem__)[: max(sizes)])
+        first = np.cumsum(vectors[np.array(order)], axis=1)
+        first /= np.arange(1, first.shape[1] + 1)[:, None]
+        distance = np.abs(first - p).sum(axis=2) / 2
+        skill = np.zeros_like(distance) if z <= dist.TINY else 100.0 * (1.0 - distance / z)
+        return skill[:, [min(s, first.shape[1]) - 1 for s in sizes]].sum(axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            records, reps, zs = (batch.column(c).to_pylist() for c in ("record_id", "rep", "z"))
+            draws, truths, known = batch.column("draws"), batch.column("p"), batch.column("p").is_valid().to_pylist()
+            outer, inner = batch.column("vs").offsets.to_numpy(), batch.column("vs").values.offsets.to_numpy()
+            flat = batch.column("vs").values.values.to_numpy(zero_copy_only=False)
+            at, p = truths.offsets.to_numpy(), truths.values.to_numpy(zero_copy_only=False)
+            sums, counts = np.zeros((len(records), len(sizes))), np.zeros(len(records), dtype=np.int64)
+            for i, (record, rep, z) in enumerate(zip(records, reps, zs)):
+                count = outer[i + 1] - outer[i]
+                vectors = flat[inner[outer[i]] : inner[outer[i + 1]]].reshape(count, -1)
+                if z is not None and known[i] and at[i + 1] - at[i] == vectors.shape[1]:
+                    sums[i] = scores(record, rep, draws[i].as_py(), vectors, p[at[i] : at[i + 1]], z)
+                    counts[i] = repeats if rep is None else 1
+            names = batch.column("record_id").take(pa.array(np.repeat(np.arange(len(records)), len(sizes))))
+            columns = [names, pa.array(np.tile(sizes, len(records)), pa.int32()), pa.array(sums.ravel()), pa.array(np.repeat(counts, len(sizes)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["record_id", "size", "s", "n"])
+
+    return run
+
+
 def blend_sweep(scored: DataFrame, first: str, second: str, weights: Sequence[float]) -> DataFrame:
     """Mean score and mean predicted entropy of every two-system mix; ``weight`` is the first system's."""
     pick = lambda s: F.first(F.when(F.col("system") == s, F.col("q")), ignorenulls=True)
