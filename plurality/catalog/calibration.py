@@ -21,6 +21,11 @@ def labelled(spark, sf, *systems):
     return rows.filter(F.col("system").isin(*systems)) if systems else rows
 
 
+def labelled_once(spark, sf, *systems):
+    """``labelled``, written once for queries that read it many times over."""
+    return stored(labelled(spark, sf, *systems), "labelled")
+
+
 def long_form(rows):
     pairs = F.arrays_zip(F.col("options").alias("o"), F.col("v").alias("v"))
     return rows.select("record_id", "system", F.explode(pairs).alias("z")).select(
@@ -103,9 +108,9 @@ def entropy_regress(spark, sf):
 
 def ridge_fit(spark, sf):
     """Fits the feature regression per system and recomputes its normal equations over all rows: every residual is zero."""
-    out = None
+    out, every = None, labelled_once(spark, sf, *tables.SYSTEMS)
     for system in tables.SYSTEMS:
-        rows = labelled(spark, sf, system)
+        rows = every.filter(F.col("system") == system)
         fit = calibrate.FeatureEntropyTarget().fit_weights(rows)
         left = fit.with_features(fit.with_prediction(rows)).withColumn("_e", F.col("truth_h") - F.col("_want"))
         share = F.col("n") / F.lit(float(left.count()))
@@ -176,7 +181,8 @@ def entropy_target_fit(spark, sf):
 
 def feature_target(spark, sf):
     """Feature-based target on all rows of every system; counts rows off their target and rows whose top option changed."""
-    return each_model(lambda system: _feature_target(labelled(spark, sf, system)))
+    every = labelled_once(spark, sf, *MODELS)
+    return each_model(lambda system: _feature_target(every.filter(F.col("system") == system)))
 
 
 def _feature_target(rows):
@@ -197,9 +203,10 @@ def _feature_target(rows):
 
 def chain(spark, sf):
     """Per system, abstain first, then a temperature fitted on what abstention left."""
+    every = labelled_once(spark, sf, *MODELS)
 
     def one(system):
-        rows = labelled(spark, sf, system)
+        rows = every.filter(F.col("system") == system)
         fit = calibrate.make_calibrator("chain", stages=[{"name": "abstain"}, {"name": "temp"}]).fit(rows)
         out = fit.transform(rows).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.avg(calibrate.row_score(F.col("v"))).alias("score"))
         return out.withColumn("temperature", F.lit(fit.stages[1].temperature))
