@@ -6,6 +6,8 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from plurality.llm import shingles
 
 
@@ -120,3 +122,25 @@ def test_components_of_crowds_equal_brute_force(docs_of, monkeypatch):
     want = sorted(min(own) for own in brute_groups(texts))
     assert 1 < len(want) < len(texts)
     assert sorted(r.doc_id for r in shingles.without_duplicates(docs_of(list(enumerate(texts)))).collect()) == want
+
+
+def test_simhash_gives_candidates_that_are_verified(docs_of, monkeypatch):
+    from plurality.llm import simhash
+
+    calls, near = [], simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs: calls.append(1) or near(docs))
+    words = [f"w{i}" for i in range(400)]
+    close, other = " ".join([*words[:-1], "end"]), " ".join(f"o{i}" for i in range(300))
+    docs = docs_of([(2, " ".join(words)), (4, close), (6, other), (8, None), (9, ""), (6, close + " more")])
+    assert simhash.fingerprint(close.encode()) ^ simhash.fingerprint(" ".join(words).encode()) != 0
+    rows = shingles.signatures(docs)
+    sets = rows.groupBy("id").agg(F.min(F.struct("doc_id", "mark")).alias("l"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("id", "l.doc_id", "l.mark", "n", "bands")
+    grown = shingles.with_simhash(docs, sets)
+    assert {len(r.bands) for r in grown.collect()} == {0, shingles.BANDS + 1}
+    only = grown.withColumn("bands", F.slice("bands", shingles.BANDS + 1, 1))  # SimHash alone
+    ids = {(r.doc_id, r.n): r.id for r in sets.collect()}
+    linked = {frozenset((r.a, r.b)) for r in shingles.links(docs, only).collect()}
+    pairs = {frozenset(x) for x in ((ids[2, 396], ids[4, 396]), (ids[2, 396], ids[6, 397]), (ids[4, 396], ids[6, 397]))}
+    assert linked and linked <= pairs
+    calls.clear()
+    assert sorted(r.doc_id for r in shingles.without_duplicates(docs).collect()) == [2, 6, 8] and calls
