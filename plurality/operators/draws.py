@@ -197,6 +197,7 @@ def size_curve(
 
 def _subset_scores(sizes: list[int], repeats: int, seed: int):
     """Summed scores and their number per record and size: of all repeats, or of the one in ``rep``, whose first draws the row holds."""
+    tiny = dist.TINY  # modules of this package travel by value, and ``dist`` holds functions that cannot
 
     def scores(record: str, rep: int | None, draws: list, vectors: np.ndarray, p: np.ndarray, z: float) -> np.ndarray:
         order = []
@@ -207,7 +208,7 @@ def _subset_scores(sizes: list[int], repeats: int, seed: int):
         first = np.cumsum(vectors[np.array(order)], axis=1)
         first /= np.arange(1, first.shape[1] + 1)[:, None]
         distance = np.abs(first - p).sum(axis=2) / 2
-        skill = np.zeros_like(distance) if z <= dist.TINY else 100.0 * (1.0 - distance / z)
+        skill = np.zeros_like(distance) if z <= tiny else 100.0 * (1.0 - distance / z)
         return skill[:, [min(s, first.shape[1]) - 1 for s in sizes]].sum(axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
