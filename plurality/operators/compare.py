@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plurality.operators.bootstrap import bootstrap_ci
 from plurality.operators.splits import folds
+from plurality.plans.lineage import stored
 from plurality.plans.skew import attach
 
 
@@ -83,7 +84,7 @@ def oracle_ceiling(wide: DataFrame, model: str, uniform: str = "uniform") -> Dat
 
     Datasets whose fit-half mean is below zero predict uniform on the eval half.
     """
-    halves = folds(wide)
+    halves = stored(folds(wide).select("record_id", "dataset", model, uniform, "first_half"), "folds")  # ranked once, read twice
     m, u = F.col(model), F.col(uniform)
     flagged = (
         halves.filter("first_half").groupBy("dataset").agg((F.avg(m) < 0).alias("_abstain"))
@@ -122,7 +123,7 @@ def dataset_oracle(wide: DataFrame, base: str, other: str, routed: str, uniform:
 
 def two_fold_select(wide: DataFrame, first: str, second: str, n_boot: int = 2000) -> DataFrame:
     """Choose the better system per dataset on one fold, score the choice on the other, both ways."""
-    rows = folds(wide)
+    rows = stored(folds(wide).select("record_id", "dataset", first, second, "fold"), "folds")  # ranked once, read twice
     fit = rows.groupBy("dataset", "fold").agg((F.avg(second) > F.avg(first)).alias("use_second"))
     decisions = fit.select("dataset", (1 - F.col("fold")).cast("int").alias("fold"), "use_second")
     picked = attach(rows, decisions, ["dataset", "fold"], ["record_id"])
