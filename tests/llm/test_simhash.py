@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from plurality.llm import graph, queries, simhash
 
@@ -71,6 +72,22 @@ def test_links_connect_like_all_pairs(spark):
         assert len(set(zip(names, want))) == len(set(names)) == len(set(want))
 
 
+def test_no_exploded_side_is_broadcast(spark):
+    """Spark sizes the values asked for like the fingerprints they are exploded from, so it would send them through the driver."""
+
+    def nodes(plan):
+        children = plan.children()
+        return [plan, *(n for i in range(children.size()) for n in nodes(children.apply(i)))]
+
+    fps = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    near = simhash.links(fps)
+    found = nodes(near._jdf.queryExecution().sparkPlan())
+    joins = [n for n in found if n.nodeName() == "BroadcastHashJoin"]
+    built = [n.left() if n.buildSide().toString() == "BuildLeft" else n.right() for n in joins]
+    assert any(n.nodeName() == "Generate" for n in found)
+    assert not any(n.nodeName() == "Generate" for side in built for n in nodes(side))
+
+
 def test_segments_leave_no_pair_out():
     rng = random.Random(1)
     for parts in (2, 3, 4):
