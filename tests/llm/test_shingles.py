@@ -144,3 +144,34 @@ def test_simhash_gives_candidates_that_are_verified(docs_of, monkeypatch):
     assert linked and linked <= pairs
     calls.clear()
     assert sorted(r.doc_id for r in shingles.without_duplicates(docs).collect()) == [2, 6, 8] and calls
+
+
+def test_every_row_of_a_set_gives_its_simhash_component(docs_of):
+    """Rows of one set of shingles may have far fingerprints: here the second row alone lies in the component of the third."""
+    from plurality.llm import simhash
+
+    head, a, b = (["h1", "h2", "h3", "h4"], [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)])
+    first, second = " ".join([*head, *a, *head, *b, *head]), " ".join([*(head + a) * 6, *head, *b, *head])
+    near = second + " end"
+    one, two, three = (simhash.fingerprint(t.encode()) for t in (first, second, near))
+    assert set(shingles.shingles(first.encode())) == set(shingles.shingles(second.encode()))
+    assert (one ^ two).bit_count() > 4 and (one ^ three).bit_count() > 4 >= (two ^ three).bit_count()
+    docs = docs_of([(1, first), (2, second), (3, near), (2, second)])
+    rows = shingles.signatures(docs)
+    sets = rows.groupBy("id").agg(F.min(F.struct("doc_id", "mark")).alias("l"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("id", "l.doc_id", "l.mark", "n", "bands")
+    only = shingles.with_simhash(docs, sets).withColumn("bands", F.slice("bands", shingles.BANDS + 1, 1))  # SimHash alone
+    assert only.columns == sets.columns and only.count() == 2
+    assert {frozenset((r.a, r.b)) for r in shingles.links(docs, only).collect()} == {frozenset(r.id for r in sets.collect())}
+    assert [r.doc_id for r in shingles.without_duplicates(docs).collect()] == [1]
+
+
+def test_rows_without_an_id_are_compared_with_each_other(docs_of):
+    words = [f"w{i}" for i in range(60)]
+    text, close, other = " ".join(words), " ".join([*words[:-1], "end"]), "quite another text of some words"
+    docs = docs_of([(None, text), (None, close), (None, text), (None, other), (None, None), (None, " "), (4, close), (6, text)])
+    kept = shingles.without_duplicates(docs)
+    assert kept.schema["doc_id"] == docs.schema["doc_id"] and kept.columns == docs.columns
+    rows = [(r.doc_id, (r.text or "").strip()) for r in kept.collect()]
+    assert [t for d, t in rows if d is not None] == [close] and (4, close) in rows
+    alone = sorted(t for d, t in rows if d is None)
+    assert alone in (sorted(["", other, text]), sorted(["", other, close]))
